@@ -111,9 +111,9 @@ class Encoder:
         self.find, self.known = regex.compile(pattern).finditer, {}
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.most:
-            self.known = {}
         new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, list(pieces)
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
         left = []
         for i, b in enumerate(raw):
@@ -131,7 +131,7 @@ class Encoder:
         n = 0
 
         def flush():
-            self.learn(set(chain.from_iterable(p for _, p in held)) - self.known.keys())
+            self.learn(set(chain.from_iterable(p for _, p in held)))
             get = self.known.__getitem__
             for i, pieces in held:
                 parts[i].append(np.fromiter(chain.from_iterable(map(get, pieces)), dtype=np.int32))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from loamwork.llm.byte_bpe import op5_byte_bpe
+from loamwork.llm.near_dup import op1_ngram_jaccard
+from loamwork.llm.substring_dedup import op3_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_substring_dedup, op5_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
