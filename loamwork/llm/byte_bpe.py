@@ -22,92 +22,137 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
-class _PairRanks(dict):
-    """Rank of the token that two adjacent tokens form, -1 if none; forgets all beyond `most` pairs."""
+class Merges:
+    """All pairs of tokens that together are a token, and that token's rank."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
-        super().__init__()
-        self.ranks, self.most = ranks, most
-        self.of = {r: t for t, r in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.pairs = {
+            ranks[t[:i]] << 20 | ranks[t[i:]]: r
+            for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
+        }
+        self.one = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.keys = np.array(sorted(self.pairs), np.int64)
+        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
 
-    def __missing__(self, pair: int) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        r = self[pair] = self.ranks.get(self.of[pair >> 32] + self.of[pair & 0xFFFFFFFF], -1)
-        return r
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of what adjacent tokens form, -1 for nothing."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
 
 
-def replay(words: list[bytes], pairs: _PairRanks) -> list[tuple[int, ...]]:
+#: An index entry of fewer positions than this is merged one by one, not as an array.
+FEW = 40
+
+
+def replay(words: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
     """Token ids of each word, all words at once.
 
     The words lie in one linked list of tokens, at first single bytes. An inverted index has, for each
     rank that some adjacent pair forms, the positions of those pairs. Ranks are taken in order; each of
     a rank's positions merges, left to right, and only the pairs with its two neighbours enter the index
-    anew. Words don't touch, so this is each word's own lowest-rank-first order.
+    anew. Words don't touch, so this is each word's own lowest-rank-first order. While ranks have many
+    positions they are merged as arrays, later one by one.
     """
-    ranks, flat = pairs.ranks, b"".join(words)
-    one = [ranks[bytes([b])] for b in range(256)]
-    tok = [one[b] for b in flat]
+    size = np.array([len(w) for w in words], np.int64)
+    start = np.cumsum(size) - size
+    tok = merges.one[np.frombuffer(b"".join(words), np.uint8)]
     n = len(tok)
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        if w:
-            prv[at] = -1
-            at += len(w)
-            nxt[at - 1] = -1
-    index: dict[int, list[int]] = {}
-    for p in range(n):
-        if (q := nxt[p]) >= 0 and (r := pairs[tok[p] << 32 | tok[q]]) >= 0:
-            if r in index:
-                index[r].append(p)
+    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    some = size > 0
+    prv[start[some]] = -1
+    nxt[(start + size - 1)[some]] = -1
+    rank = np.full(n, -1, np.int64)  # of the pair that starts here
+    inner = np.flatnonzero(nxt >= 0)
+    rank[inner] = merges.of(tok[inner], tok[inner + 1])
+
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def add(at: np.ndarray) -> None:
+        r = rank[at]
+        at, r = at[r >= 0], r[r >= 0]
+        order = np.argsort(r, kind="stable")
+        at, r = at[order], r[order]
+        edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]).tolist() if len(r) else [0]
+        for a, b in zip(edge, edge[1:]):
+            if (x := int(r[a])) in index:
+                index[x].append(at[a:b])
             else:
-                index[r] = [p]
-    heap = list(index)
-    heapq.heapify(heap)
+                index[x] = [at[a:b]]
+                heapq.heappush(heap, x)
+
+    add(inner)
+    small = 0
+    while heap and small < 24:
+        r = heap[0]
+        parts = index[r]
+        if sum(map(len, parts)) < FEW:
+            small += 1
+        else:
+            small = 0
+        heapq.heappop(heap)
+        del index[r]
+        p = np.sort(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+        p = p[rank[p] == r]
+        if len(parts) > 1 and len(p) > 1:
+            p = p[np.r_[True, p[1:] != p[:-1]]]
+        if not len(p):
+            continue
+        touch = np.r_[False, nxt[p[:-1]] == p[1:]]
+        if touch.any():  # overlapping pairs: every other one of a run, from the left
+            i = np.arange(len(p))
+            p = p[(i - np.maximum.accumulate(np.where(touch, 0, i))) % 2 == 0]
+        q = nxt[p]
+        s = nxt[q]
+        tok[p], tok[q], rank[q], rank[p] = r, -1, -1, -1
+        nxt[p] = s
+        has = s >= 0
+        prv[s[has]] = p[has]
+        left = prv[p]
+        a, b = p[has], left[left >= 0]
+        rank[a] = merges.of(tok[a], tok[nxt[a]])
+        rank[b] = merges.of(tok[b], tok[nxt[b]])
+        add(np.unique(np.concatenate([a, b])))
+
+    rest = {r: np.concatenate(parts).tolist() for r, parts in index.items()}
+    tok, nxt, prv, get = tok.tolist(), nxt.tolist(), prv.tolist(), merges.pairs.get
     while heap:
         r = heapq.heappop(heap)
-        at = index.pop(r, None)
-        if at is None:
-            continue
+        at = rest.pop(r)
         at.sort()
         for p in at:
             t = tok[p]
-            if t < 0 or (q := nxt[p]) < 0 or pairs[t << 32 | tok[q]] != r:
+            if t < 0 or (q := nxt[p]) < 0 or get(t << 20 | tok[q]) != r:
                 continue
             tok[p], tok[q] = r, -1
             s = nxt[p] = nxt[q]
             if s >= 0:
                 prv[s] = p
-                if (x := pairs[r << 32 | tok[s]]) >= 0:
-                    if x in index:
-                        index[x].append(p)
+                if (x := get(r << 20 | tok[s], -1)) >= 0:
+                    if x in rest:
+                        rest[x].append(p)
                     else:
-                        index[x] = [p]
+                        rest[x] = [p]
                         heapq.heappush(heap, x)
-            if (q := prv[p]) >= 0 and (x := pairs[tok[q] << 32 | r]) >= 0:
-                if x in index:
-                    index[x].append(q)
+            if (q := prv[p]) >= 0 and (x := get(tok[q] << 20 | r, -1)) >= 0:
+                if x in rest:
+                    rest[x].append(q)
                 else:
-                    index[x] = [q]
+                    rest[x] = [q]
                     heapq.heappush(heap, x)
-    found = []
-    for p, w in zip(starts, words):
-        ids = []
-        if w:
-            while p >= 0:
-                ids.append(tok[p])
-                p = nxt[p]
-        found.append(tuple(ids))
-    return found
+    alive = [t for t in tok if t >= 0]
+    many = np.zeros(n + 1, np.int64)
+    many[1:] = np.cumsum(np.array(tok, np.int64) >= 0)
+    return [tuple(alive[a:b]) for a, b in zip(many[start].tolist(), many[start + size].tolist())]
 
 
 class Encoder:
     """Encodes blocks of texts; the words of a block that aren't known yet are replayed together."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 400_000):
-        self.ranks, self.pairs, self.most = ranks, _PairRanks(ranks), most_words
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 500_000):
+        self.ranks, self.merges, self.most = ranks, Merges(ranks), most_words
         self.find, self.known = regex.compile(pattern).finditer, {}
 
     def learn(self, pieces: set[str]) -> None:
@@ -121,10 +166,10 @@ class Encoder:
                 self.known[new[i]] = (r,)
             else:
                 left.append(i)
-        for i, ids in zip(left, replay([raw[i] for i in left], self.pairs)):
+        for i, ids in zip(left, replay([raw[i] for i in left], self.merges)):
             self.known[new[i]] = ids
 
-    def encode(self, texts: list[str | None], at_once: int = 600_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], at_once: int = 1_200_000) -> list[np.ndarray]:
         """at_once: pieces that are held together; longer texts go on in further parts."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
@@ -171,7 +216,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             _encoders.clear()
             _encoders[tag] = Encoder(shared.value, pattern)
         coder = _encoders[tag]
-        for rows in blocks(batches, 2_000_000, "text_body"):
+        for rows in blocks(batches, 6_000_000, "text_body"):
             ids = coder.encode(rows["text_body"])
             ends = np.cumsum([0, *map(len, ids)])
             if ends[-1] < 2**31:
