@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from loamwork.llm.byte_bpe import op5_byte_bpe
+from loamwork.llm.mixing import OP10_SQL, op10_weighted_fair_mix
 from loamwork.llm.near_dup import op1_ngram_jaccard
+from loamwork.llm.order_minhash import op2_order_minhash
+from loamwork.llm.sharding import OP8_SQL, op8_extendible_shards
 from loamwork.llm.substring_dedup import op3_substring_dedup
 
+ALL = (op1_ngram_jaccard, op2_order_minhash, op3_substring_dedup, op5_byte_bpe, op8_extendible_shards, op10_weighted_fair_mix)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_substring_dedup, op5_byte_bpe)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_extendible_shards": OP8_SQL, "op10_weighted_fair_mix": OP10_SQL}
