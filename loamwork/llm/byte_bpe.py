@@ -46,8 +46,8 @@ class Merges:
 FEW = 40
 
 
-def replay(words: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
-    """Token ids of each word, all words at once.
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """Token ids of each word as int32 bytes, all words at once.
 
     The words lie in one linked list of tokens, at first single bytes. An inverted index has, for each
     rank that some adjacent pair forms, the positions of those pairs. Ranks are taken in order; each of
@@ -142,18 +142,24 @@ def replay(words: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
                 else:
                     rest[x] = [q]
                     heapq.heappush(heap, x)
-    alive = [t for t in tok if t >= 0]
+    tok = np.array(tok, np.int32)
     many = np.zeros(n + 1, np.int64)
-    many[1:] = np.cumsum(np.array(tok, np.int64) >= 0)
-    return [tuple(alive[a:b]) for a, b in zip(many[start].tolist(), many[start + size].tolist())]
+    many[1:] = 4 * np.cumsum(tok >= 0)
+    ids = tok[tok >= 0].tobytes()
+    return [ids[a:b] for a, b in zip(many[start].tolist(), many[start + size].tolist())]
 
 
 class Encoder:
     """Encodes blocks of texts; the words of a block that aren't known yet are replayed together."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 400_000):
         self.ranks, self.merges, self.most = ranks, Merges(ranks), most_words
-        self.find, self.known = regex.compile(pattern).finditer, {}
+        self.find_all, self.find, self.known = regex.compile(pattern).findall, regex.compile(pattern).finditer, {}
+
+    def parts(self, text: str, at_once: int):
+        found = (m.group() for m in self.find(text))
+        while pieces := list(islice(found, at_once)):
+            yield pieces
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
@@ -163,13 +169,13 @@ class Encoder:
         left = []
         for i, b in enumerate(raw):
             if (r := self.ranks.get(b)) is not None:
-                self.known[new[i]] = (r,)
+                self.known[new[i]] = r.to_bytes(4, "little")
             else:
                 left.append(i)
         for i, ids in zip(left, replay([raw[i] for i in left], self.merges)):
             self.known[new[i]] = ids
 
-    def encode(self, texts: list[str | None], at_once: int = 1_200_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], at_once: int = 900_000) -> list[np.ndarray]:
         """at_once: pieces that are held together; longer texts go on in further parts."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
@@ -179,12 +185,13 @@ class Encoder:
             self.learn(set(chain.from_iterable(p for _, p in held)))
             get = self.known.__getitem__
             for i, pieces in held:
-                parts[i].append(np.fromiter(chain.from_iterable(map(get, pieces)), dtype=np.int32))
+                parts[i].append(np.frombuffer(b"".join(map(get, pieces)), "<i4"))
             held.clear()
 
         for i, text in enumerate(texts):
-            found = (m.group() for m in self.find(text or ""))
-            while pieces := list(islice(found, at_once)):
+            whole = text is None or len(text) < at_once
+            found = iter([self.find_all(text or "")] if whole else self.parts(text, at_once))
+            while pieces := next(found, None):
                 held.append((i, pieces))
                 n += len(pieces)
                 if n >= at_once:
@@ -216,7 +223,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             _encoders.clear()
             _encoders[tag] = Encoder(shared.value, pattern)
         coder = _encoders[tag]
-        for rows in blocks(batches, 6_000_000, "text_body"):
+        for rows in blocks(batches, 4_000_000, "text_body"):
             ids = coder.encode(rows["text_body"])
             ends = np.cumsum([0, *map(len, ids)])
             if ends[-1] < 2**31:
