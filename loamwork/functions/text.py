@@ -97,7 +97,7 @@ def strip_fences(text: Column) -> Column:
 def code_block(text: Column) -> Column:
     """Body of the first fenced block, or all of the text, trimmed."""
     body = F.regexp_extract(text, r"(?s)```[A-Za-z0-9_-]*\s*\n(.*?)```", 1)
-    return F.trim(F.when(body != "", body).otherwise(text))
+    return F.btrim(F.when(body != "", body).otherwise(text), F.lit(" \t\r\n"))
 
 
 def data_islands(html: Column) -> Column:
