@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, saved
+from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, lean, saved, trim
 
 NO_KEY = -(2**63)
 #: A word or ending is an item of the clustering if at least this share of all training tokens are its: so
@@ -28,16 +30,16 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def endings(word: bytes) -> list[int]:
-    """Keys of a word's last three, two and one characters."""
-    w = word.decode("utf-8", "surrogatepass")
-    return [xxhash.xxh3_64_intdigest(b"\x00" + w[-k:].encode("utf-8", "surrogatepass")) for k in (3, 2, 1)]
+def endings(word: bytes) -> tuple[str, str, str]:
+    """A word's last three, two and one characters, marked by how many were asked for."""
+    w = word[-12:].decode("utf-8", "ignore")
+    return "3" + w[-3:], "2" + w[-2:], "1" + w[-1:]
 
 
 class Items(dict):
     """Item of each word: its own, else that of its longest known ending, else `other`; bounded like WordHash."""
 
-    def __init__(self, words: dict[int, int], ends: dict[int, int], other: int, most: int = 300_000):
+    def __init__(self, words: dict[int, int], ends: dict[str, int], other: int, most: int = 300_000):
         super().__init__()
         self.words, self.ends, self.other, self.most = words, ends, other, most
 
@@ -46,7 +48,11 @@ class Items(dict):
             self.clear()
         x = self.words.get(xxhash.xxh3_64_intdigest(word))
         if x is None:
-            x = next((self.ends[e] for e in endings(word) if e in self.ends), self.other)
+            a, b, c = endings(word)
+            get = self.ends.get
+            x = get(a)
+            if x is None and (x := get(b)) is None and (x := get(c)) is None:
+                x = self.other
         self[word] = x
         return x
 
@@ -55,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(key, word, n): how often each word of the training rows occurs; counted by task first."""
 
     def run(batches):
-        count: dict[bytes, int] = {}
+        count: Counter = Counter()
         schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
         def out():
@@ -66,49 +72,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for rows in blocks(batches, 2_000_000, "text_body"):
             for t in rows["text_body"]:
-                for w in tokens_of(t):
-                    count[w] = count.get(w, 0) + 1
+                count.update(tokens_of(t))
             if len(count) > 500_000:
                 yield from out()
         yield from out()
 
-    return docs.where("not held_out").select("text_body").mapInArrow(run, "word binary, n long").select(F.col("word").cast("string").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.where("not held_out").select("text_body").mapInArrow(lean(run), "word binary, n long").select(F.col("word").cast("string").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def _sum_by_key(counts: DataFrame, keyed, kind: pa.DataType, name: str) -> DataFrame:
+    """(key, n, words): occurrences and number of distinct words for each key that `keyed` gives a word."""
+    schema = pa.schema([("key", kind), ("n", pa.int64()), ("words", pa.int64())])
 
-def _sum_by_key(counts: DataFrame, keyed, schema: str) -> DataFrame:
     def run(batches):
-        total: dict[int, list[int]] = {}
+        total: dict = {}
         for b in batches:
             for w, n in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
                 for k in keyed(w):
                     x = total.setdefault(k, [0, 0])
                     x[0] += n
                     x[1] += 1
-        s = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("words", pa.int64())])
         keys = list(total)
         for a in range(0, len(keys), 50_000):
-            yield batch(s, [k - 2**64 if k >= 2**63 else k for k in keys[a : a + 50_000]], [total[k][0] for k in keys[a : a + 50_000]], [total[k][1] for k in keys[a : a + 50_000]])
+            part = keys[a : a + 50_000]
+            yield batch(schema, part, [total[k][0] for k in part], [total[k][1] for k in part])
 
-    return counts.select("word", "n").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    return counts.select("word", "n").mapInArrow(lean(run), f"key {name}, n long, words long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
 
 
-def _unsigned(x: int) -> int:
-    return x % 2**64
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
 
 def vocabulary(counts: DataFrame, share: float) -> dict:
     """The items: frequent words, then frequent endings of the other words, other, and the end; with their
-    counts and numbers of distinct words. Only frequent keys come to the driver, as hashes."""
+    counts and numbers of distinct words. Only frequent keys come to the driver: hashes of words, and endings of three characters at most."""
     words_n, total = counts.agg(F.count("*"), F.sum("n")).first()
     least = max(2.0, share * (total or 0))
-    frequent = _sum_by_key(counts.where(F.col("n") >= least), lambda w: [xxhash.xxh3_64_intdigest(w)], "key long, n long, words long").collect()
-    words = {_unsigned(r["key"]): i for i, r in enumerate(sorted(frequent, key=lambda r: (-r["n"], r["key"])))}
+    frequent = _sum_by_key(counts.where(F.col("n") >= least), lambda w: [_signed(xxhash.xxh3_64_intdigest(w))], pa.int64(), "long").collect()
+    words = {r["key"] % 2**64: i for i, r in enumerate(sorted(frequent, key=lambda r: (-r["n"], r["key"])))}
     known = counts.sparkSession.sparkContext.broadcast(words)
-    rare = _sum_by_key(counts.where(F.col("n") < least), endings, "key long, n long, words long")
-    ends = {_unsigned(r["key"]): len(words) + i for i, r in enumerate(sorted(rare.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["key"])))}
+    rare = _sum_by_key(counts.where(F.col("n") < least), endings, pa.string(), "string")
+    ends = {r["key"]: len(words) + i for i, r in enumerate(sorted(rare.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["key"])))}
     other = len(words) + len(ends)
     shared = counts.sparkSession.sparkContext.broadcast(ends)
-    tally = _sum_by_key(counts, lambda w: [Items(known.value, shared.value, other, 1)[w]], "key long, n long, words long")
+    tally = _sum_by_key(counts, lambda w: [Items(known.value, shared.value, other, 1)[w]], pa.int64(), "long")
     n, distinct = np.zeros(other + 2, np.int64), np.zeros(other + 2, np.int64)
     for r in tally.collect():
         n[r["key"]], distinct[r["key"]] = r["n"], r["words"]
@@ -130,7 +138,7 @@ def itemised(docs: DataFrame, vocab: dict) -> DataFrame:
             ends_at = np.cumsum([0, *(len(x) + 1 for x in lists)])
             yield batch(schema, rows["id"], rows["digest"], rows["held_out"], pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(flat)))
 
-    return docs.mapInArrow(run, "id long, digest long, held_out boolean, items array<int>")
+    return docs.mapInArrow(lean(run), "id long, digest long, held_out boolean, items array<int>")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +181,7 @@ def contexts(items: DataFrame, of: np.ndarray, classes: int, span: int = 256) ->
         cells, inverse = np.unique(at, return_inverse=True)
         return pa.table({"at": pa.array([cells.tobytes()]), "n": pa.array([np.bincount(inverse, n).astype(np.int64).tobytes()])})
 
-    parts = items.where("not held_out").select("items").mapInArrow(run, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "at binary, n binary").collect()
+    parts = items.where("not held_out").select("items").mapInArrow(lean(run), "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "at binary, n binary").collect()
     both = np.zeros(2 * total * classes, np.int64)
     for p in parts:
         both[np.frombuffer(p["at"], np.int64)] = np.frombuffer(p["n"], np.int64)
@@ -237,14 +245,27 @@ def deal_rare(docs: DataFrame, vocab: dict, buckets: int) -> DataFrame:
                 out.append((int(into[a]), h[a:b].tobytes(), inverse.astype(np.uint16 if len(own) < 2**16 else np.uint32).tobytes(), train[own].tobytes(), ids[own].tobytes(), digests[own].tobytes()))
             yield batch(_DEALT, *zip(*out))
 
-    return docs.mapInArrow(run, "bucket int, hashes binary, docs binary, train binary, ids binary, digests binary")
+    return docs.mapInArrow(lean(run), "bucket int, hashes binary, docs binary, train binary, ids binary, digests binary")
+
+
+def _packed_sums(ids, digests, logs, known, buckets: int):
+    """Sums by text, packed by bucket of the text."""
+    to = ((digests.astype(np.uint64) ^ (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(16)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    ids, digests, logs, known, to = ids[order], digests[order], logs[order], known[order], to[order]
+    edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+    return [(int(to[a]), ids[a:b].tobytes(), digests[a:b].tobytes(), logs[a:b].tobytes(), known[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
 
 
-def rare_scores(dealt: DataFrame) -> DataFrame:
-    """(id, digest, rare_log, rare_known): per text, sum of log10(count + MORE) and number of known words among them."""
+def rare_scores(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(id, digest, rare_log, rare_known): per text, sum of log10(count + MORE) and number of known words among them.
+
+    The bucket of a hash has all its occurrences, so their count; sums go by text, packed, to the text's
+    bucket, which adds them up."""
+    packed = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("digests", pa.binary()), ("logs", pa.binary()), ("known", pa.binary())])
     schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("rare_log", pa.float64()), ("rare_known", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> pa.Table:
         h, doc, train, ids, digests, base = [], [], [], [], [], 0
         for r in zip(*(table.column(n).to_pylist() for n in ("hashes", "docs", "train", "ids", "digests"))):
             x = np.frombuffer(r[0], np.uint64)
@@ -259,10 +280,19 @@ def rare_scores(dealt: DataFrame) -> DataFrame:
         doc = np.concatenate(doc)
         _, inverse = np.unique(np.concatenate(h), return_inverse=True)
         n = np.bincount(inverse, np.concatenate(train))[inverse]
-        return pa.Table.from_batches([batch(schema, np.concatenate(ids), np.concatenate(digests), np.bincount(doc, np.log10(n + MORE), base), np.bincount(doc, n > 0, base).astype(np.int64))])
+        trim()
+        out = _packed_sums(np.concatenate(ids), np.concatenate(digests), np.bincount(doc, np.log10(n + MORE), base), np.bincount(doc, n > 0, base).astype(np.int32), buckets)
+        return pa.Table.from_batches([batch(packed, *zip(*out))])
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, digests, logs, known = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("ids", np.int64), ("digests", np.int64), ("logs", np.float64), ("known", np.int32)))
+        order = np.lexsort((logs, digests, ids))
+        ids, digests, logs, known = ids[order], digests[order], logs[order], known[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])])
+        return pa.Table.from_batches([batch(schema, ids[first], digests[first], np.add.reduceat(logs, first), np.add.reduceat(known, first))])
 
-    found = dealt.groupBy("bucket").applyInArrow(run, "id long, digest long, rare_log double, rare_known long")
-    return found.groupBy("id", "digest").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
+    found = dealt.groupBy("bucket").applyInArrow(count, "bucket int, ids binary, digests binary, logs binary, known binary")
+    return found.groupBy("bucket").applyInArrow(add, "id long, digest long, rare_log double, rare_known long")
 
 
 def frequent_scores(items: DataFrame, vocab: dict, fitted: dict) -> DataFrame:
@@ -289,7 +319,7 @@ def frequent_scores(items: DataFrame, vocab: dict, fitted: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), pa.array(sums[3]), pa.array(sums[4])],
                                              names=["id", "digest", "held_out", "n_tokens", "own_log", "own_known", "step_log", "norm_log"])
 
-    return items.mapInArrow(run, "id long, digest long, held_out boolean, n_tokens long, own_log double, own_known long, step_log double, norm_log double")
+    return items.mapInArrow(lean(run), "id long, digest long, held_out boolean, n_tokens long, own_log double, own_known long, step_log double, norm_log double")
 
 
 def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "doc_id", share: float = SHARE, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
@@ -319,7 +349,8 @@ def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "do
     total, words = vocab["total"] + trained, vocab["vocabulary"] + int(trained > 0)
 
     own = frequent_scores(items, vocab, fitted)
-    rare = rare_scores(deal_rare(docs, vocab, bucket_count(docs, "text_body")))
+    buckets = bucket_count(docs, "text_body")
+    rare = rare_scores(deal_rare(docs, vocab, buckets), buckets)
     same = items.groupBy("id", "digest").agg(F.count("*").alias("rows"))
     both = own.join(rare.join(same, ["id", "digest"]), ["id", "digest"], "left")
     logs = F.col("own_log") + F.coalesce(F.col("rare_log") / F.col("rows"), F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -88,6 +89,27 @@ def blocks(batches, most_chars: int = 4_000_000, text: str = "text"):
         yield rows
 
 
+def trim() -> None:
+    """Gives back the memory that allocators keep, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run):
+    """run over batches, then trim."""
+
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return through
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
