@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, rolling, words_of
+from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, lean, rolling, trim, words_of
 
 #: Stands for a null key in comparisons: below all others.
 NO_KEY = -(2**63)
 _DEALT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("digests", pa.binary()), ("runs", pa.binary()), ("gaps", pa.binary())])
-_REPEATS = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("starts", pa.binary())])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -79,26 +80,31 @@ def deal(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             out += [_pack(int(into[a]), h[at[a:b]], ids, digests, doc[at[a:b]], start[at[a:b]]) for a, b in zip(edge, edge[1:])]
             yield batch(_DEALT, *zip(*out))
 
-    return docs.mapInArrow(run, "bucket int, hashes binary, ids binary, digests binary, runs binary, gaps binary")
+    return docs.mapInArrow(lean(run), "bucket int, hashes binary, ids binary, digests binary, runs binary, gaps binary")
 
 
-def _by_text(ids, digests, start):
-    """Rows (id, digest, starts) of windows known to repeat."""
-    order = np.lexsort((start, digests, ids))
-    ids, digests, start = ids[order], digests[order], start[order].astype(np.uint32)
-    edge = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1]), True])
-    return [(int(ids[a]), int(digests[a]), start[a:b].tobytes()) for a, b in zip(edge, edge[1:])] if len(ids) else []
+def _by_text_bucket(ids, digests, start, buckets: int):
+    """Windows known to repeat, packed by bucket of their text."""
+    if not len(ids):
+        return []
+    to = ((digests.astype(np.uint64) ^ (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(16)) % np.uint64(buckets)
+    order = np.lexsort((start, digests, ids, to))
+    ids, digests, start, to = ids[order], digests[order], start[order], to[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])]
+    doc, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+    return [_pack(int(to[a]), None, ids[first], digests[first], doc[a:b], start[a:b]) for a, b in zip(edge, edge[1:])]
 
 
-def repeated(dealt: DataFrame) -> DataFrame:
-    """(id, digest, starts): the windows whose hash also starts earlier."""
+def repeated(dealt: DataFrame, buckets: int) -> DataFrame:
+    """The windows whose hash also starts earlier, packed by bucket of their text."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, parts = [], []
+        known, parts = [], []
         for r in table.to_batches():
             for h, *rest in zip(*(c.to_pylist() for c in r.columns[1:])):
                 if h is None:
-                    out += _by_text(*_unpack(*rest))
+                    known.append(_unpack(*rest))
                 else:
                     parts.append((np.frombuffer(h, np.uint64), *_unpack(*rest)))
         if parts:
@@ -106,24 +112,70 @@ def repeated(dealt: DataFrame) -> DataFrame:
             order = np.argsort(h)
             same = h[order[1:]] == h[order[:-1]]
             at = order[np.r_[False, same] | np.r_[same, False]]
-            at = at[np.lexsort((start[at], digests[at], ids[at], h[at]))]
-            first = np.r_[True, h[at][1:] != h[at][:-1]] if len(at) else np.zeros(0, bool)
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(at) else np.zeros(0, int)
-            later = (ids[at] != ids[at[lead]]) | (digests[at] != digests[at[lead]]) | (start[at] != start[at[lead]])
-            at = at[later]
-            out += _by_text(ids[at], digests[at], start[at])
-        return pa.Table.from_batches([batch(_REPEATS, *(zip(*out) if out else ((), (), ())))])
+            if len(at):
+                at = at[np.lexsort((start[at], digests[at], ids[at], h[at]))]
+                first = np.r_[True, h[at][1:] != h[at][:-1]]
+                lead = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                at = at[(ids[at] != ids[lead]) | (digests[at] != digests[lead]) | (start[at] != start[lead])]
+                known.append((ids[at], digests[at], start[at]))
+        out = _by_text_bucket(*(np.concatenate(x) for x in zip(*known)), buckets) if known else []
+        parts = known = None
+        trim()
+        return pa.Table.from_batches([batch(_DEALT, *(zip(*out) if out else [()] * 6))])
 
-    return dealt.groupBy("bucket").applyInArrow(run, "id long, digest long, starts binary")
+    return dealt.groupBy("bucket").applyInArrow(run, "bucket int, hashes binary, ids binary, digests binary, runs binary, gaps binary")
 
 
-def intervals(starts: list[bytes], size: int) -> list[tuple[int, int]]:
-    """Maximal removal intervals [from, to) of word positions that the windows at these starts cover."""
-    if not starts:
-        return []
-    s = np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(s) > size)
-    return [(int(a), int(b) + size) for a, b in zip(s[np.r_[0, cut + 1]], s[np.r_[cut, len(s) - 1]])]
+def intervals(start: np.ndarray, size: int) -> np.ndarray:
+    """Maximal removal intervals [from, to) of word positions that windows at these ascending starts cover, flat."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(start) > size)
+    return np.stack([start[np.r_[0, cut + 1]], start[np.r_[cut, len(start) - 1]] + size], 1).astype(np.int64).ravel()
+
+
+def removals(found: DataFrame, size: int) -> DataFrame:
+    """(id, digest, spans): one row per text that loses words, with its removal intervals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, digests, start = (np.concatenate(x) for x in zip(*(_unpack(*r) for r in zip(*(table.column(n).to_pylist() for n in ("ids", "digests", "runs", "gaps"))))))
+        order = np.lexsort((start, digests, ids))
+        ids, digests, start = ids[order], digests[order], start[order]
+        edge = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1]), True])
+        spans = [intervals(start[a:b], size).tobytes() for a, b in zip(edge, edge[1:])]
+        return pa.table({"id": pa.array(ids[edge[:-1]]), "digest": pa.array(digests[edge[:-1]]), "spans": pa.array(spans, pa.binary())})
+
+    return found.groupBy("bucket").applyInArrow(run, "id long, digest long, spans binary")
+
+
+_CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType())])
+
+
+def with_cuts(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id", name: str = "_cut") -> DataFrame:
+    """df with a struct column: n_words, n_removed, spans, kept of each row's text; see cut_repeats.
+
+    The text meets its removal intervals in one join; that is its only exchange.
+    """
+    own = df.withColumns({"_cut_id": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_cut_digest": F.xxhash64(text)})
+    docs = own.select(F.col("_cut_id").alias("id"), F.col("_cut_digest").alias("digest"), F.col(text).alias("text_body"))
+    buckets = bucket_count(docs, "text_body")
+    marks = removals(repeated(deal(docs, size, buckets), buckets), size).select(F.col("id").alias("_cut_id"), F.col("digest").alias("_cut_digest"), F.col("spans").alias("_cut_spans"))
+
+    @F.pandas_udf(_CUT)
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, raw in zip(texts, spans):
+            words = words_of(t)
+            pairs, left, at = np.frombuffer(raw or b"", np.int64).reshape(-1, 2).tolist(), [], 0
+            for a, b in pairs:
+                left += words[at:a]
+                at = b
+            left += words[at:]
+            out.append((len(words), len(words) - len(left), pairs, b" ".join(left).decode("utf-8", "surrogatepass")))
+        trim()
+        return pd.DataFrame(out, columns=_CUT.names)
+
+    return own.join(marks, ["_cut_id", "_cut_digest"], "left").withColumn(name, cut(F.col(text), F.col("_cut_spans"))).select(*df.columns, name)
 
 
 def cut_repeats(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -140,28 +192,19 @@ def cut_repeats(df: DataFrame, size: int = 20, text: str = "text", key: str = "d
     before all others; different texts under one key are ordered by a hash of the text; equal rows are
     one document and get equal results. An empty table gives no rows. Other columns are left out.
     """
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text_body"))
-    found = repeated(deal(docs, size, bucket_count(docs, "text_body")))
-    marks = found.groupBy("id", "digest").agg(F.collect_list("starts").alias("starts"))
-    joined = docs.join(marks, ["id", "digest"], "left")
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_removed", pa.int64()), ("kept", pa.string())])
-
-    def run(batches):
-        for rows in blocks(batches, 2_000_000, "text_body"):
-            out = []
-            for i, t, starts in zip(rows["id"], rows["text_body"], rows["starts"]):
-                words = words_of(t)
-                spans, left, at = intervals(starts or [], size), [], 0
-                for a, b in spans:
-                    left += words[at:a]
-                    at = b
-                left += words[at:]
-                out.append((i, len(words), [list(s) for s in spans], len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
-            yield batch(schema, *zip(*out))
-
-    cut = joined.select("id", "text_body", "starts").mapInArrow(run, "id long, n_words long, spans array<array<long>>, n_removed long, kept string")
-    return cut.select(F.nullif("id", F.lit(NO_KEY)).alias("doc_id"), "n_words", "spans", "n_removed", "kept")
+    rows = with_cuts(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text_body")), size, "text_body", "doc_id")
+    return rows.select("doc_id", "_cut.n_words", "_cut.spans", "_cut.n_removed", "_cut.kept")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM w, unnest(range(1, len(ws) - 18)) t(i)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at_word FROM win WHERE r > 1),
+words AS (SELECT doc_id, generate_subscripts(ws, 1) AS at_word, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at_word) AS text FROM words ANTI JOIN gone USING (doc_id, at_word) GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
