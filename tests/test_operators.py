@@ -220,3 +220,48 @@ def test_stream_validates(spark, tmp_path):
     stream = spark.readStream.schema("page_id int, text string, author string, url string").parquet(src)
     validate_stream(stream, s, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().reason == "fill_rate:text"
+
+
+def test_windowed_runs(spark):
+    from loamwork.streaming.serve_stream import windowed_runs
+
+    runs = spark.sql("select timestamp'2026-01-01 00:01:00' ts, 'f' family, true ok union all select timestamp'2026-01-01 00:04:00', 'f', false union all select timestamp'2026-01-01 00:06:00', 'f', true")
+    assert sorted((r.runs, r.successes) for r in windowed_runs(runs).collect()) == [(1, 1), (2, 1)]
+
+
+def test_serve_routes_extracts_and_fills(spark):
+    from loamwork.plans.serve import serve
+
+    p = spark.createDataFrame([(1, "https://a.com/p", "<div class='c'><b>A</b></div><div class='c'></div>"), (2, "https://b.com/", "<div class='c'><b>B</b></div>")], "page_id long, url string, html string")
+    tails = spark.createDataFrame([(1, "fill", "x")], "page_id long, name string, extra string")
+    got = serve(p, [("f", ["a.com"])], lambda d: html_select.extract(d, "div.c", {"name": "b"}), tails, ["name", "extra"])
+    assert sorted((r.page_id, r.item_ix, r.name, r.extra) for r in got.collect()) == [(1, 0, "A", "x"), (1, 1, "fill", "x")]
+
+
+def test_seeds_snapshots_and_files(spark, tmp_path):
+    history = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, url string")
+    assert [r.url for r in route.distinct_seeds(history, "c").orderBy("ord").collect()] == ["a", "b", "c"]
+    fetched = spark.createDataFrame([("u", "old", 1), ("u", "new", 2)], "url string, html string, ord int")
+    assert [(r.html, r.name[-5:]) for r in pages.snapshots(fetched).collect()] == [("new", ".html")]
+    pages.append_jsonl(history, str(tmp_path / "log"))
+    pages.append_jsonl(history, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 6
+    kind = "family string, sample string, html string, expected string"
+    pages.save_fixtures(spark.createDataFrame([("f", "1", "h", "[]"), ("f", "2", "h", "[]"), ("g", "1", "h", "[]")], kind), str(tmp_path / "fx"))
+    pages.save_fixtures(spark.createDataFrame([("f", "1", "h2", "[]")], kind), str(tmp_path / "fx"))
+    assert sorted((r.family, r.html) for r in spark.read.parquet(str(tmp_path / "fx")).collect()) == [("f", "h2"), ("g", "h")]
+
+
+def test_strategies(spark):
+    attempts = spark.createDataFrame([("a", 1, 0, "s", "blocked"), ("a", 1, 1, "t", "ok"), ("a", 2, 0, "s", "ok"), ("b", 1, 0, "s", "error"), ("c", 3, 0, "s", "ok")], "domain string, round int, ord int, strategy string, kind string")
+    got = {r.domain: (r.ok, r.strategy, r.rounds, r.status) for r in failure.recover(attempts).collect()}
+    assert got == {"a": (True, "t", 1, "working"), "b": (False, None, 2, "escalated")}
+    tries = spark.createDataFrame([("x", 1, "error", None), ("x", 2, "blocked", "rate"), ("x", 3, "ok", None), ("y", 1, "blocked", "auth"), ("z", 1, "error", None), ("z", 2, "error", None), ("z", 3, "error", None)], "request string, attempt int, kind string, marker string")
+    assert {r.request: (r.used_attempt, round(r.waited_s, 3)) for r in failure.backoff(tries).collect()} == {"x": (3, 0.3), "y": (1, 0.0), "z": (3, 0.3)}
+
+
+def test_active_residual_and_sources(spark):
+    versions = spark.createDataFrame([("f", 1, "active", "{}", "x"), ("g", 1, "fallback", "{}", "x")], "family string, n int, status string, spec string, source_sha string")
+    audit = spark.createDataFrame([(1, "promote", "f", 1, "old"), (2, "promote", "f", 1, "new"), (3, "other", "f", 1, "no")], "id long, event string, family string, to_version int, residual string")
+    assert [tuple(r) for r in registry.active_residual(versions, audit).collect()] == [("f", 1, "new")]
+    assert not versions.select(registry.verify_source(versions).alias("x")).first().x
