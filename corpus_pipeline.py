@@ -24,10 +24,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that start earlier too; texts that lose none stay as they are, and
     documents that lose all their words go."""
-    cut = substring_dedup.cut_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept").dropDuplicates(["_id"])
-    both = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("n_removed is null or n_removed < n_words")
-    text = F.when(F.col("n_removed").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    return both.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    cut = substring_dedup.with_cuts(docs).where("_cut.n_removed = 0 or _cut.n_removed < _cut.n_words")
+    text = F.when(F.col("_cut.n_removed") > 0, F.col("_cut.kept")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
