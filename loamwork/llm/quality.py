@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import batch, blocks, documents
+from loamwork.llm.common import batch, blocks, documents, lean, trim
 from loamwork.llm.weak import LabelModel, feature, fit_linear
 
 SIZE = 1 << 14
@@ -128,11 +128,11 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int =
             yield batch(schema, *zip(*out))
 
     counts = np.zeros(2 ** len(LABELLERS))
-    for r in docs.select("text_body").mapInArrow(vote, "votes int").groupBy("votes").count().collect():
+    for r in docs.select("text_body").mapInArrow(lean(vote), "votes int").groupBy("votes").count().collect():
         counts[r["votes"]] = r["count"]
     labels = LabelModel([p for p, _ in LABELLERS], silence=False).fit(counts)
     posterior = labels.posterior()
-    chosen = docs.where(F.pmod("h", F.lit(2**40)) < edge).select("text_body").mapInArrow(sample, "votes int, features binary, amounts binary").collect()
+    chosen = docs.where(F.pmod("h", F.lit(2**40)) < edge).select("text_body").mapInArrow(lean(sample), "votes int, features binary, amounts binary").collect()
     chosen = sorted(chosen, key=lambda r: (r["votes"], bytes(r["features"]), bytes(r["amounts"])))
     rows = [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["amounts"], np.float32)) for r in chosen]
     weights, bias = fit_linear(rows, np.array([posterior[r["votes"]] for r in chosen]), SIZE, l1=1e-5)
@@ -152,6 +152,7 @@ def scorer(spark: SparkSession, model: dict):
             w, t = traits(x)
             f, v = features(w, t, shapes)
             out[i] = bias + float(weights[f] @ v)
+        trim()
         return pd.Series(1 / (1 + np.exp(np.clip(out, -40, 40))))
 
     return good
