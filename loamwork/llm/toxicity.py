@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import batch, blocks, documents
+from loamwork.llm.common import batch, blocks, documents, lean, trim
 from loamwork.llm.weak import LabelModel, feature, fit_linear
 
 SIZE = 1 << 18
-#: The classifier and the induced lexicons are fitted on this many labelled rows at most, those of least hash.
+#: The classifier and the induced lexicons are fitted on this many rows at most, labelled ones first, by least hash.
 FIT_ROWS = 12_000
 #: Entries of the induced lexicons together, at most.
 INDUCED = 600
@@ -32,36 +33,50 @@ _SHOUT = re.compile(r"!{2,}|\b[A-Z]{4,}\b")
 POLARITY = [1] * 12
 
 
+def word_features(word: str) -> list[int]:
+    """Hashed features of a word: itself, its first 4 and 5 letters."""
+    f = [feature("w:" + word, SIZE)]
+    if len(word) > 4:
+        f.append(feature("4:" + word[:4], SIZE))
+    if len(word) > 5:
+        f.append(feature("5:" + word[:5], SIZE))
+    return f
+
+
 class _Words(dict):
-    """Per word: hashed features (the word, its first 4 and 5 letters), bits of the lists that have it,
-    induced lexicon number + 1 or 0. Bounded."""
+    """What `of` says of each word; forgets all beyond `most` words."""
 
-    def __init__(self, induced: frozenset = frozenset(), most: int = 150_000):
+    def __init__(self, of, most: int = 200_000):
         super().__init__()
-        self.induced, self.most = induced, most
+        self.of, self.most = of, most
 
     def __missing__(self, word: str):
         if len(self) >= self.most:
             self.clear()
-        f = [feature("w:" + word, SIZE)]
-        if len(word) > 4:
-            f.append(feature("4:" + word[:4], SIZE))
-        if len(word) > 5:
-            f.append(feature("5:" + word[:5], SIZE))
-        lists = sum(1 << i for i, x in enumerate(_LISTS) if word in x)
-        hit = next((1 + x % 4 for x in f if x in self.induced), 0)
-        x = self[word] = (f, lists, hit)
+        x = self[word] = self.of(word)
         return x
 
 
+def marks(induced: frozenset):
+    """Of a word: bits of the lists that have it, and its induced lexicon's number + 1 or 0; None for neither."""
+
+    def of(word: str):
+        lists = sum(1 << i for i, x in enumerate(_LISTS) if word in x)
+        hit = next((1 + x % 4 for x in word_features(word) if x in induced), 0)
+        return (lists, hit) if lists or hit else None
+
+    return of
+
+
 def distinct(text: str | None) -> set[str]:
     return set(_WORDS.findall(text.lower())) if text else set()
 
 
 def votes(text: str | None, words: set[str], table: _Words) -> int:
+    """Bits of the voters that fire; table is of marks."""
     hits, induced, out = 0, [0, 0, 0, 0], 0
-    for w in words:
-        _, lists, hit = table[w]
+    for mark in filter(None, map(table.__getitem__, words)):
+        lists, hit = mark
         if lists:
             hits += 1
             out |= lists
@@ -77,10 +92,10 @@ def votes(text: str | None, words: set[str], table: _Words) -> int:
 
 
 def features(words: set[str], table: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of distinct words per hashed feature."""
-    flat = np.array([f for w in words for f in table[w][0]], np.int64)
+    """Numbers of distinct words per hashed feature, 3 at most; table is of word_features."""
+    flat = np.fromiter(chain.from_iterable(map(table.__getitem__, words)), np.int32)
     f, n = np.unique(flat, return_counts=True)
-    return f.astype(np.int32), np.minimum(n, 3).astype(np.float32)
+    return f, np.minimum(n, 3).astype(np.uint8)
 
 
 def induce(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> frozenset:
@@ -96,19 +111,20 @@ def induce(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> froz
 def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
     """The classifier's weights, bias and label model.
 
-    Only labels of rows for which SQL `learn` holds are read. The induced lexicons come from a bounded sample
-    of them (fit_rows, of least hash). All voters vote on all rows for which `learn` holds, labelled or
+    Only labels of rows for which SQL `learn` holds are read. A bounded sample (fit_rows rows, labelled
+    ones first, by least hash) gives the induced lexicons, from its labels. All voters vote on all rows for which `learn` holds, labelled or
     not; counts by pattern and label, at most 3 * 2 ** 12, go to EM. The classifier is fitted to the
     sample's posteriors.
     """
     spark = df.sparkSession
     docs = df.where(learn).select(F.col(key).alias("id"), F.col(text).alias("text_body"))
     known = labels.where(learn).where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    # labelled rows first; at most fit_rows ids and labels
+    chosen = docs.select("id").where("id is not null").distinct().join(known, "id", "left").orderBy(F.col("toxic").isNull(), F.xxhash64("id"), "id").limit(fit_rows)
     schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("text_votes", pa.binary()), ("features", pa.binary()), ("amounts", pa.binary())])
 
     def sample(batches):
-        table = _Words()
+        table = _Words(word_features)
         for rows in blocks(batches, 2_000_000, "text_body"):
             out = []
             for i, y, x in zip(rows["id"], rows["toxic"], rows["text_body"]):
@@ -117,33 +133,36 @@ def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: s
             yield batch(schema, *zip(*out))
 
     # at most fit_rows ids and labels are broadcast
-    got = docs.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), F.col("toxic").cast("int"), "text_body").mapInArrow(sample, "id long, toxic int, text_votes binary, features binary, amounts binary").collect()
+    got = docs.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), F.col("toxic").cast("int"), "text_body").mapInArrow(lean(sample), "id long, toxic int, text_votes binary, features binary, amounts binary").collect()
     got = sorted(got, key=lambda r: (r["id"], bytes(r["features"])))
-    rows = [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["amounts"], np.float32)) for r in got]
-    label = np.array([r["toxic"] for r in got], int)
+    rows = [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["amounts"], np.uint8)) for r in got]
+    label = np.array([-1 if r["toxic"] is None else r["toxic"] > 0 for r in got], int)
     induced = induce(rows, label)
     shared = spark.sparkContext.broadcast(induced)
 
     def vote(batches):
-        table = _Words(shared.value)
+        table = _Words(marks(shared.value))
         out = pa.schema([("id", pa.int64()), ("votes", pa.int32())])
         for r in blocks(batches, 2_000_000, "text_body"):
             yield batch(out, r["id"], [votes(x, distinct(x), table) for x in r["text_body"]])
 
     counts = np.zeros((3, 2 ** len(POLARITY)))
-    polled = docs.select(F.col("id").cast("long"), "text_body").mapInArrow(vote, "id long, votes int")
+    polled = docs.select(F.col("id").cast("long"), "text_body").mapInArrow(lean(vote), "id long, votes int")
     for r in polled.join(known, "id", "left").groupBy("votes", "toxic").count().collect():
         counts[0 if r["toxic"] is None else 1 + (r["toxic"] > 0), r["votes"]] += r["count"]
-    model = LabelModel(POLARITY, prior=0.12).fit(*counts)
+    model = LabelModel(POLARITY, prior=0.12, trust=0.999).fit(*counts)
 
     # votes of the sample's rows, from their features: lists and induced lexicons are words and features alike
     trust = np.log(model.trust / (1 - model.trust))
-    believed = [model.posterior(-trust), model.posterior(trust)]
+    believed = {y: model.posterior(e) for y, e in ((-1, 0.0), (0, -trust), (1, trust))}
     own = {}
-    for r in docs.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), "text_body").mapInArrow(vote, "id long, votes int").collect():
+    for r in docs.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), "text_body").mapInArrow(lean(vote), "id long, votes int").collect():
         own.setdefault(r["id"], r["votes"])
-    target = np.array([believed[r["toxic"] > 0][own[r["id"]]] for r in got]) if got else np.zeros(0)
-    weights, bias = fit_linear(rows, target, SIZE, l1=2e-4)
+    target = np.array([believed[int(y)][own[r["id"]]] for r, y in zip(got, label)])
+    # a strong penalty picks the features, a weak one fits their weights
+    picked = fit_linear(rows, target, SIZE, l1=2e-3)[0] != 0
+    rows = [(f[picked[f]], v[picked[f]]) for f, v in rows]
+    weights, bias = fit_linear(rows, target, SIZE, l1=1e-4)
     return {"weights": weights.astype(np.float32), "bias": bias, "labels": model}
 
 
@@ -156,15 +175,14 @@ def scorer(spark: SparkSession, model: dict):
     @F.pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
         own, bias = shared.value
-        table = _Words()
+        table = _Words(lambda word: [f for f in word_features(word) if f in own])
         out = np.empty(len(texts))
         for i, x in enumerate(texts):
             count: dict[int, int] = {}
-            for w in distinct(x):
-                for f in table[w][0]:
-                    if f in own:
-                        count[f] = count.get(f, 0) + 1
+            for f in chain.from_iterable(filter(None, map(table.__getitem__, distinct(x)))):
+                count[f] = count.get(f, 0) + 1
             out[i] = bias + sum(own[f] * min(n, 3) for f, n in sorted(count.items()))
+        trim()
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return toxic

@@ -7,6 +7,23 @@ import zlib
 import numpy as np
 
 
+def excess_covariance(cov: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """What pairs of voters share beyond a common cause: off-diagonal covariance less a rank-one part.
+
+    Voters that only share the hidden label have covariances v_j * v_k; v is fitted with weights that fall
+    with the misfit, so a few dependent pairs don't bend it. As a share of the two standard deviations.
+    """
+    m, sd = len(cov), np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    off = cov / np.outer(sd, sd) * (1 - np.eye(m))
+    if m < 3:
+        return np.zeros((m, m))
+    v = np.sqrt(np.maximum(np.nanmedian(np.where(np.eye(m) > 0, np.nan, off), axis=1), 1e-3))
+    for _ in range(rounds):
+        weight = (1 - np.eye(m)) / (np.abs(off - np.outer(v, v)) + 0.01)
+        v = 0.5 * v + 0.5 * (weight * off) @ v / np.maximum(weight @ (v * v), 1e-9)
+    return (off - np.outer(v, v)) * (1 - np.eye(m))
+
+
 def feature(name: str, size: int) -> int:
     """Hashed feature number, stable across processes."""
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
@@ -15,10 +32,10 @@ def feature(name: str, size: int) -> int:
 class LabelModel:
     """Voters that fire or don't, given a hidden label; fitted to counts of vote patterns by EM.
 
-    votes are bit masks of `polarity` voters: 1 fires for the label, -1 against it. After a first EM,
-    the correlation that voters keep within each label class is estimated, and each voter's evidence is
-    divided by one plus its correlations with others, so that voters that repeat each other don't count
-    twice; a second EM follows. Labels that are known enter as counts of their own (gold), believed with
+    votes are bit masks of `polarity` voters: 1 fires for the label, -1 against it. Correlations
+    are estimated first from covariances that no common cause explains, then, after EM, within each label
+    class; each voter's evidence is divided by one plus its correlations with others, so that voters that
+    repeat each other don't count twice; then EM runs again. Labels that are known enter as counts of their own (gold), believed with
     probability `trust`. With silence=False a voter that doesn't fire abstains: that is no evidence, as fits
     voters that each know one kind of a label's cases. All sums are over patterns, at most 2 ** voters of them.
     """
@@ -59,6 +76,9 @@ class LabelModel:
         counts = [votes, gold0 if gold0 is not None else nothing, gold1 if gold1 is not None else nothing]
         if not sum(c.sum() for c in counts):
             return self
+        mass = sum(counts)
+        share = mass @ self.bits / mass.sum()
+        self._discount(excess_covariance((self.bits - share).T @ ((self.bits - share) * mass[:, None]) / mass.sum()))
         self._rounds(counts, rounds)
         trust = np.log(self.trust / (1 - self.trust))
         one = sum(c * self.posterior(e) for c, e in zip(counts, (0.0, -trust, trust)))
@@ -69,12 +89,15 @@ class LabelModel:
             cov = off.T @ (off * mass[:, None]) / max(mass.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             total += cov / np.outer(sd, sd) * (mass.sum() / sum(c.sum() for c in counts))
-        self.correlation = total
-        other = np.maximum(total - np.diag(np.diag(total)), 0)
-        self.weight = 1 / (1 + np.where(other > 0.1, other, 0).sum(1))
+        self._discount(total)
         self._rounds(counts, rounds)
         return self
 
+    def _discount(self, correlation: np.ndarray) -> None:
+        self.correlation = correlation
+        other = np.maximum(correlation - np.diag(np.diag(correlation)), 0)
+        self.weight = 1 / (1 + np.where(other > 0.1, other, 0).sum(1))
+
     def accuracies(self) -> np.ndarray:
         """Share of cases in which a voter's firing or not agrees with the label, by the model."""
         fires = np.where(self.polarity > 0, self.rates[1], 1 - self.rates[1])
@@ -91,13 +114,18 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, si
     n = len(rows)
     if not n:
         return np.zeros(size), 0.0
-    row = np.repeat(np.arange(n), [len(f) for f, _ in rows])
-    f = np.concatenate([x for x, _ in rows]).astype(np.int64)
-    v = np.concatenate([x for _, x in rows]).astype(float)
-    enough = np.bincount(f, minlength=size) >= least_rows
-    keep = enough[f]
-    row, f, v = row[keep], f[keep], v[keep]
-    used, f = np.unique(f, return_inverse=True)
+    seen = np.zeros(size, np.int64)
+    for f, _ in rows:
+        seen[f] += 1
+    enough = seen >= least_rows
+    kept = [enough[f] for f, _ in rows]
+    row = np.repeat(np.arange(n, dtype=np.int32), [int(k.sum()) for k in kept])
+    f = np.concatenate([x[k] for (x, _), k in zip(rows, kept)])
+    v = np.concatenate([x[k] for (_, x), k in zip(rows, kept)]).astype(np.float32)
+    used = np.flatnonzero(enough)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    f = place[f]
     mean = float(np.clip(target.mean(), 1e-3, 0.999))
     w, bias = np.zeros(len(used)), np.log(mean / (1 - mean))
     length = np.bincount(row, v, n) + 1.0
