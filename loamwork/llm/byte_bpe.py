@@ -11,8 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loamwork.llm.common import batch, blocks, documents
+from loamwork.llm.common import batch, blocks, documents, lean
 
 _IDS = pa.list_(pa.int32())
 
@@ -152,7 +153,7 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
 class Encoder:
     """Encodes blocks of texts; the words of a block that aren't known yet are replayed together."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 300_000):
         self.ranks, self.merges, self.most = ranks, Merges(ranks), most_words
         self.find_all, self.find, self.known = regex.compile(pattern).findall, regex.compile(pattern).finditer, {}
 
@@ -172,10 +173,12 @@ class Encoder:
                 self.known[new[i]] = r.to_bytes(4, "little")
             else:
                 left.append(i)
-        for i, ids in zip(left, replay([raw[i] for i in left], self.merges)):
-            self.known[new[i]] = ids
+        for at in range(0, len(left), 60_000):  # bounds the memory of a replay
+            part = left[at : at + 60_000]
+            for i, ids in zip(part, replay([raw[i] for i in part], self.merges)):
+                self.known[new[i]] = ids
 
-    def encode(self, texts: list[str | None], at_once: int = 900_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], at_once: int = 500_000) -> list[np.ndarray]:
         """at_once: pieces that are held together; longer texts go on in further parts."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
@@ -204,26 +207,15 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>): each text's token ids, as the merge ranks and the pattern give them.
-
-    One row per row of df, repeated rows and null keys too; null and empty texts give no ids; texts of
-    any length are encoded whole, in parts. Other columns, whatever their names, are left out. The ranks
-    (a vocabulary of fixed size) are broadcast. Each task replays merges over the distinct words of
-    blocks of many documents, and a Python worker keeps a bounded table of words that it has done.
-    """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
-    tag = (pattern, len(ranks), hash(frozenset(ranks.items())))
-    kind = df.select(key).schema[0].dataType
-    schema = pa.schema([("text_key", _arrow_type(kind)), ("ids", _IDS)])
+def _encoding(shared, tag: tuple, pattern: str, kind: pa.DataType):
+    schema = pa.schema([("text_key", kind), ("ids", _IDS)])
 
     def run(batches):
         if tag not in _encoders:
             _encoders.clear()
             _encoders[tag] = Encoder(shared.value, pattern)
         coder = _encoders[tag]
-        for rows in blocks(batches, 4_000_000, "text_body"):
+        for rows in blocks(batches, 2_500_000, "text_body"):
             ids = coder.encode(rows["text_body"])
             ends = np.cumsum([0, *map(len, ids)])
             if ends[-1] < 2**31:
@@ -233,33 +225,59 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             for k, x in zip(rows["text_key"], ids):
                 yield batch(schema, [k], pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32())))
 
-    from pyspark.sql import types as T
-
-    out = T.StructType([T.StructField("text_key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(key).alias("text_key"), F.col(text).alias("text_body")).mapInArrow(run, out).withColumnRenamed("text_key", key)
+    return run
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """df with a column decoded (binary): the bytes that each row's ids stand for, joined.
-
-    Null and empty lists give no bytes; an id outside the vocabulary or a null id raises KeyError. df must not
-    have a column named decoded.
-    """
-    shared = df.sparkSession.sparkContext.broadcast({r: t for t, r in ranks.items()})
-
+def _decoding(shared, ids: str):
     def run(batches):
-        get = shared.value.__getitem__
+        of = {r: t for t, r in shared.value.items()}
         for b in batches:
             lists = b.column(b.schema.names.index(ids))
             out = []
             for i in range(len(lists)):
                 x = lists[i].values
-                out.append(b"".join(map(get, x.to_numpy(zero_copy_only=False).tolist())) if x is not None and len(x) else b"")
+                out.append(b"".join(map(of.__getitem__, x.to_numpy(zero_copy_only=False).tolist())) if x is not None and len(x) else b"")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    from pyspark.sql import types as T
+    return run
+
+
+def _coding(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, key: str, back: bool) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    kind = df.select(key).schema[0].dataType
+    to_ids = _encoding(shared, (pattern, len(ranks), hash(frozenset(ranks.items()))), pattern, _arrow_type(kind))
+    to_bytes = _decoding(shared, "ids")
+    fields = [T.StructField("text_key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if back:
+        fields.append(T.StructField("decoded", T.BinaryType()))
+    run = (lambda batches: to_bytes(to_ids(batches))) if back else to_ids
+    return df.select(F.col(key).alias("text_key"), F.col(text).alias("text_body")).mapInArrow(lean(run), T.StructType(fields)).withColumnRenamed("text_key", key)
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, ids array<int>): each text's token ids, as the merge ranks and the pattern give them.
+
+    One row per row of df, repeated rows and null keys too; null and empty texts give no ids; texts of
+    any length are encoded whole, in parts. Other columns, whatever their names, are left out. The ranks
+    (a vocabulary of fixed size) are broadcast. Each task replays merges over the distinct words of
+    blocks of many documents, and a Python worker keeps a bounded table of words that it has done.
+    """
+    return _coding(df, ranks, pattern, text, key, False)
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
+    """df with a column decoded (binary): the bytes that each row's ids stand for, joined.
+
+    Null and empty lists give no bytes; an id outside the vocabulary or a null id raises KeyError. df must not
+    have a column named decoded.
+    """
+    run = _decoding(df.sparkSession.sparkContext.broadcast(ranks), ids)
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, ids, decoded): encode and decode in one pass, so that one Python worker per task holds the tables."""
+    return _coding(df, ranks, pattern, text, key, True)
 
 
 def _arrow_type(kind):
@@ -270,8 +288,7 @@ def _arrow_type(kind):
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     ranks = load_ranks(vocabulary)
-    coded = decode(encode(docs, ranks, pattern), ranks)
-    return coded.select(
+    return round_trip(docs, ranks, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
