@@ -14,6 +14,8 @@ from loamwork.llm.common import batch, documents, saved
 
 #: Vectors of the sample that the number of tables is fitted on, and its queries.
 FIT_ROWS, FIT_QUERIES = 16_000, 120
+#: Beyond so many distinct vectors a bucket is a pair of axes, so that buckets don't grow with the table.
+JOINT_ROWS = 4_000_000
 #: Distinct vectors that one block of a bucket holds, about.
 BLOCK = 4096
 
@@ -81,36 +83,41 @@ class CrossPolytope:
         return out
 
 
-def fit(sample: np.ndarray, longest: float, even: bool, k: int, probes: int, joint: int, target: float, most: int = 48) -> CrossPolytope:
-    """As few tables as find `target` of the sample's true neighbours; brute force on the sample is the measure.
+def fit(sample: np.ndarray, longest: float, even: bool, k: int, probes: int, joint: int, target: float, most: int = 48, most_probes: int = 256) -> tuple[CrossPolytope, int]:
+    """As few tables as find `target` of the sample's true neighbours, and the probes that takes: these double
+    while `most` tables don't suffice. Brute force on the sample is the measure.
 
     A sample's neighbours lie farther off than the whole table's, so this is on the safe side."""
     index = CrossPolytope(sample.shape[1], most, longest, even, joint)
-    if len(sample) <= k + 1:
+    if len(sample) <= 4 * k:  # so few that a query looks into every bucket
         index.tables = 1
-        return index
+        return index, (2 * index.size) ** joint
     asked = np.arange(min(FIT_QUERIES, len(sample)))
     near = sample[asked] @ sample.T
     near[asked, asked] = -np.inf
     true = np.argpartition(-near, k, axis=1)[:, :k]
-    codes, wanted = index.codes(sample), index.probes(sample[asked], probes)
-    found = np.zeros(true.shape, bool)
-    for t in range(most):
-        found |= (codes[true, t][:, :, None] == wanted[:, t][:, None, :]).any(2)
-        if found.mean() >= target:
-            index.tables = t + 1
-            break
-    return index
-
-
-def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", probes: int = 4, joint: int = 1, target: float = 0.95) -> DataFrame:
+    codes = index.codes(sample)
+    while True:
+        wanted, found = index.probes(sample[asked], probes), np.zeros(true.shape, bool)
+        for t in range(most):
+            found |= (codes[true, t][:, :, None] == wanted[:, t][:, None, :]).any(2)
+            if found.mean() >= target:
+                index.tables = t + 1
+                return index, probes
+        if probes >= most_probes:
+            return index, probes
+        probes *= 2
+
+
+def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", probes: int = 4, joint: int | None = None, target: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows for which SQL `queries` holds, the k found with the largest inner product.
 
     Every vector is in one bucket per table: its nearest signed axis after a pseudo-rotation (`joint` of
-    them for finer buckets). A query looks into the `probes` nearest buckets of each table. All vectors of
+    them for finer buckets; by default one, or two for tables beyond JOINT_ROWS). A query looks into the `probes` nearest buckets of each table. All vectors of
     these are compared exactly, in double precision; a bucket's vectors are dealt over blocks of a
     bounded size, each met by the bucket's queries, and a block returns its k + 1 best per query, so
-    pairs never leave it. The number of tables is fitted on a bounded sample to a recall of `target`.
+    pairs never leave it. The number of tables, and if need be more probes, are fitted on a bounded
+    sample to a recall of `target`.
 
     Equal vectors are one entry with its k + 1 least ids, which is all that k neighbours can need; equal
     queries are asked once. Ties go to the smaller id; a query's own row is no candidate; fewer
@@ -167,7 +174,8 @@ def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vecto
     asked = asked.mapInArrow(digest, "query_id long, digest binary").distinct()
     drawn = entries.orderBy("digest").limit(FIT_ROWS).select("v").collect()
     sample = np.array([np.frombuffer(r["v"]) for r in drawn])
-    index = fit(sample, longest, even, k, probes, joint, target)
+    joint = joint or (1 if entries.count() <= JOINT_ROWS else 2)
+    index, probes = fit(sample, longest, even, k, probes, joint, target)
     shared = spark.sparkContext.broadcast(index)
     tables = index.tables
 
