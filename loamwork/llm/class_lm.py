@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, lean, saved, trim
 
 NO_KEY = -(2**63)
-#: A word or ending is an item of the clustering if at least this share of all training tokens are its: so
-#: there are at most 4 / SHARE items, whatever the corpus.
-SHARE = 2e-5
+#: A word or ending is an item of the clustering if it occurs so often in training, whatever the size of the
+#: corpus: so the clustered vocabulary grows with it.
+LEAST = 8
 CLASSES = 64
 SWEEPS = 5
 #: Added to each word's count, and for one unseen word.
 MORE = 0.1
 #: Added to each class transition's count.
 EASE = 0.5
+#: Training tokens for each chunk of items whose contexts meet in one place; cells that a task holds.
+CHUNK_TOKENS, HELD = 2_000_000, 4_000_000
 _DEALT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("train", pa.binary()), ("ids", pa.binary()), ("digests", pa.binary())])
 
 
@@ -36,23 +38,49 @@ def endings(word: bytes) -> tuple[str, str, str]:
     return "3" + w[-3:], "2" + w[-2:], "1" + w[-1:]
 
 
+class Keys:
+    """Items by 64-bit hash in two sorted arrays, 12 bytes an item."""
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.items = hashes[order], items[order].astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def get(self, text: bytes) -> int | None:
+        h = np.uint64(xxhash.xxh3_64_intdigest(text))
+        at = self.hashes.searchsorted(h)
+        return int(self.items[at]) if at < len(self.hashes) and self.hashes[at] == h else None
+
+
+class Known(dict):
+    """Item of each ending or None, bounded like WordHash."""
+
+    def __init__(self, keys: Keys, most: int = 100_000):
+        super().__init__()
+        self.of, self.most = keys, most
+
+    def __missing__(self, ending: str) -> int | None:
+        if len(self) >= self.most:
+            self.clear()
+        x = self[ending] = self.of.get(ending.encode())
+        return x
+
+
 class Items(dict):
     """Item of each word: its own, else that of its longest known ending, else `other`; bounded like WordHash."""
 
-    def __init__(self, words: dict[int, int], ends: dict[str, int], other: int, most: int = 300_000):
+    def __init__(self, words: Keys, ends: Keys, other: int, most: int = 300_000):
         super().__init__()
-        self.words, self.ends, self.other, self.most = words, ends, other, most
+        self.words, self.ends, self.other, self.most = words, Known(ends), other, most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        x = self.words.get(xxhash.xxh3_64_intdigest(word))
+        x = self.words.get(word)
         if x is None:
-            a, b, c = endings(word)
-            get = self.ends.get
-            x = get(a)
-            if x is None and (x := get(b)) is None and (x := get(c)) is None:
-                x = self.other
+            x = next((y for e in endings(word) if (y := self.ends[e]) is not None), self.other)
         self[word] = x
         return x
 
@@ -81,14 +109,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _sum_by_key(counts: DataFrame, keyed, kind: pa.DataType, name: str) -> DataFrame:
-    """(key, n, words): occurrences and number of distinct words for each key that `keyed` gives a word."""
+    """(key, n, words): occurrences and number of distinct words for each key that the function from `keyed` gives a word."""
     schema = pa.schema([("key", kind), ("n", pa.int64()), ("words", pa.int64())])
 
     def run(batches):
         total: dict = {}
+        give = keyed()
         for b in batches:
             for w, n in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                for k in keyed(w):
+                for k in give(w):
                     x = total.setdefault(k, [0, 0])
                     x[0] += n
                     x[1] += 1
@@ -100,45 +129,73 @@ def _sum_by_key(counts: DataFrame, keyed, kind: pa.DataType, name: str) -> DataF
     return counts.select("word", "n").mapInArrow(lean(run), f"key {name}, n long, words long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
 
 
-def _signed(x: int) -> int:
+def _signed(text: bytes) -> int:
+    x = xxhash.xxh3_64_intdigest(text)
     return x - 2**64 if x >= 2**63 else x
 
 
-def vocabulary(counts: DataFrame, share: float) -> dict:
-    """The items: frequent words, then frequent endings of the other words, other, and the end; with their
-    counts and numbers of distinct words. Only frequent keys come to the driver: hashes of words, and endings of three characters at most."""
+def _columns(sums: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, n, words of all rows on the driver, packed by task: 24 bytes a key."""
+    schema = pa.schema([("key", pa.binary()), ("n", pa.binary()), ("words", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            yield batch(schema, *([b.column(i).to_numpy().astype(np.int64).tobytes()] for i in range(3)))
+
+    rows = sums.select("key", "n", "words").mapInArrow(lean(run), "key binary, n binary, words binary").collect()
+    return tuple(np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in range(3))
+
+
+def vocabulary(counts: DataFrame, least: float = LEAST) -> dict:
+    """The items: words with `least` occurrences, then endings with as many of the other words, other, and the end;
+    with their counts and numbers of distinct words. The driver gets packed hashes and counts of these only."""
+    spark = counts.sparkSession
     words_n, total = counts.agg(F.count("*"), F.sum("n")).first()
-    least = max(2.0, share * (total or 0))
-    frequent = _sum_by_key(counts.where(F.col("n") >= least), lambda w: [_signed(xxhash.xxh3_64_intdigest(w))], pa.int64(), "long").collect()
-    words = {r["key"] % 2**64: i for i, r in enumerate(sorted(frequent, key=lambda r: (-r["n"], r["key"])))}
-    known = counts.sparkSession.sparkContext.broadcast(words)
-    rare = _sum_by_key(counts.where(F.col("n") < least), endings, pa.string(), "string")
-    ends = {r["key"]: len(words) + i for i, r in enumerate(sorted(rare.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["key"])))}
+    least = max(2.0, least)
+
+    def ranked(sums: DataFrame, first: int) -> tuple[Keys, np.ndarray, np.ndarray]:
+        key, n, words = _columns(sums)
+        order = np.lexsort((key, -n))
+        return Keys(key[order].astype(np.uint64), first + np.arange(len(key))), n[order], words[order]
+
+    words, words_count, same_hash = ranked(_sum_by_key(counts.where(F.col("n") >= least), lambda: lambda w: [_signed(w)], pa.int64(), "long"), 0)
+    rare = counts.where(F.col("n") < least)
+    ends, _, _ = ranked(_sum_by_key(rare, lambda: lambda w: [_signed(e.encode()) for e in endings(w)], pa.int64(), "long").where(F.col("n") >= least), len(words))
     other = len(words) + len(ends)
-    shared = counts.sparkSession.sparkContext.broadcast(ends)
-    tally = _sum_by_key(counts, lambda w: [Items(known.value, shared.value, other, 1)[w]], pa.int64(), "long")
+    shared = spark.sparkContext.broadcast((words, ends))
+
+    def item():
+        of = Items(*shared.value, other)
+        return lambda w: [of[w]]
+
+    at, ends_count, ends_words = _columns(_sum_by_key(rare, item, pa.int64(), "long"))
     n, distinct = np.zeros(other + 2, np.int64), np.zeros(other + 2, np.int64)
-    for r in tally.collect():
-        n[r["key"]], distinct[r["key"]] = r["n"], r["words"]
+    n[: len(words)], distinct[: len(words)] = words_count, same_hash
+    np.add.at(n, at, ends_count)
+    np.add.at(distinct, at, ends_words)
     return {"words": words, "ends": ends, "other": other, "end": other + 1, "n": n, "distinct": distinct, "total": total or 0, "vocabulary": words_n}
 
 
 def itemised(docs: DataFrame, vocab: dict) -> DataFrame:
-    """(id, digest, held_out, items): each text as items, the end last."""
+    """(id, digest, held_out, items, rare): each text as items, the end last, and hashes of the words that are no items."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab["words"], vocab["ends"], vocab["other"], vocab["end"]))
 
     def run(batches):
         words, ends, other, end = shared.value
-        of = Items(words, ends, other)
-        schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("held_out", pa.bool_()), ("items", pa.list_(pa.int32()))])
+        of, hashes, own = Items(words, ends, other), WordHash(100_000), len(words)
+        schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("held_out", pa.bool_()), ("items", pa.list_(pa.int32())), ("rare", pa.binary())])
         for rows in blocks(batches, 2_000_000, "text_body"):
-            lists = [np.fromiter(map(of.__getitem__, t := tokens_of(x)), np.int32, len(t)) for x in rows["text_body"]]
+            lists, rare = [], []
+            for x in rows["text_body"]:
+                t = tokens_of(x)
+                lists.append(np.fromiter(map(of.__getitem__, t), np.int32, len(t)))
+                rare.append(hashes.array([t[i] for i in np.flatnonzero(lists[-1] >= own).tolist()]).tobytes())
             last = np.array([end], np.int32)
             flat = np.concatenate([y for x in lists for y in (x, last)])
             ends_at = np.cumsum([0, *(len(x) + 1 for x in lists)])
-            yield batch(schema, rows["id"], rows["digest"], rows["held_out"], pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(flat)))
+            yield batch(schema, rows["id"], rows["digest"], rows["held_out"], pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(flat)), rare)
 
-    return docs.mapInArrow(lean(run), "id long, digest long, held_out boolean, items array<int>")
+    return docs.mapInArrow(lean(run), "id long, digest long, held_out boolean, items array<int>, rare binary")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -148,44 +205,108 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(many)), many)
 
 
-def contexts(items: DataFrame, of: np.ndarray, classes: int, span: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Counts [item, class before] and [item, class after] over the training texts, under the classes `of`."""
+def transitions(items: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """Counts [class before, class] over the training texts, under the classes `of`."""
+    shared = items.sparkSession.sparkContext.broadcast(of)
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        cls, counts = shared.value, np.zeros(classes * classes, np.int64)
+        for b in batches:
+            flat, _ = _flat(b)
+            if len(flat):
+                c = cls[flat]
+                counts += np.bincount(np.r_[cls[-1], c[:-1]].astype(np.int32) * classes + c, minlength=len(counts))
+        cells = np.flatnonzero(counts)
+        yield batch(schema, cells.astype(np.int32), counts[cells])
+
+    out = np.zeros(classes * classes)
+    for cell, n in items.where("not held_out").select("items").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out.reshape(classes, classes)
+
+
+def contexts(items: DataFrame, of: np.ndarray, classes: int, chunks: int) -> DataFrame:
+    """(chunk, many, at, n): counts [item, class before] and [item, class after] over the training texts, under the
+    classes `of`, of each task or more. Item i is number i // chunks of chunk i % chunks; cells in use only, as
+    compressed steps from one to the next."""
     shared = items.sparkSession.sparkContext.broadcast(of)
-    total, end = len(of), len(of) - 1
+    wide = 2 * classes
+    room = (len(of) // chunks + 1) * wide
+    schema = pa.schema([("chunk", pa.int32()), ("many", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
 
     def run(batches):
         cls = shared.value
-        size = total * classes
-        counts = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+        pack = pa.Codec("zstd", 1).compress
+        held: list = []
+
+        def merged():
+            cells, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(cells, kind="stable")
+            cells, n = cells[order], n[order]
+            first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            held[:] = [(cells[first], np.add.reduceat(n, first))]
+
+        def out():
+            merged()
+            cells, n = held.pop()
+            chunk, local = np.divmod(cells, room)
+            edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+            for a, z in zip(edge, edge[1:]):
+                yield batch(schema, [int(chunk[a])], [int(z - a)], [pack(np.diff(local[a:z], prepend=0).astype(np.int32), asbytes=True)], [pack(n[a:z].astype(np.int32), asbytes=True)])
+
         for b in batches:
             flat, _ = _flat(b)
             if not len(flat):
                 continue
             c = cls[flat]
-            at = flat.astype(np.int64) * classes
-            counts[0] += np.bincount(at + np.r_[cls[end], c[:-1]], minlength=size)
-            counts[1] += np.bincount(at + np.r_[c[1:], cls[end]], minlength=size)
-        both = np.concatenate(counts)
-        schema = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
-        cells = np.flatnonzero(both)
-        chunk = (cells % size) // (span * classes)
-        order = np.argsort(chunk, kind="stable")
-        cells, chunk = cells[order], chunk[order]
-        edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(cells) else []
-        for a, z in zip(edge, edge[1:]):
-            yield batch(schema, [int(chunk[a])], [cells[a:z].tobytes()], [both[cells[a:z]].tobytes()])
-
-    def add(table: pa.Table) -> pa.Table:
-        at = np.frombuffer(b"".join(table.column("at").to_pylist()), np.int64)
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64)
-        cells, inverse = np.unique(at, return_inverse=True)
-        return pa.table({"at": pa.array([cells.tobytes()]), "n": pa.array([np.bincount(inverse, n).astype(np.int64).tobytes()])})
+            before, after = np.r_[cls[-1], c[:-1]], np.r_[c[1:], cls[-1]]
+            for a in range(0, len(flat), 1_000_000):
+                number, chunk = np.divmod(flat[a : a + 1_000_000].astype(np.int64), chunks)
+                at = chunk * room + number * wide
+                both = np.concatenate([at + before[a : a + len(at)], at + classes + after[a : a + len(at)]])
+                both.sort()
+                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+                held.append((both[first], np.diff(first, append=len(both))))
+                if sum(len(x) for x, _ in held) > HELD:
+                    merged()
+                    if len(held[0][0]) > HELD // 2:
+                        yield from out()
+        if held:
+            yield from out()
+
+    return items.where("not held_out").select("items").mapInArrow(lean(run), "chunk int, many int, at binary, n binary")
+
+
+def exchanged(items: DataFrame, of: np.ndarray, trans: np.ndarray, size: np.ndarray, tokens: int, may) -> np.ndarray:
+    """`of` after each item that may(items) has gone to its best class. A chunk's counts meet in one task, whose
+    items' classes alone come back: a byte for an item."""
+    spark, classes = items.sparkSession, len(trans)
+    kind = np.min_scalar_type(classes)
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // CHUNK_TOKENS)
+    of = of.astype(kind)
+    shared = spark.sparkContext.broadcast((of, trans, np.log10(np.maximum(size, 1.0))))
+
+    def best(table: pa.Table) -> pa.Table:
+        of, trans, norm = shared.value
+        chunk = table.column("chunk")[0].as_py()
+        own = np.arange(chunk, len(of), chunks)
+        unpack, both = pa.Codec("zstd").decompress, np.zeros(len(own) * 2 * classes)
+        for many, at, n in zip(*(table.column(x).to_pylist() for x in ("many", "at", "n"))):
+            cells, n = (np.frombuffer(unpack(x, 4 * many, asbytes=True), np.int32) for x in (at, n))
+            both[np.cumsum(cells)] += n
+        before, after = both.reshape(len(own), 2, classes).transpose(1, 0, 2)
+        gain = before @ trans + after @ trans.T - before.sum(1)[:, None] * norm
+        gain[:, -1] = -np.inf
+        to, rows = gain.argmax(1), np.arange(len(own))
+        move = (gain[rows, to] > gain[rows, of[own]] + 1e-9) & may(own) & (own != len(of) - 1)
+        trim()
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "of": pa.array([np.where(move, to, of[own]).astype(kind).tobytes()])})
 
-    parts = items.where("not held_out").select("items").mapInArrow(lean(run), "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "at binary, n binary").collect()
-    both = np.zeros(2 * total * classes, np.int64)
-    for p in parts:
-        both[np.frombuffer(p["at"], np.int64)] = np.frombuffer(p["n"], np.int64)
-    return both[: total * classes].reshape(total, classes), both[total * classes :].reshape(total, classes)
+    out = of.copy()
+    for chunk, to in contexts(items, of, classes, chunks).groupBy("chunk").applyInArrow(best, "chunk int, of binary").collect():
+        out[chunk::chunks] = np.frombuffer(to, kind)
+    return out
 
 
 def model(items: DataFrame, vocab: dict, classes: int, sweeps: int) -> dict:
@@ -197,55 +318,41 @@ def model(items: DataFrame, vocab: dict, classes: int, sweeps: int) -> dict:
     sweep but the last, every other item may move, so that neighbours don't trade places for ever.
     """
     total, end = len(vocab["n"]), vocab["end"]
-    of = (np.arange(total) % (classes - 1)).astype(np.int32)
+    of = (np.arange(total) % (classes - 1)).astype(np.min_scalar_type(classes))
     of[end] = classes - 1
-    n = vocab["n"].astype(float)
     for sweep in range(sweeps + 1):
-        before, after = contexts(items, of, classes)
-        counts = np.zeros((classes, classes))
-        np.add.at(counts, of, before)  # [class, class before]
-        counts = counts.T
+        counts = transitions(items, of, classes)
         trans = np.log10((counts + EASE) / (counts.sum(1, keepdims=True) + EASE * classes))
         if sweep == sweeps:
             break
-        size = np.bincount(of, n, classes)
-        gain = before @ trans + after @ trans.T - n[:, None] * np.log10(np.maximum(size, 1.0))
-        gain[:, -1] = -np.inf
-        best = gain.argmax(1)
-        move = (gain[np.arange(total), best] > gain[np.arange(total), of] + 1e-9) & ((np.arange(total) + sweep) % 2 == 0 if 0 < sweep < sweeps - 1 else True)
-        move[end] = False
-        of = np.where(move, best, of).astype(np.int32)
+        some = 0 < sweep < sweeps - 1
+        of = exchanged(items, of, trans, np.bincount(of, vocab["n"], classes), vocab["total"], lambda i, some=some, sweep=sweep: (i + sweep) % 2 == 0 if some else True)
     return {"of": of, "trans": trans}
 
 
-def deal_rare(docs: DataFrame, vocab: dict, buckets: int) -> DataFrame:
-    """Occurrences of the words that are no items, by hash bucket, packed by block of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab["words"])
+def deal_rare(items: DataFrame, buckets: int) -> DataFrame:
+    """Occurrences of the words that are no items, by hash bucket, packed by batch of documents."""
 
     def run(batches):
-        hashes, words = WordHash(), None
-        words = np.sort(np.fromiter(shared.value, np.uint64, len(shared.value)))
-        for rows in blocks(batches, 4_000_000, "text_body"):
-            lists = [hashes.array(tokens_of(t)) for t in rows["text_body"]]
-            h = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-            doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.uint32)
-            if len(words):
-                rare = words[np.minimum(np.searchsorted(words, h), len(words) - 1)] != h
-                h, doc = h[rare], doc[rare]
+        for rows in batches:
+            ids, digests, held_out, rare = (rows.column(i) for i in range(4))
+            lists = rare.to_pylist()
+            h = np.frombuffer(b"".join(lists), np.uint64)
             if not len(h):
                 continue
+            ids, digests, train = ids.to_numpy(), digests.to_numpy(), ~held_out.to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]).astype(np.uint32)
             into = (h >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(into, kind="stable")
             h, doc, into = h[order], doc[order], into[order]
             edge = np.flatnonzero(np.r_[True, into[1:] != into[:-1], True])
-            ids, digests, train = np.array(rows["id"], np.int64), np.array(rows["digest"], np.int64), ~np.array(rows["held_out"], bool)
             out = []
             for a, b in zip(edge, edge[1:]):
                 own, inverse = np.unique(doc[a:b], return_inverse=True)
                 out.append((int(into[a]), h[a:b].tobytes(), inverse.astype(np.uint16 if len(own) < 2**16 else np.uint32).tobytes(), train[own].tobytes(), ids[own].tobytes(), digests[own].tobytes()))
             yield batch(_DEALT, *zip(*out))
 
-    return docs.mapInArrow(lean(run), "bucket int, hashes binary, docs binary, train binary, ids binary, digests binary")
+    return items.select("id", "digest", "held_out", "rare").mapInArrow(lean(run), "bucket int, hashes binary, docs binary, train binary, ids binary, digests binary")
 
 
 def _packed_sums(ids, digests, logs, known, buckets: int):
@@ -304,7 +411,7 @@ def frequent_scores(items: DataFrame, vocab: dict, fitted: dict) -> DataFrame:
     own[vocab["end"]] = True
     logs, known = np.where(own, np.log10(n + MORE), 0.0), own & (n > 0)
     size = np.log10(np.bincount(of, n, classes) + MORE * (np.bincount(of, vocab["distinct"], classes) + 1))
-    shared = items.sparkSession.sparkContext.broadcast((of, trans, logs, known, size[of]))
+    shared = items.sparkSession.sparkContext.broadcast((of, trans, logs, known, size))
     end_class = int(of[vocab["end"]])
 
     def run(batches):
@@ -314,23 +421,23 @@ def frequent_scores(items: DataFrame, vocab: dict, fitted: dict) -> DataFrame:
             c = cls[flat]
             step = trans[np.r_[end_class, c[:-1]], c] if len(c) else np.zeros(0)
             rows = b.num_rows
-            sums = [np.bincount(row, x, rows) for x in (np.ones(len(row)), logs[flat], known[flat], step, norm[flat])]
+            sums = [np.bincount(row, x, rows) for x in (np.ones(len(row)), logs[flat], known[flat], step, norm[c])]
             cols = [b.column(i) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), pa.array(sums[3]), pa.array(sums[4])],
                                              names=["id", "digest", "held_out", "n_tokens", "own_log", "own_known", "step_log", "norm_log"])
 
-    return items.mapInArrow(lean(run), "id long, digest long, held_out boolean, n_tokens long, own_log double, own_known long, step_log double, norm_log double")
+    return items.select("id", "digest", "held_out", "items").mapInArrow(lean(run), "id long, digest long, held_out boolean, n_tokens long, own_log double, own_known long, step_log double, norm_log double")
 
 
-def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "doc_id", share: float = SHARE, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "doc_id", least: float = LEAST, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     held_out is SQL of the rows that the model doesn't learn from. Tokens are words, A-Z in lower case,
     then one end. base_score is the unigram log10 probability with MORE added to counts. score is the
     class model's: per token, log10 P(class | class before) + log10 P(token | class), the latter with
     MORE added within the class; so it is normalised over known words and one unseen word per class.
-    Words of at least `share` of all training tokens are clustered one by one; others go with their
-    longest ending that reaches that share. Perplexity is 10 ** (-score / n_tokens).
+    Words with at least `least` occurrences in training are clustered one by one; others go with their
+    longest ending that has as many. Perplexity is 10 ** (-score / n_tokens).
 
     All counts are over all training rows: words are counted by task, then by Spark; rare words meet
     their counts in hash buckets whose number follows the corpus. Null and empty texts have the end
@@ -341,7 +448,7 @@ def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "do
     docs = df.select(
         F.coalesce(F.col(key).cast("long"), F.expr("-9223372036854775807L - 1L")).alias("id"), F.xxhash64(text).alias("digest"),
         F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col(text).alias("text_body"))
-    vocab = vocabulary(saved(word_counts(docs), "words"), share)
+    vocab = vocabulary(saved(word_counts(docs), "words"), least)
     trained = docs.where("not held_out").count()
     vocab["n"][vocab["end"]], vocab["distinct"][vocab["end"]] = trained, int(trained > 0)
     items = saved(itemised(docs, vocab), "items")
@@ -350,7 +457,7 @@ def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "do
 
     own = frequent_scores(items, vocab, fitted)
     buckets = bucket_count(docs, "text_body")
-    rare = rare_scores(deal_rare(docs, vocab, buckets), buckets)
+    rare = rare_scores(deal_rare(items, buckets), buckets)
     same = items.groupBy("id", "digest").agg(F.count("*").alias("rows"))
     both = own.join(rare.join(same, ["id", "digest"]), ["id", "digest"], "left")
     logs = F.col("own_log") + F.coalesce(F.col("rare_log") / F.col("rows"), F.lit(0.0))

@@ -289,6 +289,47 @@ def test_class_model_is_normalised(spark):
     assert np.allclose((10 ** m["trans"]).sum(1), 1) and np.allclose(given, 1)
 
 
+def test_clustered_vocabulary_grows_with_the_corpus(spark):
+    """What occurs often enough is an item, however little of the corpus it is."""
+    counts = spark.createDataFrame([("common", 10_000_000), ("seldom", 8), ("rarely", 7)], "word string, n long")
+    vocab = class_lm.vocabulary(counts, class_lm.LEAST)
+    assert len(vocab["words"]) == 2 and vocab["n"].tolist() == [10_000_000, 8, 7, 0] and vocab["distinct"].tolist() == [1, 1, 1, 0]
+    many = [spark.createDataFrame([(f"w{i}", 8) for i in range(n)], "word string, n long") for n in (500, 5000)]
+    assert [len(class_lm.vocabulary(c, class_lm.LEAST)["words"]) for c in many] == [500, 5000]
+
+
+def test_exchange_in_chunks_equals_a_plain_one(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[j % 2]}{draw.zipf(1.5) % 300}" for j in range(draw.integers(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text_body string").selectExpr("id", "xxhash64(text_body) digest", "id % 9 = 0 held_out", "text_body")
+    vocab = class_lm.vocabulary(class_lm.word_counts(df), 2)
+    end, classes, sweeps = vocab["end"], 6, 4
+    vocab["n"][end], vocab["distinct"][end] = df.where("not held_out").count(), 1
+    items = class_lm.itemised(df, vocab)
+    for tokens, held in ((2_000_000, 4_000_000), (150, 100)):
+        monkeypatch.setattr(class_lm, "CHUNK_TOKENS", tokens)
+        monkeypatch.setattr(class_lm, "HELD", held)
+        got = class_lm.model(items, vocab, classes, sweeps)
+        flat = np.array([i for r in items.where("not held_out").collect() for i in r["items"]])
+        of = np.arange(end + 1) % (classes - 1)
+        of[end] = classes - 1
+        for sweep in range(sweeps + 1):
+            c = of[flat]
+            before, after, counts = np.zeros((end + 1, classes)), np.zeros((end + 1, classes)), np.zeros((classes, classes))
+            np.add.at(before, (flat, np.r_[classes - 1, c[:-1]]), 1)
+            np.add.at(after, (flat, np.r_[c[1:], classes - 1]), 1)
+            np.add.at(counts, (np.r_[classes - 1, c[:-1]], c), 1)
+            trans = np.log10((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * classes))
+            if sweep == sweeps:
+                break
+            gain = before @ trans + after @ trans.T - before.sum(1)[:, None] * np.log10(np.maximum(np.bincount(c, minlength=classes), 1))
+            gain[:, -1] = -np.inf
+            rows, best = np.arange(end + 1), gain.argmax(1)
+            move = (gain[rows, best] > gain[rows, of] + 1e-9) & (rows != end) & ((rows + sweep) % 2 == 0 if 0 < sweep < sweeps - 1 else True)
+            of = np.where(move, best, of)
+        assert got["of"].tolist() == of.tolist() and np.allclose(got["trans"], trans)
+
+
 def test_language_model_of_odd_documents(spark):
     df = odd_documents(spark)
     rows = class_lm.score_texts(df, "doc_id % 4 = 0").collect()
