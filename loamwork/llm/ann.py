@@ -14,8 +14,8 @@ from loamwork.llm.common import batch, documents, saved
 
 #: Vectors of the sample that the number of tables is fitted on, and its queries.
 FIT_ROWS, FIT_QUERIES = 16_000, 120
-#: Beyond so many distinct vectors a bucket is a pair of axes, so that buckets don't grow with the table.
-JOINT_ROWS = 4_000_000
+#: Comparisons of two vectors that take as long as the exchange of one row, about.
+ROW_WORK = 200
 #: Distinct vectors that one block of a bucket holds, about.
 BLOCK = 4096
 
@@ -83,15 +83,29 @@ class CrossPolytope:
         return out
 
 
-def fit(sample: np.ndarray, longest: float, even: bool, k: int, probes: int, joint: int, target: float, most: int = 48, most_probes: int = 256) -> tuple[CrossPolytope, int]:
+class Scan:
+    """One bucket of all: every query meets every vector, in blocks."""
+
+    tables = 1
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros((len(x), 1), np.int64)
+
+    def probes(self, x: np.ndarray, many: int) -> np.ndarray:
+        return np.zeros((len(x), 1, 1), np.int64)
+
+
+def fit(sample: np.ndarray, longest: float, even: bool, k: int, probes: int, joint: int, target: float, most: int = 48, most_probes: int = 256) -> tuple[CrossPolytope | Scan, int]:
     """As few tables as find `target` of the sample's true neighbours, and the probes that takes: these double
-    while `most` tables don't suffice. Brute force on the sample is the measure.
+    while `most` tables don't suffice. Brute force on the sample is the measure. If `most_probes` don't suffice
+    either, or the sample has too few rows to tell, a scan of all.
 
     A sample's neighbours lie farther off than the whole table's, so this is on the safe side."""
     index = CrossPolytope(sample.shape[1], most, longest, even, joint)
-    if len(sample) <= 4 * k:  # so few that a query looks into every bucket
-        index.tables = 1
-        return index, (2 * index.size) ** joint
+    if len(sample) <= 4 * k:
+        return Scan(), 1
+    most_probes = min(most_probes, (2 * index.size) ** joint)
+    probes = min(probes, most_probes)
     asked = np.arange(min(FIT_QUERIES, len(sample)))
     near = sample[asked] @ sample.T
     near[asked, asked] = -np.inf
@@ -105,19 +119,44 @@ def fit(sample: np.ndarray, longest: float, even: bool, k: int, probes: int, joi
                 index.tables = t + 1
                 return index, probes
         if probes >= most_probes:
-            return index, probes
-        probes *= 2
+            return Scan(), 1
+        probes = min(2 * probes, most_probes)
+
+
+def work(index: CrossPolytope, probes: int, sample: np.ndarray, rows: int, asked: int) -> tuple[float, float]:
+    """Comparisons, and exchanged rows as comparisons, for so many rows and queries; by the sample's buckets."""
+    looks = index.probes(sample[:FIT_QUERIES], probes)
+    codes, met = index.codes(sample), 0
+    for t in range(index.tables):
+        used, n = np.unique(codes[:, t], return_counts=True)
+        at = np.minimum(np.searchsorted(used, looks[:, t]), len(used) - 1)
+        met += np.where(used[at] == looks[:, t], n[at], 0).sum()
+    return asked * rows * met / len(looks) / len(sample), float(ROW_WORK) * index.tables * (rows + asked * probes)
+
+
+def chosen(sample: np.ndarray, longest: float, even: bool, k: int, probes: int, target: float, rows: int, asked: int) -> tuple[CrossPolytope | Scan, int]:
+    """The index of one axis a bucket; or of pairs of axes, if that meets the target too with less work. It can
+    be so only where comparisons outweigh the exchange, so only there it is fitted."""
+    index, many = fit(sample, longest, even, k, probes, 1, target)
+    if isinstance(index, Scan):
+        return index, many
+    compared, exchanged = work(index, many, sample, rows, asked)
+    if compared > exchanged:
+        finer, more = fit(sample, longest, even, k, probes, 2, target)
+        if not isinstance(finer, Scan) and sum(work(finer, more, sample, rows, asked)) < compared + exchanged:
+            return finer, more
+    return index, many
 
 
 def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", probes: int = 4, joint: int | None = None, target: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows for which SQL `queries` holds, the k found with the largest inner product.
 
     Every vector is in one bucket per table: its nearest signed axis after a pseudo-rotation (`joint` of
-    them for finer buckets; by default one, or two for tables beyond JOINT_ROWS). A query looks into the `probes` nearest buckets of each table. All vectors of
+    them for finer buckets; by default one, or two if that takes less work at the table's size). A query looks into the `probes` nearest buckets of each table. All vectors of
     these are compared exactly, in double precision; a bucket's vectors are dealt over blocks of a
     bounded size, each met by the bucket's queries, and a block returns its k + 1 best per query, so
     pairs never leave it. The number of tables, and if need be more probes, are fitted on a bounded
-    sample to a recall of `target`.
+    sample to a recall of `target`; if that is missed, each query is compared with every vector, in blocks.
 
     Equal vectors are one entry with its k + 1 least ids, which is all that k neighbours can need; equal
     queries are asked once. Ties go to the smaller id; a query's own row is no candidate; fewer
@@ -174,8 +213,10 @@ def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vecto
     asked = asked.mapInArrow(digest, "query_id long, digest binary").distinct()
     drawn = entries.orderBy("digest").limit(FIT_ROWS).select("v").collect()
     sample = np.array([np.frombuffer(r["v"]) for r in drawn])
-    joint = joint or (1 if entries.count() <= JOINT_ROWS else 2)
-    index, probes = fit(sample, longest, even, k, probes, joint, target)
+    if joint:
+        index, probes = fit(sample, longest, even, k, probes, joint, target)
+    else:
+        index, probes = chosen(sample, longest, even, k, probes, target, entries.count(), entries.where("asked").count())
     shared = spark.sparkContext.broadcast(index)
     tables = index.tables
 
@@ -193,7 +234,7 @@ def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vecto
                 yield batch(schema, *[part.column(i) for i in range(4)], index.codes(x)[:, :tables].tolist(), looks)
 
     placed = saved(entries.mapInArrow(place, "digest binary, v binary, ids array<long>, asked boolean, codes array<long>, probes array<long>"), "placed")
-    # one row for each bucket in use: buckets are tables times signed axes
+    # one row for each bucket in use
     sizes = placed.select(F.posexplode("codes").alias("t", "code")).groupBy("t", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     base = placed.select("digest", "v", F.col("ids")[0].alias("least"), F.posexplode("codes").alias("t", "code")).join(sizes, ["t", "code"]).select(
         "t", "code", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "digest", "v", "least")

@@ -374,3 +374,41 @@ def test_neighbours_of_odd_vectors(spark):
     assert all(r["count"] == 5 for r in paired)
     few = ann.nearest(df.where("vec_id in (0, 1, 2)"), "vec_id % 20 = 0", probes=10, target=1.0)
     assert few.count() == 2 and ann.nearest(df.where("false"), "true").count() == 0
+
+
+def test_pairs_of_axes_find_neighbours(spark, monkeypatch):
+    """joint=2 against brute force, over more rows than the fit sees."""
+    fit, used = ann.fit, []
+    monkeypatch.setattr(ann, "FIT_ROWS", 1000)
+    monkeypatch.setattr(ann, "fit", lambda *a: used.append(fit(*a)) or used[-1])
+    draw = np.random.default_rng(11)
+    centres = draw.normal(size=(60, 32))
+    rows = [(i, v / np.linalg.norm(v)) for i, v in enumerate(centres[draw.integers(0, 60, 3000)] + 0.7 * draw.normal(size=(3000, 32)))]
+    df, got = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>"), {}
+    for r in ann.nearest(df, "vec_id % 20 = 0", k=10, joint=2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    true = neighbours(rows, 10)
+    assert [i.joint for i, _ in used] == [2]
+    assert np.mean([len({j for j, _ in t} & got.get(q, set())) / 10 for q, t in true.items()]) >= 0.9
+
+
+def test_a_missed_fit_becomes_a_scan(spark):
+    """Wide vectors without near neighbours: finer buckets miss the target, so all are compared."""
+    draw = np.random.default_rng(12)
+    vectors = draw.normal(size=(300, 768))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert isinstance(ann.fit(vectors, 1.0, True, 5, 4, 2, 0.95, 4, 8)[0], ann.Scan)
+    rows = list(enumerate(vectors))
+    df, got = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>"), {}
+    for r in ann.nearest(df, "vec_id % 20 = 0", k=5, joint=2, target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, pytest.approx(r.score)))
+    assert got == neighbours(rows, 5)
+
+
+def test_width_of_buckets_follows_the_work():
+    draw = np.random.default_rng(13)
+    sample = draw.normal(size=(20, 16))[draw.integers(0, 20, 2000)] + 0.3 * draw.normal(size=(2000, 16))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    few, _ = ann.chosen(sample, 1.0, True, 10, 4, 0.95, 2000, 100)
+    many, probes = ann.chosen(sample, 1.0, True, 10, 4, 0.95, 3_000_000, 3_000_000)
+    assert few.joint == 1 and many.joint == 2 and (many.tables, probes) == (lambda i, p: (i.tables, p))(*ann.fit(sample, 1.0, True, 10, 4, 2, 0.95))
