@@ -583,6 +583,15 @@ def reproduction_ratio(spark, sf):
     return fieldmap.reproduction_ratio(_islands(spark, sf), FIELDMAP, oracle, "p_partkey")
 
 
+@query("SELECT p_partkey, (3 - (p_partkey % 5 = 0)::INT - (p_size % 3 = 2)::INT) / 3.0 AS ratio FROM part")
+def reproduction_ratio_whole(spark, sf):
+    """All of part: of labels that the map has no entry for, the kind is not reproduced."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf, "part")
+    oracle = p.select("p_partkey", F.when(k % 5 == 0, "wrong").otherwise(F.concat(F.col("p_brand"), F.lit(" "))).alias("company"), F.concat(((k % 97 + 1) * 10000).cast("string"), F.lit(".0")).alias("salary"), F.when(s % 3 == 0, "full_time").otherwise("part_time").alias("kind"), F.lit(None).cast("string").alias("gone"))
+    return fieldmap.reproduction_ratio(_islands(spark, sf), FIELDMAP, oracle, "p_partkey")
+
+
 @query("SELECT * FROM (VALUES ('company', '$[''props''][''detail''][''company'']', NULL), ('salary', '$[''props''][''detail''][''salaryK'']', 10000)) t(field, path, scale)")
 def discover_paths(spark, sf):
     p = table(spark, sf, "part").where("p_partkey <= 3")
