@@ -111,6 +111,11 @@ def trim_html_hash(spark, sf):
     return pages(spark, sf).select("page_id", F.sha2(text.trim_html(F.col("html"), 500), 256).alias("trimmed_sha"))
 
 
+@query(f"SELECT page_id, sha256(substr({BODY}, 1, 8000)) AS trimmed_sha FROM pages")
+def trim_html_hash_8000(spark, sf):
+    return pages(spark, sf).select("page_id", F.sha2(text.trim_html(F.col("html")), 256).alias("trimmed_sha"))
+
+
 @query("SELECT page_id, sha256(url) || '.html' AS snapshot FROM pages")
 def snapshot_name(spark, sf):
     return pages(spark, sf).select("page_id", text.snapshot_name(F.col("url")).alias("snapshot"))
@@ -167,6 +172,17 @@ def pagination_walk(spark, sf):
     return route.follow(p.where("page_id % 7 = 0 or page_id % 5 = 0"), edges, 10)
 
 
+@query("""WITH RECURSIVE e AS (SELECT url, lead(url) OVER (PARTITION BY page_id // 7 ORDER BY page_id) AS next_url FROM pages),
+w AS (SELECT url AS start, 1 AS depth, url FROM pages
+      UNION ALL SELECT w.start, w.depth + 1, e.next_url FROM w JOIN e ON e.url = w.url WHERE e.next_url IS NOT NULL AND w.depth < 10)
+SELECT start, depth, url FROM w""")
+def pagination_walk_all(spark, sf):
+    p = pages(spark, sf)
+    from pyspark.sql.window import Window
+
+    return route.follow(p, p.select("url", F.lead("url").over(Window.partitionBy(F.floor(F.col("page_id") / 7)).orderBy("page_id")).alias("next_url")), 10)
+
+
 @query(f"SELECT page_id, ((row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) / 2.0)::DOUBLE AS slot_s FROM pages")
 def rate_slots(spark, sf):
     return route.rate_slots(pages(spark, sf).select("page_id", text.host(F.col("url")).alias("host"), F.col("page_id").alias("ord")), 2.0).select("page_id", "slot_s")
@@ -594,8 +610,8 @@ def reproduction_ratio_whole(spark, sf):
 
 @query("SELECT * FROM (VALUES ('company', '$[''props''][''detail''][''company'']', NULL), ('salary', '$[''props''][''detail''][''salaryK'']', 10000)) t(field, path, scale)")
 def discover_paths(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 3")
-    leaves = jsonpaths.json_leaves(_islands(spark, sf).where("p_partkey <= 3"), "p_partkey")
+    p = table(spark, sf, "part")
+    leaves = jsonpaths.json_leaves(_islands(spark, sf), "p_partkey")
     rows = p.select("p_partkey", F.inline(F.array(
         F.struct(F.lit("company").alias("field"), F.concat(F.lit(" "), F.col("p_brand")).alias("value")), F.struct(F.lit("salary").alias("field"), ((F.col("p_partkey") % 97 + 1) * 10000).cast("string").alias("value")),
         F.struct(F.lit("unknown").alias("field"), F.lit("nowhere").alias("value")), F.struct(F.lit("partly").alias("field"), F.when(F.col("p_partkey") > 1, F.col("p_brand")).alias("value")))))
