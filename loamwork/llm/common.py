@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import uuid
 
 import numpy as np
@@ -20,7 +21,10 @@ BUCKET_CHARS = 24_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that fills fewer scan tasks than there are cores is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -124,11 +128,11 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only if the setting is missing, as in tests."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The shared folder of spark.checkpoint.dir. Where the setting is missing, a local one, as in tests: only on a local master."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         at = spark.sparkContext.getCheckpointDir()
     return at
@@ -140,40 +144,73 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_forget)
+        atexit.register(_forget_all)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of saved() that nothing reads any more."""
+    _delete(df.saved_at, _written.pop(df.saved_at))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _forget() -> None:
+def _forget_all() -> None:
     for path, spark in _written.items():
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path, spark)
         except Exception:  # the session has ended
             return
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, root) per node, root the least node.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, in any case: `name`, with underscores before it if need be."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def _meet(rows: DataFrame, least: DataFrame, on: str, edges: int) -> DataFrame:
+    """rows with each one's m. The few centres of many edges, at most HEAVY of them, are broadcast, so that no task
+    gets one centre's edges."""
+    heavy = least.where(F.col("n") >= max(16, 2 * edges // HEAVY)).select(F.col(on).alias("_h"), F.col("m").alias("_hm"))
+    split = rows.join(F.broadcast(heavy), F.col(on) == F.col("_h"), "left").drop("_h")
+    light = split.where("_hm is null").drop("_hm").join(least.drop("n"), on)
+    return light.select(*rows.columns, "m").union(split.where("_hm is not null").select(*rows.columns, F.col("_hm").alias("m")))
+
+
+#: Centres whose edges are not exchanged, at most: those with this share of all edges' ends.
+HEAVY = 1_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b) of any one orderable type: one row (node, root) per node, root the least node.
 
     Alternates large-star and small-star steps until the edges no longer change. A step gives each
-    node's neighbours to the least of them: a pre-aggregated minimum and an equi-join that Spark may
-    split, so no node's neighbours are gathered in one task. Loops and nulls are dropped; no edges
-    give no rows.
+    node's neighbours to the least of them: a pre-aggregated minimum and an equi-join, of which the centres with
+    most edges are broadcast, so no node's neighbours are gathered in one task. Loops and nulls are dropped; no
+    edges give no rows.
     """
     e = saved(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
         both = e.selectExpr("a u", "b v").union(e.selectExpr("b u", "a v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").selectExpr("v a", "m b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").selectExpr("b a", "m b").union(least.selectExpr("a", "m b")).distinct()
-        e = saved(small, "edges")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _meet(both, least, "u", now[0]).where("v > u and v <> m").selectExpr("v a", "m b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _meet(large, least, "a", now[0]).where("b <> m").selectExpr("b a", "m b").union(least.selectExpr("a", "m b")).distinct()
+        old, e = e, saved(small, "edges")
+        forget(old)
     pairs = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return pairs.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().join(pairs, "node", "left_anti"))
