@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import chain, islice
+import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.common import batch, blocks, documents, lean
+from loamwork.llm.common import batch, blocks, bucket_count, documents, fresh, lean, saved, trim
 
 _IDS = pa.list_(pa.int32())
+#: Codes from here on stand for pieces that are no tokens.
+HOLE = 1 << 24
+#: Characters of a block of documents, and bytes of pieces that are replayed together, about.
+BLOCK_CHARS, REPLAY_BYTES = 6_000_000, 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,85 +157,161 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
     return [ids[a:b] for a, b in zip(many[start].tolist(), many[start + size].tolist())]
 
 
-class Encoder:
-    """Encodes blocks of texts; the words of a block that aren't known yet are replayed together."""
+class Codes(dict):
+    """Code of each piece of a block: its token id if all of it is a token, else HOLE + its number among `new`."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 300_000):
-        self.ranks, self.merges, self.most = ranks, Merges(ranks), most_words
-        self.find_all, self.find, self.known = regex.compile(pattern).findall, regex.compile(pattern).finditer, {}
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.new = ranks, []
+
+    def __missing__(self, piece: str) -> int:
+        raw = piece.encode("utf-8", "surrogatepass")
+        x = self.ranks.get(raw)
+        if x is None:
+            x = HOLE + len(self.new)
+            self.new.append(raw)
+        self[piece] = x
+        return x
+
+
+def cut(texts: list[str | None], pattern: regex.Pattern, ranks: dict[bytes, int], at_once: int = 500_000) -> tuple[list[np.ndarray], list[bytes]]:
+    """Each text's pieces as codes, and the block's distinct pieces that are no tokens. Texts from at_once characters
+    on are cut in parts of so many pieces."""
+    codes, out = Codes(ranks), []
+    get = codes.__getitem__
+    for text in texts:
+        if text is None or len(text) < at_once:
+            found = pattern.findall(text or "")
+            out.append(np.fromiter(map(get, found), np.int32, len(found)))
+            continue
+        pieces, parts = (m.group() for m in pattern.finditer(text)), []
+        while part := list(islice(pieces, at_once)):
+            parts.append(np.fromiter(map(get, part), np.int32, len(part)))
+        out.append(np.concatenate(parts))
+    return out, codes.new
 
-    def parts(self, text: str, at_once: int):
-        found = (m.group() for m in self.find(text))
-        while pieces := list(islice(found, at_once)):
-            yield pieces
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(pieces)
-        raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        left = []
-        for i, b in enumerate(raw):
-            if (r := self.ranks.get(b)) is not None:
-                self.known[new[i]] = r.to_bytes(4, "little")
-            else:
-                left.append(i)
-        for at in range(0, len(left), 60_000):  # bounds the memory of a replay
-            part = left[at : at + 60_000]
-            for i, ids in zip(part, replay([raw[i] for i in part], self.merges)):
-                self.known[new[i]] = ids
-
-    def encode(self, texts: list[str | None], at_once: int = 500_000) -> list[np.ndarray]:
-        """at_once: pieces that are held together; longer texts go on in further parts."""
-        parts: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
-        n = 0
-
-        def flush():
-            self.learn(set(chain.from_iterable(p for _, p in held)))
-            get = self.known.__getitem__
-            for i, pieces in held:
-                parts[i].append(np.frombuffer(b"".join(map(get, pieces)), "<i4"))
-            held.clear()
-
-        for i, text in enumerate(texts):
-            whole = text is None or len(text) < at_once
-            found = iter([self.find_all(text or "")] if whole else self.parts(text, at_once))
-            while pieces := next(found, None):
-                held.append((i, pieces))
-                n += len(pieces)
-                if n >= at_once:
-                    flush()
-                    n = 0
-        flush()
-        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts]
-
-
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoding(shared, tag: tuple, pattern: str, kind: pa.DataType):
-    schema = pa.schema([("text_key", kind), ("ids", _IDS)])
+def replayed(words: list[bytes], merges: Merges) -> list[bytes]:
+    """replay over any number of words, so many bytes at a time that memory stays bounded."""
+    out, held, size = [], [], 0
+    for w in words:
+        held.append(w)
+        size += len(w) + 16
+        if size > REPLAY_BYTES:
+            out += replay(held, merges)
+            held, size = [], 0
+    return out + replay(held, merges) if held else out
+
+
+def fill(codes: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with each hole replaced by its piece's ids (`many` of them, by number, one after another in ids);
+    and where each code's ids end."""
+    hole = codes >= HOLE
+    number = np.where(hole, codes - HOLE, 0)
+    start = np.cumsum(many) - many
+    length = np.where(hole, many[number] if len(many) else 0, 1)
+    source = np.where(hole, start[number] if len(many) else 0, len(ids) + np.arange(len(codes)))
+    end = np.cumsum(length)
+    at = np.repeat(source - (end - length), length) + np.arange(end[-1] if len(end) else 0)
+    return np.concatenate([ids, codes])[at], end
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """int32 values byte by byte of their width, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int32)
+
+
+_merges: dict[tuple, Merges] = {}
+
+
+def _own_merges(tag: tuple, ranks: dict[bytes, int]) -> Merges:
+    """A worker's merge table, made once."""
+    if tag not in _merges:
+        _merges.clear()
+        _merges[tag] = Merges(ranks)
+    return _merges[tag]
+
+
+def _cutting(shared, pattern: str, kind: pa.DataType, buckets: int):
+    """Rows of blocks (keys, codes), and of their pieces that are no tokens, by hash bucket (first number, pieces)."""
+    schema = pa.schema([("block", pa.binary()), ("bucket", pa.int32()), ("first", pa.int32()), ("body", pa.binary()), ("ends", pa.binary()), ("keys", pa.list_(kind))])
 
     def run(batches):
-        if tag not in _encoders:
-            _encoders.clear()
-            _encoders[tag] = Encoder(shared.value, pattern)
-        coder = _encoders[tag]
-        for rows in blocks(batches, 2_500_000, "text_body"):
-            ids = coder.encode(rows["text_body"])
-            ends = np.cumsum([0, *map(len, ids)])
-            if ends[-1] < 2**31:
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield batch(schema, rows["text_key"], lists)
-                continue
-            for k, x in zip(rows["text_key"], ids):
-                yield batch(schema, [k], pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32())))
+        find, ranks = regex.compile(pattern), shared.value
+        for rows in blocks(batches, BLOCK_CHARS, "text_body"):
+            codes, new = cut(rows["text_body"], find, ranks)
+            block, flat = uuid.uuid4().bytes, np.concatenate(codes)
+            into = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in new), np.int64, len(new))
+            order = np.argsort(into, kind="stable")
+            number = np.empty(len(new), np.int32)
+            number[order] = np.arange(len(new))
+            hole = flat >= HOLE
+            flat[hole] = HOLE + number[flat[hole] - HOLE]
+            edge = np.flatnonzero(np.r_[True, into[order][1:] != into[order][:-1], True]).tolist() if len(new) else [0]
+            press = zstandard.ZstdCompressor(1).compress
+            out = [(block, None, None, _pack(flat), _pack(np.array([len(c) for c in codes])), rows["text_key"])]
+            for a, b in zip(edge, edge[1:]):
+                words = [new[i] for i in order[a:b].tolist()]
+                out.append((block, int(into[order[a]]), a, press(b"".join(words)), _pack(np.array([len(w) for w in words])), None))
+            yield batch(schema, *zip(*out))
+
+    return run
+
+
+def _learning(shared, tag: tuple):
+    """Of a bucket's rows of pieces: the ids of each, replayed once for all blocks that hold it."""
+    schema = pa.schema([("block", pa.binary()), ("first", pa.int32()), ("ids", pa.binary()), ("many", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        merges, number, rows = _own_merges(tag, shared.value), {}, []
+        for block, first, body, ends in zip(*(table.column(n).to_pylist() for n in ("block", "first", "body", "ends"))):
+            raw, size = zstandard.ZstdDecompressor().decompress(body), _unpack(ends)
+            end = np.cumsum(size, dtype=np.int64)
+            rows.append((block, first, [number.setdefault(raw[a:b], len(number)) for a, b in zip((end - size).tolist(), end.tolist())]))
+        ids = replayed(list(number), merges)
+        out = [(block, first, _pack(np.frombuffer(b"".join(own := [ids[i] for i in at]), np.int32)), _pack(np.array([len(x) // 4 for x in own]))) for block, first, at in rows]
+        trim()
+        return pa.Table.from_batches([batch(schema, *zip(*out))])
 
     return run
 
 
-def _decoding(shared, ids: str):
+def _joining(shared, name: str, kind: pa.DataType, back: bool):
+    """A block's texts as ids; with `back`, and the bytes that these stand for."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        parts = sorted(zip(*(found.column(n).to_pylist() for n in ("first", "ids", "many"))))
+        ids, many = (np.concatenate([_unpack(p[k]) for p in parts]) if parts else np.zeros(0, np.int32) for k in (1, 2))
+        columns: list[list] = [[], [], []]
+        for body, ends, keys in zip(*(texts.column(n).to_pylist() for n in ("body", "ends", "keys"))):
+            flat, end = fill(_unpack(body), ids, many.astype(np.int64))
+            ends = np.r_[0, np.r_[0, end][np.cumsum(_unpack(ends), dtype=np.int64)]]
+            columns[0].append(pa.array(keys, kind))
+            columns[1].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+            if back:
+                columns[2].append(pa.array(_bytes_of(flat, ends, shared.value), pa.binary()))
+        trim()
+        kinds = [kind, _IDS, pa.binary()][: 2 + back]
+        return pa.table([pa.chunked_array(c, t) for c, t in zip(columns, kinds)], names=[name, "ids", "decoded"][: 2 + back])
+
+    return run
+
+
+def _bytes_of(flat: np.ndarray, ends: np.ndarray, ranks: dict[bytes, int]) -> list[bytes]:
+    if not _tokens or _tokens[0] is not ranks:
+        _tokens[:] = [ranks, {r: t for t, r in ranks.items()}]
+    get = _tokens[1].__getitem__
+    return [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+_tokens: list = []
+
+
+def _decoding(shared, ids: str, name: str):
     def run(batches):
         of = {r: t for t, r in shared.value.items()}
         for b in batches:
@@ -237,46 +320,53 @@ def _decoding(shared, ids: str):
             for i in range(len(lists)):
                 x = lists[i].values
                 out.append(b"".join(map(of.__getitem__, x.to_numpy(zero_copy_only=False).tolist())) if x is not None and len(x) else b"")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, name])
 
     return run
 
 
 def _coding(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, key: str, back: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(ranks)
+    tag = (len(ranks), hash(frozenset(ranks.items())))
     kind = df.select(key).schema[0].dataType
-    to_ids = _encoding(shared, (pattern, len(ranks), hash(frozenset(ranks.items()))), pattern, _arrow_type(kind))
-    to_bytes = _decoding(shared, "ids")
-    fields = [T.StructField("text_key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    if back:
-        fields.append(T.StructField("decoded", T.BinaryType()))
-    run = (lambda batches: to_bytes(to_ids(batches))) if back else to_ids
-    return df.select(F.col(key).alias("text_key"), F.col(text).alias("text_body")).mapInArrow(lean(run), T.StructType(fields)).withColumnRenamed("text_key", key)
+    docs = df.select(F.col(key).alias("text_key"), F.col(text).alias("text_body"))
+    buckets = bucket_count(docs, "text_body")
+    wide = T.StructType([T.StructField("block", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("keys", T.ArrayType(kind))])
+    both = saved(docs.mapInArrow(lean(_cutting(shared, pattern, _arrow_type(kind), buckets)), wide), "pieces")
+    known = both.where("bucket is not null").groupBy("bucket").applyInArrow(_learning(shared, tag), "block binary, first int, ids binary, many binary")
+    fields = [T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    texts = both.where("bucket is null").select("block", "body", "ends", "keys")
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_joining(shared, key, _arrow_type(kind), back), T.StructType(fields[: 2 + back]))
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>): each text's token ids, as the merge ranks and the pattern give them.
 
+    Blocks of documents are cut into pieces once. A block asks for each of its distinct pieces that is no token
+    by itself; the pieces of the whole corpus meet in hash buckets, whose number follows the corpus, where each
+    distinct one is replayed once (an inverted index from token pair to positions, merges in rank order); a
+    block's answers come back packed and fill its texts. Neither texts nor their pieces are exchanged one by one.
+
     One row per row of df, repeated rows and null keys too; null and empty texts give no ids; texts of
-    any length are encoded whole, in parts. Other columns, whatever their names, are left out. The ranks
-    (a vocabulary of fixed size) are broadcast. Each task replays merges over the distinct words of
-    blocks of many documents, and a Python worker keeps a bounded table of words that it has done.
+    any length are encoded whole, cut in parts. Other columns, whatever their names, are left out. The ranks
+    (a vocabulary of fixed size) are broadcast. An empty table gives no rows.
     """
     return _coding(df, ranks, pattern, text, key, False)
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """df with a column decoded (binary): the bytes that each row's ids stand for, joined.
+def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """df with a further column `name` (binary; with underscores before it if df has one of that name): the bytes
+    that each row's ids stand for, joined.
 
-    Null and empty lists give no bytes; an id outside the vocabulary or a null id raises KeyError. df must not
-    have a column named decoded.
+    Null and empty lists give no bytes; an id outside the vocabulary or a null id raises KeyError.
     """
-    run = _decoding(df.sparkSession.sparkContext.broadcast(ranks), ids)
-    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    name = fresh(df, name)
+    run = _decoding(df.sparkSession.sparkContext.broadcast(ranks), ids, name)
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, decoded): encode and decode in one pass, so that one Python worker per task holds the tables."""
+    """(key, ids, decoded): encode and decode in one pass over the filled texts."""
     return _coding(df, ranks, pattern, text, key, True)
 
 
