@@ -278,17 +278,42 @@ def contexts(items: DataFrame, of: np.ndarray, classes: int, chunks: int) -> Dat
     return items.where("not held_out").select("items").mapInArrow(lean(run), "chunk int, many int, at binary, n binary")
 
 
-def exchanged(items: DataFrame, of: np.ndarray, trans: np.ndarray, size: np.ndarray, tokens: int, may) -> np.ndarray:
+def log_transitions(counts: np.ndarray) -> np.ndarray:
+    return np.log10((counts + EASE) / (counts.sum(1, keepdims=True) + EASE * len(counts)))
+
+
+def likelihood(counts: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the training tokens, by counts [class before, class]."""
+    x_log_x = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return x_log_x(counts) - x_log_x(counts.sum(0)) - x_log_x(counts.sum(1))
+
+
+def gains(before: np.ndarray, after: np.ndarray, own: np.ndarray, counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """[item, class]: log10 likelihood of the items' occurrences in each class, given counts of the class before and
+    after each and its class now. In its own class an item's own occurrences are taken out first, so that staying
+    is held to the same measure as moving; the last class is the end's alone."""
+    classes, trans, rows = len(counts), log_transitions(counts), np.arange(len(own))
+    n = before.sum(1)
+    out = before @ trans + after @ trans.T - n[:, None] * np.log10(np.maximum(size, 1.0))
+    total = counts.sum(1) + EASE * classes
+    into = np.log10(np.maximum(counts[:, own].T - before, 0) + EASE) - np.log10(total)
+    onward = np.log10(np.maximum(counts[own] - after, 0) + EASE) - np.log10(np.maximum(total[own] - n, EASE * classes))[:, None]
+    out[rows, own] = (before * into).sum(1) + (after * onward).sum(1) - n * np.log10(np.maximum(size[own] - n, 1.0))
+    out[:, -1] = -np.inf
+    return out
+
+
+def exchanged(items: DataFrame, of: np.ndarray, counts: np.ndarray, size: np.ndarray, tokens: int, may) -> np.ndarray:
     """`of` after each item that may(items) has gone to its best class. A chunk's counts meet in one task, whose
     items' classes alone come back: a byte for an item."""
-    spark, classes = items.sparkSession, len(trans)
+    spark, classes = items.sparkSession, len(counts)
     kind = np.min_scalar_type(classes)
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // CHUNK_TOKENS)
     of = of.astype(kind)
-    shared = spark.sparkContext.broadcast((of, trans, np.log10(np.maximum(size, 1.0))))
+    shared = spark.sparkContext.broadcast((of, counts, size))
 
     def best(table: pa.Table) -> pa.Table:
-        of, trans, norm = shared.value
+        of, counts, size = shared.value
         chunk = table.column("chunk")[0].as_py()
         own = np.arange(chunk, len(of), chunks)
         unpack, both = pa.Codec("zstd").decompress, np.zeros(len(own) * 2 * classes)
@@ -296,8 +321,7 @@ def exchanged(items: DataFrame, of: np.ndarray, trans: np.ndarray, size: np.ndar
             cells, n = (np.frombuffer(unpack(x, 4 * many, asbytes=True), np.int32) for x in (at, n))
             both[np.cumsum(cells)] += n
         before, after = both.reshape(len(own), 2, classes).transpose(1, 0, 2)
-        gain = before @ trans + after @ trans.T - before.sum(1)[:, None] * norm
-        gain[:, -1] = -np.inf
+        gain = gains(before, after, of[own], counts, size)
         to, rows = gain.argmax(1), np.arange(len(own))
         move = (gain[rows, to] > gain[rows, of[own]] + 1e-9) & may(own) & (own != len(of) - 1)
         trim()
@@ -310,24 +334,31 @@ def exchanged(items: DataFrame, of: np.ndarray, trans: np.ndarray, size: np.ndar
 
 
 def model(items: DataFrame, vocab: dict, classes: int, sweeps: int) -> dict:
-    """Classes by exchange clustering, and their transition log10 probabilities.
+    """Classes by exchange clustering (of), their transition log10 probabilities (trans), and the likelihood after
+    each sweep that was kept.
 
     Items begin in classes by rank of frequency; the end has the last class alone. In each sweep, counts
     of every item's neighbouring classes are gathered over the whole training corpus, and each item goes
-    to the class that gives its occurrences the largest likelihood under the sweep's transitions; in a
-    sweep but the last, every other item may move, so that neighbours don't trade places for ever.
+    to the class that gives its occurrences the largest likelihood under the sweep's counts, its own taken out; in a
+    sweep but the last, every other item may move, so that neighbours don't trade places for ever. As moves of a
+    sweep are decided together, their sum could lower the likelihood: it is measured after each sweep over the
+    whole training corpus, and a sweep that doesn't raise it is undone and ends the search.
     """
     total, end = len(vocab["n"]), vocab["end"]
     of = (np.arange(total) % (classes - 1)).astype(np.min_scalar_type(classes))
     of[end] = classes - 1
+    kept, rising = None, []
     for sweep in range(sweeps + 1):
         counts = transitions(items, of, classes)
-        trans = np.log10((counts + EASE) / (counts.sum(1, keepdims=True) + EASE * classes))
+        if rising and likelihood(counts) <= rising[-1]:
+            break
+        kept = of, counts
+        rising.append(likelihood(counts))
         if sweep == sweeps:
             break
         some = 0 < sweep < sweeps - 1
-        of = exchanged(items, of, trans, np.bincount(of, vocab["n"], classes), vocab["total"], lambda i, some=some, sweep=sweep: (i + sweep) % 2 == 0 if some else True)
-    return {"of": of, "trans": trans}
+        of = exchanged(items, of, counts, np.bincount(of, vocab["n"], classes), vocab["total"], lambda i, some=some, sweep=sweep: (i + sweep) % 2 == 0 if some else True)
+    return {"of": kept[0], "trans": log_transitions(kept[1]), "likelihood": rising}
 
 
 def deal_rare(items: DataFrame, buckets: int) -> DataFrame:
@@ -469,4 +500,4 @@ def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "do
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(documents(spark, sf_dir), "crc32(coalesce(cast(doc_id as string), '')) % 10 = 0")
+    return score_texts(documents(spark, sf_dir), "crc32(cast(doc_id as string)) % 10 = 0")

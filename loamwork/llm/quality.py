@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,15 +14,27 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import batch, blocks, documents, lean, trim
 from loamwork.llm.weak import LabelModel, feature, fit_linear
 
-SIZE = 1 << 14
+SIZE = 1 << 16
 #: The scorer is fitted on about this many rows at most, those with the least hash.
 FIT_ROWS = 12_000
 TRAITS = ("repeats", "distinct", "bigrams", "upper", "symbols", "lines", "letters", "ends", "marked", "length")
 
-_KIND = np.zeros(0x3000, np.uint8)  # 0 white space, 1 lower or caseless letter, 2 capital, 3 digit, 4 stop or quote, 5 other
-for _c in range(len(_KIND)):
-    _ch = chr(_c)
-    _KIND[_c] = 0 if _ch.isspace() else 2 if _ch.isupper() else 1 if _ch.isalpha() else 3 if _ch.isdigit() else 4 if _ch in ".,;:'\"?-()" else 5
+def _kind_of(c: str) -> int:
+    """0 white space, 1 lower or caseless letter, 2 capital, 3 digit, 4 stop or quote, 5 other."""
+    return 0 if c.isspace() else 2 if c.isupper() else 1 if c.isalpha() else 3 if c.isdigit() else 4 if c in ".,;:'\"?-()、。「」，！？：；" else 5
+
+
+_KIND = np.array([_kind_of(chr(c)) for c in range(0x3000)], np.uint8)
+
+
+def kinds_of(code: np.ndarray) -> np.ndarray:
+    """The kind of each code point."""
+    out = _KIND[np.minimum(code, len(_KIND) - 1)]
+    high = code >= len(_KIND)
+    if high.any():
+        some, at = np.unique(code[high], return_inverse=True)
+        out[high] = np.array([_kind_of(chr(c)) for c in some.tolist()], np.uint8)[at]
+    return out
 
 
 _ENDS = frozenset(".,;:'\"?-()!»”’…")
@@ -35,7 +47,7 @@ def traits(text: str | None) -> tuple[list[str], dict[str, float]]:
     if not n:
         return words, dict.fromkeys(TRAITS, 0.0) | {"distinct": 1.0, "letters": 1.0}
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.bincount(_KIND[np.minimum(code, len(_KIND) - 1)], minlength=6)
+    kinds = np.bincount(kinds_of(code), minlength=6)
     solid = max(1, int(kinds[1:].sum()))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     return words, {
@@ -78,24 +90,26 @@ _RUN = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """a for lower-case, A for capital letters, 0 for digits; runs of one kind become one character."""
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24]))
+    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 class _Shapes(dict):
-    def __missing__(self, word: str) -> int:
+    """Hashed features of each word: its shape, itself in lower case, its first and last three characters."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= 200_000:
             self.clear()
-        x = self[word] = feature("s:" + shape(word), SIZE)
+        low = word.lower()
+        x = self[word] = tuple(feature(k + y, SIZE) for k, y in (("s:", shape(word)), ("w:", low), ("3:", low[:3]), ("e:", low[-3:])))
         return x
 
 
 def features(words: list[str], t: dict[str, float], shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: shares of word shapes, and shares in ten steps each."""
-    own: Counter = Counter(map(shapes.__getitem__, words))
-    out = {k: 3 * c / len(words) for k, c in own.items()}
-    for name in TRAITS:
-        out[feature(f"t:{name}:{min(10, int(t[name] * 10))}", SIZE)] = 1.0
-    return np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.float32, len(out))
+    """Hashed features: shares of word shapes, words and character n-grams at their edges, and traits in ten steps each."""
+    flat = np.fromiter(chain.from_iterable(map(shapes.__getitem__, words)), np.int32, 4 * len(words))
+    f, n = np.unique(flat, return_counts=True)
+    steps = [feature(f"t:{name}:{min(10, int(t[name] * 10))}", SIZE) for name in TRAITS]
+    return np.r_[f, np.array(steps, np.int32)].astype(np.int32), np.r_[3 * n / max(1, len(words)), np.ones(len(steps))].astype(np.float32)
 
 
 def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:

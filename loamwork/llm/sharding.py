@@ -23,7 +23,7 @@ def shards(df: DataFrame, limit: int = LIMIT, text: str = "text", key: str = "do
     still too large go on to a round with more bits.
 
     The hash is of key, text and number among equal rows, so no key and no group of copies is bound to
-    one shard. A single row above the limit is a shard of its own. Null and empty texts have 0 bytes;
+    one shard. Should several rows share all BITS bits and still be over the limit, it raises ValueError. A single row above the limit is a shard of its own. Null and empty texts have 0 bytes;
     a null key is hashed as the word null. An empty table gives no rows. Other columns are left out.
     """
     rows = df.select(F.col(key).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
@@ -41,13 +41,13 @@ def shards(df: DataFrame, limit: int = LIMIT, text: str = "text", key: str = "do
         full = sums.where((F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).select("d", "prefix")
         deep = levels.join(full, ["d", "prefix"], "left_semi").groupBy("cell").agg((F.max("d") + 1).alias("depth"))
         found = cells.select("cell").join(deep, "cell", "left").select("cell", F.coalesce("depth", F.lit(base)).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {fine} - depth)"))
-        if fine == BITS:
-            found = found.withColumn("depth", F.least("depth", F.lit(BITS)))
         known = saved(found.join(sums.withColumnRenamed("d", "depth"), ["depth", "prefix"], "left"), "directory")
         own = left.withColumn("cell", F.expr(f"shiftright(h, {BITS - fine})")).join(known, "cell")
         done.append(own.where(F.col("depth") <= fine))
-        if fine == BITS or known.where(F.col("depth") > fine).isEmpty():
+        if known.where(F.col("depth") > fine).isEmpty():
             break
+        if fine == BITS:
+            raise ValueError(f"more than {limit} bytes of several rows share all {BITS} bits of hash")
         left = own.where(F.col("depth") > fine).select(*rows.columns)
         base, fine = fine + 1, min(BITS, fine + 12)
     out = done[0]

@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import batch, blocks, documents, lean, trim
+from loamwork.llm.common import batch, blocks, documents, lean, saved, trim
 from loamwork.llm.weak import LabelModel, feature, fit_linear
 
 SIZE = 1 << 18
-#: The classifier and the induced lexicons are fitted on this many rows at most, labelled ones first, by least hash.
-FIT_ROWS = 12_000
+#: The classifier is fitted on this many rows at most, those of least hash: LABELLED of them with a label (the induced
+#: lexicons' rows), the others without; where one kind is short, fewer.
+FIT_ROWS, LABELLED = 12_000, 0.5
 #: Entries of the induced lexicons together, at most.
 INDUCED = 600
 
@@ -111,16 +112,20 @@ def induce(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> froz
 def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
     """The classifier's weights, bias and label model.
 
-    Only labels of rows for which SQL `learn` holds are read. A bounded sample (fit_rows rows, labelled
-    ones first, by least hash) gives the induced lexicons, from its labels. All voters vote on all rows for which `learn` holds, labelled or
-    not; counts by pattern and label, at most 3 * 2 ** 12, go to EM. The classifier is fitted to the
-    sample's posteriors.
+    Only labels of rows for which SQL `learn` holds are read. A bounded sample, half of it labelled rows and half
+    rows without a label, both by least hash, is what the classifier is fitted to; its labelled rows give the induced
+    lexicons. All voters vote once on all rows for which `learn` holds, labelled or not; counts by pattern and label,
+    at most 3 * 2 ** 12, go to EM. The target of every sampled row is its posterior by its votes, to which a label
+    adds its own evidence.
     """
     spark = df.sparkSession
     docs = df.where(learn).select(F.col(key).alias("id"), F.col(text).alias("text_body"))
-    known = labels.where(learn).where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    # labelled rows first; at most fit_rows ids and labels
-    chosen = docs.select("id").where("id is not null").distinct().join(known, "id", "left").orderBy(F.col("toxic").isNull(), F.xxhash64("id"), "id").limit(fit_rows)
+    named = labels.select(F.col("doc_id").alias(key), "toxic")
+    known = named.where(learn).where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("toxic").alias("toxic"))
+    # at most fit_rows ids and labels
+    ids = docs.select("id").where("id is not null").distinct().join(known, "id", "left")
+    some = int(fit_rows * LABELLED)
+    chosen = saved(ids.where("toxic is not null").orderBy(F.xxhash64("id"), "id").limit(some).union(ids.where("toxic is null").orderBy(F.xxhash64("id"), "id").limit(fit_rows - some)), "chosen")
     schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("text_votes", pa.binary()), ("features", pa.binary()), ("amounts", pa.binary())])
 
     def sample(batches):
@@ -147,17 +152,16 @@ def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: s
             yield batch(out, r["id"], [votes(x, distinct(x), table) for x in r["text_body"]])
 
     counts = np.zeros((3, 2 ** len(POLARITY)))
-    polled = docs.select(F.col("id").cast("long"), "text_body").mapInArrow(lean(vote), "id long, votes int")
+    polled = saved(docs.select(F.col("id").cast("long"), "text_body").mapInArrow(lean(vote), "id long, votes int"), "votes")
     for r in polled.join(known, "id", "left").groupBy("votes", "toxic").count().collect():
         counts[0 if r["toxic"] is None else 1 + (r["toxic"] > 0), r["votes"]] += r["count"]
     model = LabelModel(POLARITY, prior=0.12, trust=0.999).fit(*counts)
 
-    # votes of the sample's rows, from their features: lists and induced lexicons are words and features alike
     trust = np.log(model.trust / (1 - model.trust))
     believed = {y: model.posterior(e) for y, e in ((-1, 0.0), (0, -trust), (1, trust))}
     own = {}
-    for r in docs.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), "text_body").mapInArrow(lean(vote), "id long, votes int").collect():
-        own.setdefault(r["id"], r["votes"])
+    for r in polled.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("votes").alias("votes")).collect():
+        own[r["id"]] = r["votes"]
     target = np.array([believed[int(y)][own[r["id"]]] for r, y in zip(got, label)])
     # a strong penalty picks the features, a weak one fits their weights
     picked = fit_linear(rows, target, SIZE, l1=2e-3)[0] != 0
