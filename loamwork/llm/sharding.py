@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamwork.llm.common import documents, saved
+from loamwork.llm.common import documents, fresh, saved
 
 #: Bits of hash in use.
 BITS = 60
@@ -58,12 +58,16 @@ def shards(df: DataFrame, limit: int = LIMIT, text: str = "text", key: str = "do
 
 
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> None:
-    """Writes df as Parquet, one folder per shard (shard=<prefix>), its rows in one file."""
-    of = shards(df, limit, text, key).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("copy").alias("_copy"), "shard")
-    own = df.withColumn("_digest", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy(key, "_digest").orderBy(F.lit(1))))
-    both = own.alias("a").join(of.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col("b._id")) & (F.col("a._digest") == F.col("b._digest")) & (F.col("a._copy") == F.col("b._copy")))
-    both.select(*[F.col(f"a.{c}") for c in df.columns if c != "shard"], "b.shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes df as Parquet, one folder per shard (shard=<prefix>), its rows in one file. A column of df named shard
+    is written as shard_ (with more of these if need be); other columns keep their names."""
+    of = shards(df, limit, text, key).select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("copy").alias("of_copy"), F.col("shard").alias("of_shard"))
+    digest, copy, named = fresh(df, "digest"), fresh(df, "copy"), "shard_"
+    while named in df.columns:
+        named += "_"
+    own = df.withColumn(digest, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    own = own.withColumn(copy, F.row_number().over(Window.partitionBy(key, digest).orderBy(F.lit(1))))
+    both = own.join(of, own[key].eqNullSafe(of["of_id"]) & (own[digest] == of["of_digest"]) & (own[copy] == of["of_copy"]))
+    both.select(*[own[c].alias(named if c == "shard" else c) for c in df.columns], of["of_shard"].alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

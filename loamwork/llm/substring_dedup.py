@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, lean, rolling, trim, words_of
+from loamwork.llm.common import WordHash, batch, blocks, bucket_count, documents, fresh, lean, rolling, trim, words_of
 
 #: Stands for a null key in comparisons: below all others.
 NO_KEY = -(2**63)
@@ -156,10 +156,12 @@ def with_cuts(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc
 
     The text meets its removal intervals in one join; that is its only exchange.
     """
-    own = df.withColumns({"_cut_id": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_cut_digest": F.xxhash64(text)})
-    docs = own.select(F.col("_cut_id").alias("id"), F.col("_cut_digest").alias("digest"), F.col(text).alias("text_body"))
+    id_, digest = fresh(df, "cut_id"), fresh(df, "cut_digest")
+    own = df.withColumns({id_: F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), digest: F.xxhash64(text)})
+    docs = own.select(F.col(id_).alias("id"), F.col(digest).alias("digest"), F.col(text).alias("text_body"))
     buckets = bucket_count(docs, "text_body")
-    marks = removals(repeated(deal(docs, size, buckets), buckets), size).select(F.col("id").alias("_cut_id"), F.col("digest").alias("_cut_digest"), F.col("spans").alias("_cut_spans"))
+    spans = fresh(own, "cut_spans")
+    marks = removals(repeated(deal(docs, size, buckets), buckets), size).select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("spans").alias(spans))
 
     @F.pandas_udf(_CUT)
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -175,7 +177,7 @@ def with_cuts(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc
         trim()
         return pd.DataFrame(out, columns=_CUT.names)
 
-    return own.join(marks, ["_cut_id", "_cut_digest"], "left").withColumn(name, cut(F.col(text), F.col("_cut_spans"))).select(*df.columns, name)
+    return own.join(marks, [id_, digest], "left").withColumn(name, cut(F.col(text), F.col(spans))).select(*df.columns, name)
 
 
 def cut_repeats(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:

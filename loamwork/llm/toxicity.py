@@ -17,7 +17,7 @@ from loamwork.llm.weak import LabelModel, feature, fit_linear
 SIZE = 1 << 18
 #: The classifier is fitted on this many rows at most, those of least hash: LABELLED of them with a label (the induced
 #: lexicons' rows), the others without; where one kind is short, fewer.
-FIT_ROWS, LABELLED = 12_000, 0.5
+FIT_ROWS, LABELLED = 12_000, 0.75
 #: Entries of the induced lexicons together, at most.
 INDUCED = 600
 
@@ -112,7 +112,7 @@ def induce(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> froz
 def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
     """The classifier's weights, bias and label model.
 
-    Only labels of rows for which SQL `learn` holds are read. A bounded sample, half of it labelled rows and half
+    Only labels of rows for which SQL `learn` holds are read. A bounded sample, three quarters labelled rows and one quarter
     rows without a label, both by least hash, is what the classifier is fitted to; its labelled rows give the induced
     lexicons. All voters vote once on all rows for which `learn` holds, labelled or not; counts by pattern and label,
     at most 3 * 2 ** 12, go to EM. The target of every sampled row is its posterior by its votes, to which a label

@@ -90,8 +90,49 @@ def test_pipeline_stages_keep_their_rules(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == kept[4][1].count()
 
 
+def test_traits_of_other_scripts_and_of_whole_words():
+    for text in ("日本語の文章です。" * 20, "한국어 문장 입니다 " * 20, "中文文本，没有空格。" * 30, "𠀀𠀁𠀂" * 40):
+        t = quality.traits(text)[1]
+        assert t["letters"] > 0.75 and t["symbols"] == 0
+    assert quality.traits("→★♦" * 9)[1]["symbols"] == 1.0
+    assert quality.shape("a" * 30 + "B" * 9 + "7") == "aA0"
+
+
+def test_scores_by_hand(spark):
+    """Scores of both classifiers from their fitted weights."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").where("doc_id < 400")
+    m = quality.fit(docs)
+    got = docs.select("text", quality.scorer(spark, m)("text").alias("s")).collect()
+    for r in got[:60]:
+        f, v = quality.features(*quality.traits(r.text), quality._Shapes())
+        assert abs(r.s - 1 / (1 + np.exp(np.clip(m["bias"] + float(m["weights"][f] @ v), -40, 40)))) < 1e-5
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    m = toxicity.fit(docs, labels, "doc_id % 3 <> 1")
+    got = docs.select("text", toxicity.scorer(spark, m)("text").alias("s")).collect()
+    for r in got[:60]:
+        f, v = toxicity.features(toxicity.distinct(r.text), toxicity._Words(toxicity.word_features))
+        assert abs(r.s - 1 / (1 + np.exp(-np.clip(m["bias"] + float(m["weights"][f] @ v), -40, 40)))) < 1e-5
+
+
 def test_pipeline_stages_take_odd_documents(spark):
-    df = odd_documents(spark).select("doc_id", "text", "source", "id").withColumnRenamed("id", "lang").selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, df, "").count() > 0
-        stage(spark, df.where("false"), "").count()
+    """Rows, not counts: nulls, repeated rows, different texts under one key, clashing and unordered further columns."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    some = [(1, passage + " first one here", "a"), (1, "an unrelated text under the same key, of enough words to stand alone", "a"), (2, passage + " second one here", None), (3, None, "b"), (3, None, "b"), (None, "no key at all", "b"), (4, "", "a"), (5, "dup dup text of its own.", "a"), (5, "dup dup text of its own.", "a")]
+    rows = [(i, t, s, len(t or ""), {"k": n}, n, "x", "y", "z", "w") for n, (i, t, s) in enumerate(some)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, extra map<string,int>, count int, _id string, digest string, cut string, key string")
+    shown = lambda d: sorted((repr((r.doc_id, r.text)) for r in d.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality classifier"](spark, df, "")
+    assert good.columns == df.columns and set(shown(good)) <= set(shown(df))
+    one = stages["n-gram Jaccard join"](spark, df, "")
+    texts = [(i, t) for i, t, _ in some]
+    assert one.columns == df.columns and shown(one) == sorted(map(repr, [x for x in dict.fromkeys(texts) if x != (4, "")]))
+    cut_ = stages["substring dedup"](spark, df, "")
+    assert cut_.columns == df.columns and shown(cut_) == sorted(repr((i, "second one here" if i == 2 else t)) for i, t in texts)
+    mixed = stages["mixing sources"](spark, df, "")
+    took = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    assert mixed.columns == df.columns and set(took) <= set(some) and all(n <= 3 * some.count(x) for x, n in took.items())
+    assert sum(n * len((x[1] or "").split()) for x, n in took.items()) <= sum(len((t or "").split()) for _, t in texts)
+    assert Counter(r.doc_id for r in stages["byte-level BPE"](spark, df, "").collect()) == Counter(i for i, _ in texts)
+    for stage in stages.values():
+        assert stage(spark, df.where("false"), "").count() == 0
