@@ -124,7 +124,7 @@ def fingerprints(df: DataFrame, tuples: int = 32, k: int = 2, text: str = "text"
     """
     spark, lowest = df.sparkSession, -(2**63)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.expr("-9223372036854775807L - 1L")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    ranges = 3 * bucket_count(docs, "t", 3 * RANGE_CHARS)
+    ranges = 3 * bucket_count(docs, "t", RANGE_CHARS)
     placed = with_range(docs, range_bounds(docs, ranges))
     # one row for each range: its first row, in descending key and ascending hash, and the range whose last row comes before it
     first = placed.groupBy("range").agg(F.min(F.struct((-1 - F.col("id")).alias("down"), F.col("h"))).alias("x")).select("range", F.expr("-1L - x.down").alias("head"), F.col("x.h").alias("head_h")).toArrow().sort_by("range")
