@@ -725,6 +725,104 @@ def loop_promote(spark, sf):
     return spark.createDataFrame([(done.ok, done.rounds, done.reason)], "ok boolean, rounds int, reason string")
 
 
+# ---- registry writes, promotion, serving
+
+@query(f"""SELECT family, n::INT AS n, status, spec, CASE WHEN spec IS NULL THEN NULL ELSE sha256(spec) END AS source_sha FROM (
+  SELECT family, n, status, NULL AS spec FROM ({LADDER})
+  UNION ALL SELECT f, coalesce(m, 0) + row_number() OVER (PARTITION BY f ORDER BY o), 'fallback', '{{"v": ' || o || '}}' FROM (SELECT (c_custkey % 30)::INT AS f, c_custkey AS o FROM customer WHERE c_custkey <= 90) s
+  LEFT JOIN (SELECT family, max(n) AS m FROM ({LADDER}) GROUP BY 1) x ON x.family = f)""")
+def add_versions_state(spark, sf):
+    v = _versions(spark, sf).select(F.col("family").cast("int"), F.col("n").cast("int"), "status")
+    new = table(spark, sf, "customer").where("c_custkey <= 90").select((F.col("c_custkey") % 30).cast("int").alias("family"), F.concat(F.lit('{"v": '), "c_custkey", F.lit("}")).alias("spec"), F.col("c_custkey").alias("ord"))
+    return registry.add_versions(v, new, "2024-01-01T00:00:00+00:00").select("family", "n", "status", "spec", "source_sha")
+
+
+@query(f"""SELECT family, n, coalesce(r, 0)::BIGINT AS runs, coalesce(s, 0)::BIGINT AS successes FROM ({LADDER}) LEFT JOIN
+  (SELECT user_id % 25 AS f, event_id % 3 + 1 AS m, count(*) AS r, count(*) FILTER (WHERE event_type = 'click') AS s FROM events GROUP BY 1, 2) ON f = family AND m = n""")
+def record_runs_state(spark, sf):
+    v = _versions(spark, sf).select("family", "n", F.lit(0).cast("long").alias("runs"), F.lit(0).cast("long").alias("successes"))
+    runs = table(spark, sf, "events").select((F.col("user_id") % 25).alias("family"), (F.col("event_id") % 3 + 1).alias("n"), (F.col("event_type") == "click").alias("ok"))
+    return registry.record_runs(v, runs.join(v.select("family", "n"), ["family", "n"], "left_semi"))
+
+
+@query("""SELECT l_orderkey AS url, '[' || string_agg('{"line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']' AS extracted_json, true AS after FROM lineitem GROUP BY 1""")
+def history_append(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.lit("f").alias("family"), F.col("l_orderkey").alias("url"), F.lit(1).alias("version"), F.col("l_linenumber").alias("item_ix"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    return registry.history_rows(t, ["line", "flag"], 100, "2024-01-01").select("url", "extracted_json", (F.col("id") > 100).alias("after"))
+
+
+@query("""SELECT user_id AS family, 'run' AS event, '{"ts":"' || event_type || '"}' AS data, count(*) AS n, true AS distinct_ids FROM events GROUP BY ALL""")
+def audit_append(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("family"), F.lit("run").alias("event"), F.struct(F.col("event_type").alias("ts")).alias("data"))
+    rows = registry.audit_rows(e, 7, "2024-01-01")
+    return rows.groupBy("family", "event", "data").agg(F.count("*").alias("n"), (F.count_distinct("id") == F.count("*")).alias("distinct_ids"))
+
+
+@query("""SELECT domain, strategy, CASE strategy WHEN 'backoff' THEN 'p' || (domain % 3)::VARCHAR WHEN 'session' THEN 'q' END AS param FROM (
+  SELECT s_suppkey AS domain, CASE s_suppkey % 3 WHEN 0 THEN 'backoff' WHEN 1 THEN 'session' ELSE 'browser' END AS strategy FROM supplier)""")
+def strategy_params(spark, sf):
+    k = F.col("s_suppkey")
+    kind = lambda name, p: F.struct(F.lit(name).alias("kind"), F.create_map(F.lit("x"), p).alias("params"))
+    domains = table(spark, sf, "supplier").select(k.alias("domain"), F.array(kind("backoff", F.concat(F.lit("p"), k % 3)), kind("session", F.lit("q")), kind("backoff", F.lit("later"))).alias("access_strategies"))
+    chosen = table(spark, sf, "supplier").select(k.alias("domain"), F.when(k % 3 == 0, "backoff").when(k % 3 == 1, "session").otherwise("browser").alias("strategy"))
+    return failure.strategy_params(domains, chosen).select("domain", "strategy", F.col("params")["x"].alias("param"))
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS family,
+  CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS used_version,
+  CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'trusted' END ELSE p_brand END AS company,
+  CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN '7' END ELSE ((p_partkey % 97 + 1) * 10000)::VARCHAR END AS salary,
+  CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'none' WHEN p_partkey % 11 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'oracle' ELSE 'none' END ELSE 'crawler' END AS source FROM part""")
+def serve_end_to_end(spark, sf):
+    from loamwork.plans.serve import serve_requests
+
+    k = F.col("page_id")
+    p = _islands(spark, sf).withColumnRenamed("p_partkey", "page_id")
+    where = F.when(k % 5 == 0, "https://other.example/").when(k % 2 == 0, "https://shop.example/a/").otherwise("https://shop.example/b/")
+    p = p.select("page_id", F.concat(where, k.cast("string")).alias("url"), F.when(k % 11 == 0, '{"props": {}}').otherwise(F.col("json")).alias("json"),
+                 F.when(k % 7 == 0, "blocked").otherwise("ok").alias("kind"), F.when(k % 7 == 0, 403).otherwise(200).alias("status"), F.lit(None).cast("string").alias("marker"), F.lit(True).alias("listed"))
+    good = {"title": {"path": ["props", "detail", "city"], "transform": "none"}, "company": FIELDMAP["company"], "salary": {"path": ["props", "detail", "salaryK"], "transform": "x10000"}}
+    bad = good | {"salary": {"path": ["props", "gone"], "transform": "int"}}
+    trusted = p.where("page_id % 3 = 0 and page_id % 5 <> 0").select("page_id", F.lit("t").alias("title"), F.lit("trusted").alias("company"), F.lit("7").alias("salary"))
+    done = serve_requests(p, [("a", ["/a/"]), ("b", ["/b/", "(?P<broken"])], {"a": [(2, good), (1, bad)], "b": [(2, bad), (1, good)]}, get_schema("JobPosting"), trusted)
+    return done.select("page_id", "family", "used_version", "record.company", "record.salary", "source")
+
+
+@query("""SELECT * FROM (VALUES ('company', 'none'), ('salary', 'x10000'), ('title', 'none')) t(field, transform)""")
+def field_map_from_discovery(spark, sf):
+    """Discovery over all of part, made a field map."""
+    from loamwork.plans.promote import value_path_candidate
+
+    k = F.col("p_partkey")
+    samples = _islands(spark, sf).withColumnRenamed("p_partkey", "page_id")
+    truth = table(spark, sf, "part").select(k.alias("page_id"), F.col("p_type").alias("title"), F.col("p_brand").alias("company"), ((k % 97 + 1) * 10000).alias("salary"), F.lit("full_time").alias("employment_type"))
+    found = value_path_candidate(samples, truth, get_schema("JobPosting"))
+    return spark.createDataFrame([(f, s["transform"]) for f, s in found.items()], "field string, transform string")
+
+
+@query(f"""SELECT family, n::INT AS n, CASE WHEN family = 3 THEN CASE WHEN status = 'active' THEN 'fallback' ELSE status END ELSE status END AS status FROM ({LADDER})
+  UNION ALL SELECT 3, (SELECT max(n) + 1 FROM ({LADDER}) WHERE family = 3)::INT, 'active' UNION ALL SELECT -1, 1, 'audited'""")
+def promote_state(spark, sf):
+    from loamwork.plans.promote import promote
+
+    v = _versions(spark, sf).select(F.col("family").cast("string"), F.col("n").cast("int"), "status")
+    done = promote(spark, v, "3", {"title": {"path": ["a"], "transform": "none"}}, "JobPosting@1", now="2024-01-01")
+    rows = done.versions.select(F.col("family").cast("int"), "n", "status")
+    return rows.unionByName(done.audit.select(F.lit(-1).alias("family"), F.when(F.col("id") > 0, 1).alias("n"), F.when(F.get_json_object("data", "$.to_version") == F.lit(done.n).cast("string"), "audited").alias("status")))
+
+
+@query(f"SELECT page_id, url, min(f) AS family FROM pages LEFT JOIN (SELECT DISTINCT {FAMILY} AS f, {HOST} AS h FROM pages WHERE page_id % 3 = 0) ON h = {HOST} AND regexp_matches(url, '^https?://' || replace(f, '.', '\\.')) GROUP BY ALL")
+def route_table_rows(spark, sf):
+    """Routing by a table with patterns that no engine takes among the sound ones; no page is lost."""
+    from loamwork.functions.text import derive_family, host
+
+    p = pages(spark, sf)
+    u = F.col("url")
+    known = p.where("page_id % 3 = 0").select(host(u).alias("host"), derive_family(u).alias("family")).distinct()
+    known = known.withColumn("url_patterns", F.array(F.lit("(?P<broken"), F.concat(F.lit("^https?://"), F.replace("family", F.lit("."), F.lit("\\.")))))
+    return route.route_by_table(p.select("page_id", "url"), known)
+
+
 def queries() -> dict:
     return dict(_queries)
 

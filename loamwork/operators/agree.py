@@ -13,9 +13,11 @@ AGREEMENT_BAR, FIXTURE_BAR = 0.98, 1.0
 
 def aligned_pairs(left: DataFrame, right: DataFrame, by: list[str], key: str | None, ix: str, fields: list[str]) -> DataFrame:
     """by, pair, and structs a and b (null where a side is shorter): rows of equal rank, each side sorted by
-    the key's text, then by position. A row without the key sorts as the empty text."""
+    the key's text, then by position. A missing key sorts as the empty text: where a side has a boolean column
+    <key>_given, a null whose key was given sorts as the text None."""
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        order = [F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(ix)] if key else [F.col(ix)]
+        none = F.when(F.col(f"{key}_given"), "None").otherwise("") if f"{key}_given" in df.columns else F.lit("")
+        order = [F.coalesce(F.col(key).cast("string"), none), F.col(ix)] if key else [F.col(ix)]
         return df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("pair"), F.struct(*fields).alias(name))
 
     return ranked(left, "a").join(ranked(right, "b"), [*by, "pair"], "full_outer")
@@ -38,8 +40,22 @@ def agreement_detail(left: DataFrame, right: DataFrame, by: list[str], key: str
                       (F.col("n_left") == F.col("n_items")).alias("count_match"), "n_items")
 
 
-def items_agreement(left: DataFrame, right: DataFrame, by: list[str], key: str | None, ix: str, fields: list[str], volatile=frozenset()) -> DataFrame:
-    return agreement_detail(left, right, by, key, ix, fields, volatile).select(*by, F.col("mean").alias("agreement"))
+def with_empty_pairs(detail: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """agreement_detail with a row for each of pages (by) for which both lists are empty: these agree wholly."""
+    full = pages.select(*by).distinct().join(detail, by, "left")
+    return full.select(*by, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("agree", 0), ("total", 0), ("mean", 1.0), ("min_item", 1.0), ("count_match", True), ("n_items", 0))])
+
+
+def items_agreement(left: DataFrame, right: DataFrame, by: list[str], key: str | None, ix: str, fields: list[str], volatile=frozenset(), pages: DataFrame | None = None) -> DataFrame:
+    """by, agreement: the mean of agreement_detail; with pages (by), 1.0 for those with no records on either side."""
+    detail = agreement_detail(left, right, by, key, ix, fields, volatile)
+    return (detail if pages is None else with_empty_pairs(detail, pages, by)).select(*by, F.col("mean").alias("agreement"))
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """scores with `summary`, a struct of what the audit keeps of a candidate's score."""
+    names = ("schema_valid", "agreement", "fixture_pass", "min_item", "counts_match", "exec_errors", "passed")
+    return scores.withColumn("summary", F.struct(*names))
 
 
 def latest_history(history: DataFrame, by: list[str]) -> DataFrame:

@@ -65,3 +65,28 @@ def recover(attempts: DataFrame, max_rounds: int = 2) -> DataFrame:
     per = attempts.where(F.col("round") <= max_rounds).groupBy("domain").agg(F.min_by(F.struct("strategy", "round"), place).alias("won"), F.count(place).alias("n"))
     ok = F.col("n") > 0
     return per.select("domain", ok.alias("ok"), F.when(ok, F.col("won.strategy")).alias("strategy"), F.when(ok, F.col("won.round")).otherwise(max_rounds).alias("rounds"), F.when(ok, "working").otherwise("escalated").alias("status"))
+
+
+# The kinds of access strategy that a configuration may name.
+KINDS = ("plain", "backoff", "browser", "stealth_browser", "session", "bypass_token", "captcha_solver")
+
+
+def checked_kinds(kinds: list[str]) -> list[str]:
+    """kinds, all of which must be known."""
+    for kind in kinds:
+        if kind not in KINDS:
+            raise ValueError(f"unknown access strategy kind: {kind!r}")
+    return kinds
+
+
+def strategy_params(domains: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (domain, strategy) with params: those of the first configured strategy of that kind, else an empty map."""
+    listed = domains.select("domain", F.posexplode("access_strategies").alias("_ord", "s")).groupBy("domain", F.col("s.kind").alias("strategy")).agg(F.min_by("s.params", "_ord").alias("params"))
+    none = F.create_map().cast(listed.schema["params"].dataType)
+    return chosen.join(listed, ["domain", "strategy"], "left").withColumn("params", F.coalesce("params", none))
+
+
+def saved_winners(recovered: DataFrame, now: Column | str) -> DataFrame:
+    """Rows (domain, working_strategy, status, updated_at) to append to the access log after recover(): the winner
+    of each domain that got through, and the status of all; a domain that did not keeps its strategy."""
+    return recovered.select("domain", F.when(F.col("ok"), F.col("strategy")).alias("working_strategy"), "status", (now if isinstance(now, Column) else F.lit(now)).alias("updated_at"))

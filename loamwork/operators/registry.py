@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamwork.operators.safety import ast_violations
+
 
 def version_ladder(versions: DataFrame) -> DataFrame:
     """versions with `rung`: the active one first, then by falling number; archived ones too."""
@@ -33,21 +35,120 @@ def next_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("family").agg((F.coalesce(F.max("n"), F.lit(0)) + 1).cast("int").alias("next_n"))
 
 
-def set_active(versions: DataFrame, target: DataFrame) -> DataFrame:
-    """versions after target (family, n) became active; the one that was becomes fallback, others stay."""
+def _require(wanted: DataFrame, there: DataFrame, keys: list[str], what: str) -> None:
+    """Raises LookupError naming up to ten of `wanted` that are not there; wanted is small: what one call changes."""
+    missing = wanted.select(*keys).join(there.select(*keys), keys, "left_anti").limit(10).collect()
+    if missing:
+        raise LookupError(f"no {what} {[tuple(r) for r in missing]}")
+
+
+def set_active(versions: DataFrame, target: DataFrame, strict: bool = True) -> DataFrame:
+    """versions after target (family, n) became active; the one that was becomes fallback, others stay.
+
+    A target that is no version raises LookupError, and nothing changes."""
+    if strict:
+        _require(target, versions, ["family", "n"], "version")
     aim = target.select("family", F.col("n").alias("_n"))
     status = F.when(F.col("_n").isNull(), F.col("status")).when(F.col("n") == F.col("_n"), "active").when(F.col("status") == "active", "fallback").otherwise(F.col("status"))
     return versions.join(aim, "family", "left").withColumn("status", status).drop("_n")
 
 
-def rollback(versions: DataFrame) -> DataFrame:
-    """versions after each family's newest fallback became active and the active one archived; families
-    without a fallback stay as they are."""
+def rollback(versions: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """versions after each family's newest fallback became active and the active one archived.
+
+    Without `families` (family), families that have no fallback stay as they are; those named must have
+    one, else LookupError, and others stay."""
+    if families is not None:
+        _require(families, versions.where("status = 'fallback'"), ["family"], "fallback to roll back to for")
+        named = families.select("family").distinct()
+        return rollback(versions.join(named, "family", "left_semi")).unionByName(versions.join(named, "family", "left_anti"))
     best = F.max(F.when(F.col("status") == "fallback", F.col("n"))).over(Window.partitionBy("family"))
     status = F.when(F.col("_best").isNull(), F.col("status")).when(F.col("n") == F.col("_best"), "active").when(F.col("status") == "active", "archived").otherwise(F.col("status"))
     return versions.withColumn("_best", best).withColumn("status", status).drop("_best")
 
 
+def add_versions(versions: DataFrame, sources: DataFrame, now: Column | str | None = None) -> DataFrame:
+    """versions with one row more for each of sources (family, spec, ord): the next numbers of its family in order of
+    ord, status fallback, no runs, and the hash of what was registered.
+
+    Sources that the gate refuses raise ValueError before anything is added: specs are JSON field maps, or
+    source text without violations."""
+    bad = sources.where(F.try_parse_json("spec").isNull() & (F.size(ast_violations(F.col("spec"))) > 0)).select("family").limit(10).collect()
+    if bad:
+        raise ValueError(f"refused by the gate: {[r['family'] for r in bad]}")
+    number = F.row_number().over(Window.partitionBy("family").orderBy("ord"))
+    new = sources.join(next_version(versions), "family", "left").select(
+        "family", (F.coalesce("next_n", F.lit(1)) - 1 + number).cast("int").alias("n"), F.lit("fallback").alias("status"), "spec",
+        F.sha2("spec", 256).alias("source_sha"), now_iso(now).alias("promoted_at"), F.lit(0).cast("long").alias("runs"), F.lit(0).cast("long").alias("successes"))
+    return versions.unionByName(new, allowMissingColumns=True)
+
+
+class IntegrityError(ValueError):
+    """A registered spec is not what was registered."""
+
+
+def active_specs(versions: DataFrame) -> DataFrame:
+    """(family, n, spec) of the active versions; one whose spec no longer has its hash raises IntegrityError."""
+    active = versions.where("status = 'active'")
+    changed = active.where(~verify_source(versions)).select("family", "n").limit(10).collect()
+    if changed:
+        raise IntegrityError(f"changed since registration: {[tuple(r) for r in changed]}")
+    return active.select("family", "n", "spec")
+
+
+def record_runs(versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """versions with runs (family, n, ok) counted in: each adds a run, and a success where ok. An unknown version
+    raises LookupError."""
+    added = runs.groupBy("family", "n").agg(F.count("*").alias("_r"), F.count_if("ok").alias("_s"))
+    _require(added, versions, ["family", "n"], "version")
+    return versions.join(added, ["family", "n"], "left").withColumns({"runs": F.col("runs") + F.coalesce("_r", F.lit(0)), "successes": F.col("successes") + F.coalesce("_s", F.lit(0))}).select(*versions.columns)
+
+
+def now_iso(now: Column | str | None = None) -> Column:
+    """A pinned time, or the query's own, in UTC."""
+    if now is not None:
+        return now if isinstance(now, Column) else F.lit(now)
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def audit_rows(events: DataFrame, after: int = 0, now: Column | str | None = None) -> DataFrame:
+    """(id, ts, family, event, data) to append to an audit log whose largest id is `after`; events have family, event
+    and data (a struct or map, written as JSON). Ids rise in the order of the rows and are unique, not dense."""
+    return events.select((F.lit(after + 1) + F.monotonically_increasing_id()).alias("id"), now_iso(now).alias("ts"), "family", "event", F.to_json("data").alias("data"))
+
+
+def history_rows(records: DataFrame, fields: list[str], after: int = 0, now: Column | str | None = None) -> DataFrame:
+    """(id, family, url, version, extracted_json, ts) to append to the run history: one row for each served page, its
+    records (item_ix, fields) as a JSON array in order. Ids as in audit_rows."""
+    pages = records.groupBy("family", "url", "version").agg(F.sort_array(F.collect_list(F.struct("item_ix", *fields))).alias("items"))
+    items = F.to_json(F.transform("items", lambda x: F.struct(*[x[f].alias(f) for f in fields])), {"ignoreNullFields": "false"})
+    return pages.select((F.lit(after + 1) + F.monotonically_increasing_id()).alias("id"), "family", "url", "version", items.alias("extracted_json"), now_iso(now).alias("ts"))
+
+
+def read_audit(audit: DataFrame, family: str | None = None) -> DataFrame:
+    """Audit rows, newest first, of one family or all."""
+    return (audit if family is None else audit.where(F.col("family") == family)).orderBy(F.desc("id"))
+
+
+def all_families(families: DataFrame) -> DataFrame:
+    """Families in order of name, patterns as a list."""
+    kind = families.schema["url_patterns"].dataType.typeName()
+    return (families if kind == "array" else families.withColumn("url_patterns", F.coalesce(F.from_json("url_patterns", "array<string>"), F.array().cast("array<string>")))).orderBy("family")
+
+
+def access_rows(log: DataFrame) -> DataFrame:
+    """(domain, working_strategy, status, updated_at) in order of domain: the newest of each that isn't null."""
+    return latest_values(log, "domain", ["working_strategy", "status", "updated_at"]).orderBy("domain")
+
+
+def lookup(rows: DataFrame, **key) -> dict | None:
+    """The one row with these values as a dict, or None; filters reach the scan."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    found = rows.limit(1).collect()
+    return found[0].asDict(recursive=True) if found else None
+
+
 def rollback_target(versions: DataFrame) -> DataFrame:
     return versions.where("status = 'fallback'").groupBy("family").agg(F.max("n").alias("target_n"))
 

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamwork.functions.text import absolutize, absolutize_rooted, host
 
 
+def _java(pattern: str) -> str:
+    """Python's spelling of named groups in Java's."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<", "(?<", pattern))
+
+
 def sound_patterns(patterns: list[str]) -> list[str]:
-    """Those that compile; a malformed one never matches and breaks nothing."""
+    """Those that compile here and in the engine, in its spelling; a malformed one never matches and breaks nothing."""
+    compiled = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile
     sound = []
     for p in patterns:
         try:
             re.compile(p)
-        except re.error:
+            compiled(_java(p))
+        except (re.error, Py4JJavaError):
             continue
-        sound.append(p)
+        sound.append(_java(p))
     return sound
 
 
@@ -37,11 +45,31 @@ def route(pages: DataFrame, families: list[tuple[str, list[str]]]) -> DataFrame:
 
 
 def route_by_table(pages: DataFrame, families: DataFrame) -> DataFrame:
-    """As route, for families in a table (family, url_patterns) too large for literals: families are tied to
-    hosts by equi-join on `host` and only the host's patterns are tried; the least family wins."""
-    tried = pages.withColumn("_host", host(F.col("url"))).join(families.select(F.col("host").alias("_host"), F.col("family").alias("_family"), "url_patterns"), "_host", "left")
-    hit = F.exists("url_patterns", lambda p: F.expr("url").rlike(p) if isinstance(p, str) else F.regexp_like(F.col("url"), p))
-    return tried.groupBy(*pages.columns).agg(F.min(F.when(hit, F.col("_family"))).alias("family"))
+    """As route, for families in a table (host, family, url_patterns) too many for one expression: a host's families,
+    few, come as one sorted list to its pages by an equi-join on the host, and the first that matches is taken; no row
+    of pages is lost, repeated or grouped. Patterns are tested once, on the driver: one list per distinct pattern."""
+    known = [r[0] for r in families.select(F.explode("url_patterns").alias("p")).where("p is not null").distinct().collect()]
+    sound = {p: x for p in known for x in sound_patterns([p])}
+    spelled = families.sparkSession.createDataFrame(list(sound.items()) or [(None, None)], "p string, _java string")
+    flat = families.select(F.col("host").alias("_host"), "family", F.explode("url_patterns").alias("p")).join(spelled, "p").groupBy("_host", "family").agg(F.collect_set("_java").alias("patterns"))
+    of = flat.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("family", "patterns"))).alias("_families"))
+    tried = pages.withColumn("_host", host(F.col("url"))).join(of, "_host", "left")
+    hit = F.filter("_families", lambda f: F.exists(f["patterns"], lambda p: F.regexp_like(F.col("url"), p)))
+    return tried.withColumn("family", F.get(hit, F.lit(0))["family"]).select(*pages.columns, "family")
+
+
+#: An anchor's target, quoted or not.
+ANCHOR = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+TARGET = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))$"""
+# The character references that occur in URLs.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#61;", "="), ("&#x3d;", "="), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """text with the character references of ENTITIES decoded, the ampersand last."""
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
 
 
 def harvest_links(pages: DataFrame, full_urls: bool = False) -> DataFrame:
@@ -50,8 +78,7 @@ def harvest_links(pages: DataFrame, full_urls: bool = False) -> DataFrame:
     full_urls resolves every kind of reference, in Arrow batches; otherwise root-relative and absolute
     ones, in generated code.
     """
-    hrefs = F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')"""), 0),
-                        lambda x: F.regexp_extract(x, r"""(?is)\bhref\s*=\s*["']([^"']*)["']$""", 1))
+    hrefs = F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), 0), lambda x: decoded(F.concat(*[F.regexp_extract(x, TARGET, i) for i in (1, 2, 3)])))
     flat = pages.select("page_id", "url", F.posexplode(hrefs).alias("at", "href"))
     link = absolutize(F.col("url"), F.col("href")) if full_urls else absolutize_rooted(F.col("url"), F.col("href"))
     kept = flat.withColumn("link", link).where(F.col("link").isNotNull() & (host(F.col("link")) == host(F.col("url"))))
