@@ -22,7 +22,7 @@ _IDS = pa.list_(pa.int32())
 #: Codes from here on stand for pieces that are no tokens.
 HOLE = 1 << 24
 #: Characters of a block of documents, and bytes of pieces that are replayed together, about.
-BLOCK_CHARS, REPLAY_BYTES = 6_000_000, 1_500_000
+BLOCK_CHARS, REPLAY_BYTES = 24_000_000, 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -218,7 +218,7 @@ def fill(codes: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarr
 
 def _pack(x: np.ndarray) -> bytes:
     """int32 values byte by byte of their width, compressed."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -245,18 +245,19 @@ def _cutting(shared, pattern: str, kind: pa.DataType, buckets: int):
         for rows in blocks(batches, BLOCK_CHARS, "text_body"):
             codes, new = cut(rows["text_body"], find, ranks)
             block, flat = uuid.uuid4().bytes, np.concatenate(codes)
-            into = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in new), np.int64, len(new))
-            order = np.argsort(into, kind="stable")
+            into = [xxhash.xxh3_64_intdigest(w) % buckets for w in new]
+            order = np.array(sorted(range(len(new)), key=lambda i: (into[i], new[i])), np.int64)  # sorted pieces compress better
             number = np.empty(len(new), np.int32)
             number[order] = np.arange(len(new))
             hole = flat >= HOLE
             flat[hole] = HOLE + number[flat[hole] - HOLE]
-            edge = np.flatnonzero(np.r_[True, into[order][1:] != into[order][:-1], True]).tolist() if len(new) else [0]
-            press = zstandard.ZstdCompressor(1).compress
+            into = np.array(into, np.int64)[order]
+            edge = np.flatnonzero(np.r_[True, into[1:] != into[:-1], True]).tolist() if len(new) else [0]
+            press = zstandard.ZstdCompressor(3).compress
             out = [(block, None, None, _pack(flat), _pack(np.array([len(c) for c in codes])), rows["text_key"])]
             for a, b in zip(edge, edge[1:]):
                 words = [new[i] for i in order[a:b].tolist()]
-                out.append((block, int(into[order[a]]), a, press(b"".join(words)), _pack(np.array([len(w) for w in words])), None))
+                out.append((block, int(into[a]), a, press(b"".join(words)), _pack(np.array([len(w) for w in words])), None))
             yield batch(schema, *zip(*out))
 
     return run
