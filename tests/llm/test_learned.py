@@ -117,7 +117,7 @@ def test_scores_by_hand(spark):
 def test_pipeline_stages_take_odd_documents(spark):
     """Rows, not counts: nulls, repeated rows, different texts under one key, clashing and unordered further columns."""
     passage = " ".join(f"p{i}" for i in range(30))
-    some = [(1, passage + " first one here", "a"), (1, "an unrelated text under the same key, of enough words to stand alone", "a"), (2, passage + " second one here", None), (3, None, "b"), (3, None, "b"), (None, "no key at all", "b"), (4, "", "a"), (5, "dup dup text of its own.", "a"), (5, "dup dup text of its own.", "a")]
+    some = [(1, passage + " first one here with more words of its own than few", "a"), (1, "an unrelated text under the same key, of enough words to stand alone", "a"), (2, passage + " second one here with other words that only it has got", None), (3, None, "b"), (3, None, "b"), (None, "no key at all", "b"), (4, "", "a"), (5, "dup dup text of its own.", "a"), (5, "dup dup text of its own.", "a")]
     rows = [(i, t, s, len(t or ""), {"k": n}, n, "x", "y", "z", "w") for n, (i, t, s) in enumerate(some)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, extra map<string,int>, count int, _id string, digest string, cut string, key string")
     shown = lambda d: sorted((repr((r.doc_id, r.text)) for r in d.collect()))
@@ -128,7 +128,7 @@ def test_pipeline_stages_take_odd_documents(spark):
     texts = [(i, t) for i, t, _ in some]
     assert one.columns == df.columns and shown(one) == sorted(map(repr, [x for x in dict.fromkeys(texts) if x != (4, "")]))
     cut_ = stages["substring dedup"](spark, df, "")
-    assert cut_.columns == df.columns and shown(cut_) == sorted(repr((i, "second one here" if i == 2 else t)) for i, t in texts)
+    assert cut_.columns == df.columns and shown(cut_) == sorted(repr((i, "second one here with other words that only it has got" if i == 2 else t)) for i, t in texts)
     mixed = stages["mixing sources"](spark, df, "")
     took = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
     assert mixed.columns == df.columns and set(took) <= set(some) and all(n <= 3 * some.count(x) for x, n in took.items())
