@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.common import batch, blocks, bucket_count, documents, fresh, lean, saved, trim
+from loamwork.llm.common import batch, blocks, bucket_count, documents, fresh, lean, saved_by, trim
 
 _IDS = pa.list_(pa.int32())
 #: Codes from here on stand for pieces that are no tokens.
@@ -333,7 +333,7 @@ def _coding(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, key
     docs = df.select(F.col(key).alias("text_key"), F.col(text).alias("text_body"))
     buckets = bucket_count(docs, "text_body")
     wide = T.StructType([T.StructField("block", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("keys", T.ArrayType(kind))])
-    both = saved(docs.mapInArrow(lean(_cutting(shared, pattern, _arrow_type(kind), buckets)), wide), "pieces")
+    both = saved_by(docs.mapInArrow(lean(_cutting(shared, pattern, _arrow_type(kind), buckets)), wide), "pieces", "block", buckets)
     known = both.where("bucket is not null").groupBy("bucket").applyInArrow(_learning(shared, tag), "block binary, first int, ids binary, many binary")
     fields = [T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
     texts = both.where("bucket is null").select("block", "body", "ends", "keys")
@@ -346,7 +346,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     Blocks of documents are cut into pieces once. A block asks for each of its distinct pieces that is no token
     by itself; the pieces of the whole corpus meet in hash buckets, whose number follows the corpus, where each
     distinct one is replayed once (an inverted index from token pair to positions, merges in rank order); a
-    block's answers come back packed and fill its texts. Neither texts nor their pieces are exchanged one by one.
+    block's answers come back packed and fill its texts. Blocks are written once, bucketed, and read back where the
+    answers meet them: texts are not exchanged, nor are their pieces one by one.
 
     One row per row of df, repeated rows and null keys too; null and empty texts give no ids; texts of
     any length are encoded whole, cut in parts. Other columns, whatever their names, are left out. The ranks
