@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from itertools import chain
 
@@ -112,18 +113,35 @@ def features(words: list[str], t: dict[str, float], shapes: _Shapes) -> tuple[np
     return np.r_[f, np.array(steps, np.int32)].astype(np.int32), np.r_[3 * n / max(1, len(words)), np.ones(len(steps))].astype(np.float32)
 
 
+def unpacked(packed: list) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Votes and (features, amounts) of the sample's rows, in an order that doesn't depend on how they were dealt.
+
+    Rows are views of a block's arrays, 6 bytes a cell."""
+    unpack, found = pa.Codec("zstd").decompress, []
+    for fired, sizes, own, amounts in packed:
+        fired, sizes = np.frombuffer(fired, np.int32), np.frombuffer(sizes, np.int32)
+        ends = np.cumsum(sizes)
+        cells = int(sizes.sum())
+        f, v = np.frombuffer(unpack(own, 2 * cells, asbytes=True), np.uint16), np.frombuffer(unpack(amounts, 4 * cells, asbytes=True), np.float32)
+        for vote, a, z in zip(fired.tolist(), ends - sizes, ends):
+            found.append((vote, hashlib.md5(f[a:z].tobytes() + v[a:z].tobytes()).digest(), f[a:z], v[a:z]))
+    found.sort(key=lambda r: r[:2])
+    return np.array([r[0] for r in found], np.int64), [r[2:] for r in found]
+
+
 def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
     """The scorer: weights, bias, and the label model behind them.
 
     Labellers vote on every row; votes are counted by pattern in Spark (at most 2 ** 12 patterns) and EM
     estimates labeller accuracies from these counts over the whole table. The linear scorer is fitted to
-    the posteriors of a bounded sample, the rows of least hash, about fit_rows of them.
+    the posteriors of a bounded sample, the rows of least hash, about fit_rows of them; they come to the
+    driver packed, a row for each block of texts.
     """
     docs = df.select(F.col(text).alias("text_body"), F.xxhash64(key, text).alias("h"))
     total = docs.count()
     share = min(1.0, fit_rows / max(1, total))
     edge = int(share * 2**40)
-    schema = pa.schema([("votes", pa.int32()), ("features", pa.binary()), ("amounts", pa.binary())])
+    schema = pa.schema([(name, pa.binary()) for name in ("votes", "sizes", "features", "amounts")])
 
     def vote(batches):
         out = pa.schema([("votes", pa.int32())])
@@ -132,24 +150,29 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int =
             yield batch(out, [votes(len(w), t) for w, t in found])
 
     def sample(batches):
-        shapes = _Shapes()
+        shapes, pack = _Shapes(), pa.Codec("zstd", 3).compress
         for rows in blocks(batches, 2_000_000, "text_body"):
-            out = []
+            fired, own, amounts = [], [], []
             for x in rows["text_body"]:
                 w, t = traits(x)
                 f, v = features(w, t, shapes)
-                out.append((votes(len(w), t), f.tobytes(), v.tobytes()))
-            yield batch(schema, *zip(*out))
+                fired.append(votes(len(w), t))
+                own.append(f.astype(np.uint16))
+                amounts.append(v)
+            yield batch(schema, [np.array(fired, np.int32).tobytes()], [np.array([len(f) for f in own], np.int32).tobytes()],
+                        [pack(np.concatenate(own).tobytes(), asbytes=True)], [pack(np.concatenate(amounts).tobytes(), asbytes=True)])
 
     counts = np.zeros(2 ** len(LABELLERS))
     for r in docs.select("text_body").mapInArrow(lean(vote), "votes int").groupBy("votes").count().collect():
         counts[r["votes"]] = r["count"]
     labels = LabelModel([p for p, _ in LABELLERS], silence=False).fit(counts)
     posterior = labels.posterior()
-    chosen = docs.where(F.pmod("h", F.lit(2**40)) < edge).select("text_body").mapInArrow(lean(sample), "votes int, features binary, amounts binary").collect()
-    chosen = sorted(chosen, key=lambda r: (r["votes"], bytes(r["features"]), bytes(r["amounts"])))
-    rows = [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["amounts"], np.float32)) for r in chosen]
-    weights, bias = fit_linear(rows, np.array([posterior[r["votes"]] for r in chosen]), SIZE, l1=1e-5)
+    packed = docs.where(F.pmod("h", F.lit(2**40)) < edge).select("text_body").mapInArrow(lean(sample), "votes binary, sizes binary, features binary, amounts binary").collect()
+    fired, rows = unpacked(packed)
+    del packed
+    weights, bias = fit_linear(rows, posterior[fired], SIZE, l1=1e-5)
+    del rows
+    trim()
     return {"weights": weights.astype(np.float32), "bias": bias, "labels": labels}
 
 

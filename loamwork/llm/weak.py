@@ -6,6 +6,9 @@ import zlib
 
 import numpy as np
 
+#: Cells of sparse rows whose products are held at a time.
+CELLS = 250_000
+
 
 def excess_covariance(cov: np.ndarray, rounds: int = 200) -> np.ndarray:
     """What pairs of voters share beyond a common cause: off-diagonal covariance less a rank-one part.
@@ -110,6 +113,7 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, si
 
     Accelerated proximal gradient with per-feature steps from a separable bound of the curvature; an L1
     penalty and a least number of rows per feature keep chance features at zero. Same rows, same weights.
+    Beside the rows it holds 8 bytes a cell, and products of about CELLS cells at a time.
     """
     n = len(rows)
     if not n:
@@ -118,23 +122,40 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, si
     for f, _ in rows:
         seen[f] += 1
     enough = seen >= least_rows
-    kept = [enough[f] for f, _ in rows]
-    row = np.repeat(np.arange(n, dtype=np.int32), [int(k.sum()) for k in kept])
-    f = np.concatenate([x[k] for (x, _), k in zip(rows, kept)])
-    v = np.concatenate([x[k] for (_, x), k in zip(rows, kept)]).astype(np.float32)
     used = np.flatnonzero(enough)
     place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used))
-    f = place[f]
+    edge = np.cumsum([0, *(int(enough[x].sum()) for x, _ in rows)])
+    f, v = np.empty(edge[-1], np.int32), np.empty(edge[-1], np.float32)
+    for (x, y), a, z in zip(rows, edge, edge[1:]):
+        k = enough[x]
+        f[a:z], v[a:z] = place[x[k]], y[k]
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(min(n, max(cuts[-1] + 1, int(np.searchsorted(edge, edge[cuts[-1]] + CELLS, "right")) - 1)))
+
+    def parts():
+        """Rows, number of each cell's row among them, features and values, about CELLS cells at a time."""
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield lo, hi, np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1])), f[edge[lo] : edge[hi]], v[edge[lo] : edge[hi]]
+
+    def down(of: np.ndarray) -> np.ndarray:
+        """By feature, the sum of values times their row's number."""
+        return sum(np.bincount(fs, vs * of[lo:hi][row], len(used)) for lo, hi, row, fs, vs in parts())
+
+    def across(of: np.ndarray) -> np.ndarray:
+        """By row, the sum of values times their feature's number."""
+        return np.concatenate([np.bincount(row, vs * of[fs], hi - lo) for lo, hi, row, fs, vs in parts()])
+
     mean = float(np.clip(target.mean(), 1e-3, 0.999))
     w, bias = np.zeros(len(used)), np.log(mean / (1 - mean))
-    length = np.bincount(row, v, n) + 1.0
-    step = 1 / (0.25 * np.bincount(f, v * length[row], len(used)) / n + 1e-9)
+    length = across(np.ones(len(used))) + 1.0
+    step = 1 / (0.25 * down(length) / n + 1e-9)
     step_b = 1 / (0.25 * length.mean())
     at, at_b, t = w.copy(), bias, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(at_b + np.bincount(row, v * at[f], n), -40, 40)))
-        g = np.bincount(f, v * (p - target)[row], len(used)) / n
+        p = 1 / (1 + np.exp(-np.clip(at_b + across(at), -40, 40)))
+        g = down(p - target) / n
         new = at - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_b = at_b - step_b * float((p - target).mean())

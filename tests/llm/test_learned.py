@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy and odd inputs; the pipeline against its own stages' rules."""
 
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -34,6 +35,30 @@ def test_linear_scorer_learns_and_is_sparse():
     assert weak.fit_linear([], np.zeros(0), 8, 0.1)[1] == 0.0
 
 
+def test_linear_fit_holds_few_bytes_a_cell():
+    """The driver fits on millions of cells: beside the rows it keeps 8 bytes for each, not several copies."""
+    draw = np.random.default_rng(1)
+    rows = [(np.unique(draw.integers(0, 3000, 300)).astype(np.uint16), np.ones(300, np.float32)) for _ in range(4000)]
+    rows = [(f, v[: len(f)]) for f, v in rows]
+    cells = sum(len(f) for f, _ in rows)
+    tracemalloc.start()
+    try:
+        weak.fit_linear(rows, draw.random(4000), 4096, 1e-5, rounds=2)
+        assert tracemalloc.get_traced_memory()[1] < 20 * cells
+    finally:
+        tracemalloc.stop()
+
+
+def test_quality_sample_comes_packed_and_in_one_order(spark, monkeypatch):
+    """A row for each block of texts; the fit is the same however the rows are dealt."""
+    docs, seen, own = spark.read.parquet(f"{BIG}/documents.parquet").where("doc_id < 300"), [], quality.unpacked
+    monkeypatch.setattr(quality, "unpacked", lambda packed: seen.append((len(packed), own(packed))) or seen[-1][1])
+    one, other = quality.fit(docs.coalesce(1)), quality.fit(docs.repartition(3))
+    assert [n for n, _ in seen] == [1, 3] and len(seen[0][1][1]) == docs.count()
+    assert all((a == b).all() for x, y in zip(seen[0][1][1], seen[1][1][1]) for a, b in zip(x, y))
+    assert (one["weights"] == other["weights"]).all() and one["bias"] == other["bias"]
+
+
 def test_quality_against_labels(spark):
     labels = dict(duckdb.sql(f"select doc_id, quality from '{BIG}/labels.parquet'").fetchall())
     got = Counter((labels[r.doc_id], r.predicted) for r in quality.op4_quality(spark, BIG).collect() if r.doc_id in labels)
