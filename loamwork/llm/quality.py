@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -89,22 +91,72 @@ def votes(n: int, t: dict[str, float]) -> int:
 _RUN = re.compile(r"(.)\1+")
 
 
+class _Marks(dict):
+    """For str.translate: a, A or 0 for each letter or digit, other characters as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        x = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return x
+
+
+_MARKS = _Marks()
+
+
 def shape(word: str) -> str:
     """a for lower-case, A for capital letters, 0 for digits; runs of one kind become one character."""
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+    return _RUN.sub(r"\1", word.translate(_MARKS))
+
+
+@lru_cache(50_000)
+def _of_marks(marks: str) -> int:
+    return feature("s:" + _RUN.sub(r"\1", marks), SIZE)
+
+
+@lru_cache(50_000)
+def _of_edge(edge: str) -> int:
+    return feature(edge, SIZE)
+
+
+def hashed(word: str) -> tuple[int, int, int, int]:
+    """Hashed features of a word: its shape, itself in lower case, its first and last three characters."""
+    low = word.lower()
+    marks = word.translate(_MARKS)
+    return (_of_marks if len(marks) <= 64 else _of_marks.__wrapped__)(marks), feature("w:" + low, SIZE), _of_edge("3:" + low[:3]), _of_edge("e:" + low[-3:])
 
 
 class _Shapes(dict):
-    """Hashed features of each word: its shape, itself in lower case, its first and last three characters."""
+    """Hashed features of each word, bounded like WordHash."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= 200_000:
             self.clear()
-        low = word.lower()
-        x = self[word] = tuple(feature(k + y, SIZE) for k, y in (("s:", shape(word)), ("w:", low), ("3:", low[:3]), ("e:", low[-3:])))
+        x = self[word] = hashed(word)
+        return x
+
+
+class _Worth(dict):
+    """The sum of the weights of each word's hashed features; bounded like _Shapes."""
+
+    def __init__(self, weights: np.ndarray, most: int = 400_000):
+        super().__init__()
+        self.weights, self.most = weights.tolist(), most
+        self.steps = {name: [self.weights[feature(f"t:{name}:{k}", SIZE)] for k in range(11)] for name in TRAITS}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        weights, (a, b, c, d) = self.weights, hashed(word)
+        x = self[word] = weights[a] + weights[b] + weights[c] + weights[d]
         return x
 
 
+def worth(words: list[str], t: dict[str, float], by_word: _Worth) -> float:
+    """What a text's features, as features() has them, add up to under the weights: word by word, none is counted."""
+    own = 3 * sum(map(by_word.__getitem__, words)) / max(1, len(words))
+    return own + sum(by_word.steps[name][min(10, int(t[name] * 10))] for name in TRAITS)
+
+
 def features(words: list[str], t: dict[str, float], shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: shares of word shapes, words and character n-grams at their edges, and traits in ten steps each."""
     flat = np.fromiter(chain.from_iterable(map(shapes.__getitem__, words)), np.int32, 4 * len(words))
@@ -181,16 +233,13 @@ def scorer(spark: SparkSession, model: dict):
     shared = spark.sparkContext.broadcast((model["weights"], model["bias"]))
 
     @F.pandas_udf("double")
-    def good(texts: pd.Series) -> pd.Series:
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value
-        shapes = _Shapes()
-        out = np.empty(len(texts))
-        for i, x in enumerate(texts):
-            w, t = traits(x)
-            f, v = features(w, t, shapes)
-            out[i] = bias + float(weights[f] @ v)
-        trim()
-        return pd.Series(1 / (1 + np.exp(np.clip(out, -40, 40))))
+        by_word = _Worth(weights)
+        for texts in batches:
+            out = np.array([bias + worth(*traits(x), by_word) for x in texts])
+            yield pd.Series(1 / (1 + np.exp(np.clip(out, -40, 40))))
+            trim()
 
     return good
 

@@ -59,6 +59,24 @@ def test_quality_sample_comes_packed_and_in_one_order(spark, monkeypatch):
     assert (one["weights"] == other["weights"]).all() and one["bias"] == other["bias"]
 
 
+def test_quality_scores_look_each_word_up_once(monkeypatch):
+    """A score is the sum of its features' weights, from one weight a distinct word, though the table forgets."""
+    weights = np.random.default_rng(2).normal(size=quality.SIZE).astype(np.float32)
+    made, own = [], quality.hashed
+    monkeypatch.setattr(quality, "hashed", lambda word: made.append(word) or own(word))
+    texts = ["One two, two THREE three. " * 40, "日本語 の 文章 です。", "x" * 500, "a1 b2\nc3", "", None]
+    for most in (200_000, 2):
+        table, found = quality._Worth(weights, most), []
+        for text in texts:
+            found.append(quality.worth(*quality.traits(text), table))
+        if most > 2:
+            assert sorted(made) == sorted({w for t in texts for w in (t or "").split()})
+        assert len(table) <= most
+        for text, x in zip(texts, found):
+            f, v = quality.features(*quality.traits(text), quality._Shapes())
+            assert x == pytest.approx(float(weights[f].astype(float) @ v), abs=1e-5)
+
+
 def test_quality_against_labels(spark):
     labels = dict(duckdb.sql(f"select doc_id, quality from '{BIG}/labels.parquet'").fetchall())
     got = Counter((labels[r.doc_id], r.predicted) for r in quality.op4_quality(spark, BIG).collect() if r.doc_id in labels)
