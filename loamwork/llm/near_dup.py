@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,8 @@ from loamwork.llm.common import WordHash, batch, blocks, bucket_count, component
 
 #: A block of candidates holds about this many texts and shingles at most; a text beyond that is a block of its own.
 BLOCK_TEXTS, BLOCK_SHINGLES = 384, 1_500_000
-#: Values of a tree's label, and of the shortest prefix that the sample is met by; texts of the sample.
-LONGEST, FLOOR, SAMPLE = 16, 3, 2_000
+#: Values of a tree's label, and of the shortest prefix of a small trie node; texts that make a node small.
+LONGEST, FLOOR, FEW = 16, 3, 16
 #: Width of a stratum of similarity, and links that theory counts for in each.
 STRATUM, BELIEF = 0.05, 200
 #: Bits of the map of wanted texts: 4 MB.
@@ -67,69 +66,18 @@ def sketches(docs: DataFrame, n: int, trees: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "id long, digest binary, n_shingles long, forest binary")
 
 
-def _forests(column: pa.Array, trees: int) -> np.ndarray:
-    """[text, tree, value] of a column of forests without nulls."""
-    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, trees, LONGEST).astype(np.uint16)
-
-
 def _common_prefix(same: np.ndarray) -> np.ndarray:
     """Number of leading trues along the last axis."""
     return np.where(same.all(-1), same.shape[-1], same.argmin(-1))
 
 
-def matched_depths(nodes: DataFrame, trees: int, threshold: float, most: int = SAMPLE) -> dict[tuple[int, int], int]:
-    """How many links of sampled texts have (stratum of similarity, longest prefix that they share in any tree).
-
-    The sample is the texts of least hash, about `most`; all texts are met with it, a block at a time. What shares a
-    prefix of FLOOR values in some tree is a link if its signatures' likeness is at the threshold or above; of
-    links at 0.8, one in a million shares none in twenty trees. Only counts come back."""
-    spark = nodes.sparkSession
-    whole = nodes.where("forest is not null")
-    share = min(1.0, most / max(1, whole.count()))
-    drawn = whole.where(F.pmod(F.xxhash64("digest"), F.lit(2**40)) < int(share * 2**40)).select("digest", "forest").toArrow()
-    if not drawn.num_rows:
-        return {}
-    shared = spark.sparkContext.broadcast((drawn.column(0).to_pylist(), _forests(drawn.column(1), trees)))
-    schema = pa.schema([("stratum", pa.int32()), ("depth", pa.int32()), ("n", pa.int64())])
-
-    def short(f: np.ndarray) -> np.ndarray:
-        return sum(f[:, :, i].astype(np.int64) << (16 * i) for i in range(FLOOR))
-
-    def run(batches):
-        digests, own = shared.value
-        keys = short(own)
-        order = np.argsort(keys, axis=0, kind="stable")
-        count: Counter = Counter()
-        for b in batches:
-            f, names = _forests(b.column(1), trees), b.column(0).to_pylist()
-            k, met = short(f), []
-            for t in range(trees):
-                ranked = keys[order[:, t], t]
-                lo, hi = np.searchsorted(ranked, k[:, t]), np.searchsorted(ranked, k[:, t], "right")
-                text = np.repeat(np.arange(len(k)), hi - lo)
-                at = np.arange(len(text)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-                met.append(text * len(own) + order[at, t])
-            met = np.unique(np.concatenate(met))
-            for a in range(0, len(met), 20_000):
-                text, one = np.divmod(met[a : a + 20_000], len(own))
-                same = f[text] == own[one]
-                like = same.mean((1, 2))
-                depth = _common_prefix(same).max(1)
-                for i in np.flatnonzero(like >= threshold):
-                    if names[text[i]] != digests[one[i]]:
-                        count[int((like[i] - threshold) / STRATUM), int(depth[i])] += 1
-        yield batch(schema, *(zip(*((*k, v) for k, v in count.items())) if count else [()] * 3))
-
-    found = nodes.where("forest is not null").select("digest", "forest").mapInArrow(lean(run), "stratum int, depth int, n long")
-    return {(r["stratum"], r["depth"]): r["n"] for r in found.groupBy("stratum", "depth").agg(F.sum("n").alias("n")).collect()}
-
-
 def shortened(found: dict[tuple[int, int], int], trees: int, threshold: float, target: float) -> int:
     """The depth to which matched prefixes are shortened: from LONGEST on, one value at a time, until in every
-    stratum of similarity the share of sampled links that share so long a prefix reaches the target.
+    stratum of similarity the share of links that share so long a prefix reaches the target.
 
-    BELIEF links at a stratum's lower edge, found as often as theory has it, are added to each stratum: few or
-    no sampled links leave the depth that finds a pair at the threshold."""
+    found counts links by (stratum, longest prefix shared in any tree); BELIEF links at a stratum's lower edge, found
+    as often as theory has it, are added to each. near_classes gives none, so that no counted link can lengthen the
+    prefix: it is then what finds a pair at the threshold, whatever the table, and more similar ones more surely."""
     strata = range(max(1, round((1 - threshold) / STRATUM)))
     for depth in range(LONGEST, 1, -1):
         for k in strata:
@@ -143,28 +91,46 @@ def shortened(found: dict[tuple[int, int], int], trees: int, threshold: float, t
     return 1
 
 
+def _levels(common: np.ndarray, depth: int, few: int) -> np.ndarray:
+    """Per row the prefix that it is met by, given the values that each row shares with the next.
+
+    A node is shortened from `depth` on to FLOOR values while it has `few` texts at most; one that reaches the first
+    or last row may go on elsewhere, and is not shortened. All rows of a node get the same."""
+    level = np.full(len(common) + 1, depth)
+    for d in range(depth - 1, FLOOR - 1, -1):
+        node = np.cumsum(np.r_[False, common < d])
+        size = np.bincount(node)
+        size[[0, -1]] = few + 1
+        level[size[node] <= few] = d
+    return level
+
+
 def companions(nodes: DataFrame, trees: int, depth: int, parts: int) -> DataFrame:
-    """(tree, prefix, digest) of the texts that share a trie node at this depth with another, and few more.
+    """(tree, prefix, digest) of the texts that share a trie node with another, and few more.
 
     A tree's labels in sorted order are its trie: neighbours that share `depth` values or more are in one
-    node. Labels are range-sorted over all tasks, so a large node may lie across several; a task's first and
-    last labels go on unconditionally, as their neighbours are elsewhere."""
+    node. Where a node has FEW texts at most, its prefix is shortened on, to FLOOR values, as long as that holds: all
+    texts of the table decide that, and it only adds companions. Labels are range-sorted over all tasks, so a large
+    node may lie across several; a task's first and last labels go on unconditionally, as their neighbours are
+    elsewhere."""
     wide = 2 * LONGEST
     labels = nodes.where("forest is not null").select("digest", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "forest").select("tree", F.expr(f"substring(forest, tree * {wide} + 1, {wide})").alias("label"), "digest")
     ranked = labels.repartitionByRange(parts, "tree", "label", "digest").sortWithinPartitions("tree", "label", "digest")
     schema = pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("digest", pa.binary())])
+    few = FEW
 
     def run(batches):
         held = None
 
         def out(rows, first, last):
             tree, label = rows.column(0).to_numpy(), np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint16).reshape(-1, LONGEST)
-            near = (tree[1:] == tree[:-1]) & (_common_prefix(label[1:] == label[:-1]) >= depth)
+            common = np.where(tree[1:] == tree[:-1], _common_prefix(label[1:] == label[:-1]), 0)
+            level = _levels(common, depth, few)
+            near = common >= np.minimum(level[1:], level[:-1])
             at = np.flatnonzero(np.r_[first, near] | np.r_[near, last])
-            prefix = label[:, :depth].tobytes()
-            yield batch(schema, tree[at], [prefix[2 * depth * i : 2 * depth * (i + 1)] for i in at.tolist()], rows.column(2).take(pa.array(at)))
+            raw = label.tobytes()
+            yield batch(schema, tree[at], [raw[wide * i : wide * i + 2 * n] for i, n in zip(at.tolist(), level[at].tolist())], rows.column(2).take(pa.array(at)))
 
-        first = True
         for b in batches:
             if not b.num_rows:
                 continue
@@ -320,7 +286,7 @@ def near_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, trees: int =
     rows = saved(sketches(docs, n, trees), "sketches")
     nodes = saved(rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("forest").alias("forest")), "nodes")
 
-    depth = shortened(matched_depths(nodes, trees, threshold), trees, threshold, target)
+    depth = shortened({}, trees, threshold, target)
     matched = saved(companions(nodes, trees, depth, parts), "companions")
     group = components(ties(nodes, matched, trees, threshold, parts))
 
@@ -355,9 +321,9 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, trees: in
     of word n-gram sets at the threshold or above.
 
     Forest: each distinct text has one label of 16 MinHash values per tree; the sorted labels of a tree are
-    its prefix trie. Matched prefixes are shortened from 16 values on, one at a time, until the share of the
-    links of a sample of texts (met with all texts) that share so long a prefix reaches `target` in each
-    stratum of similarity (matched_depths, shortened). Texts of one trie node at that depth are compared by
+    its prefix trie. Matched prefixes are shortened from 16 values on, one at a time, until any pair at the threshold
+    shares so long a prefix with probability `target` (shortened), and in trie nodes of few texts further,
+    by the sizes of the whole table's nodes (companions). Nothing is taken from a sample. Texts of one node are compared by
     signature, and those that come near the threshold are tied (ties); a node of more than RUN texts is tied
     whole, by a pre-aggregated minimum. All pairs of tied texts are then verified exactly on their shingle
     sets, in blocks of bounded size, so a large group becomes many block pairs; a block pair gives one row

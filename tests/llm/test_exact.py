@@ -96,6 +96,27 @@ def test_prefixes_shorten_by_what_the_sample_shows():
     assert near_dup.shortened({**deep, (0, 4): 500}, 20, 0.8, 0.9995) == 4
 
 
+def test_no_table_lengthens_the_prefix_that_finds_a_pair_at_the_threshold(spark, monkeypatch):
+    """3,540 links of one kind, all shared deep, are no reason to look less closely at others."""
+    base, depths, own = [f"w{i}" for i in range(120)], [], near_dup.companions
+    docs = [(i, " ".join([*base[: i + 20], f"new{i}", *base[i + 21 :]])) for i in range(60)]
+    monkeypatch.setattr(near_dup, "companions", lambda nodes, trees, depth, parts: depths.append(depth) or own(nodes, trees, depth, parts))
+    got = sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert depths == [5] and got == sorted(pairs_of(docs))
+
+
+def test_small_trie_nodes_are_shortened_by_all_texts(spark):
+    """A node of few texts is met by 3 values, a larger one by 4 or 5; where a node may go on elsewhere, by 5."""
+    made = lambda *v: np.array([*v, *range(900, 916 - len(v))], ">u2").tobytes()
+    first, last, pair = [made(0, 0, 0, 0, 1), made(0, 0, 0, 0, 2)], [made(9, 9, 9, 9, 1), made(9, 9, 9, 9, 2)], [made(1, 2, 3, 4, 5), made(1, 2, 3, 6, 7)]
+    large = [made(5, 5, 5, k // 2, k) for k in range(40)]
+    labels = first + pair + large + last
+    nodes = spark.createDataFrame([(i.to_bytes(2, "big"), f) for i, f in enumerate(labels)], "digest binary, forest binary")
+    met = Counter(bytes(r.prefix) for r in near_dup.companions(nodes, 1, 5, 1).collect())
+    assert {k: n for k, n in met.items() if n > 1} == {pair[0][:6]: 2} | {f[:8]: 2 for f in large}
+    assert near_dup._levels(np.array([0, 4, 4, 0]), 5, 2).tolist() == [5] * 5 and near_dup._levels(np.array([0, 4, 4, 0]), 5, 3).tolist() == [5, 3, 3, 3, 5]
+
+
 def test_tries_and_ties_of_texts_that_share_boilerplate(spark, monkeypatch):
     """A common half makes texts share trie nodes, not groups; nodes that lie across tasks are found whole."""
     common_half = [f"c{i}" for i in range(60)]
