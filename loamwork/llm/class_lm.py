@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,18 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _tail(word: bytes) -> str:
+    """A word's last three characters, which tell all its endings."""
+    return word[-12:].decode("utf-8", "ignore")[-3:]
+
+
+def _endings(tail: str) -> tuple[str, str, str]:
+    return "3" + tail, "2" + tail[-2:], "1" + tail[-1:]
+
+
 def endings(word: bytes) -> tuple[str, str, str]:
     """A word's last three, two and one characters, marked by how many were asked for."""
-    w = word[-12:].decode("utf-8", "ignore")
-    return "3" + w[-3:], "2" + w[-2:], "1" + w[-1:]
+    return _endings(_tail(word))
 
 
 class Keys:
@@ -53,18 +62,28 @@ class Keys:
         at = self.hashes.searchsorted(h)
         return int(self.items[at]) if at < len(self.hashes) and self.hashes[at] == h else None
 
+    def find(self, texts: list[bytes]) -> np.ndarray:
+        """get() of many texts at once; -1 for None."""
+        out = np.full(len(texts), -1, np.int32)
+        if len(self.hashes):
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+            order = np.argsort(h)  # neighbouring searches read neighbouring places
+            at = np.minimum(self.hashes.searchsorted(h[order]), len(self.hashes) - 1)
+            out[order] = np.where(self.hashes[at] == h[order], self.items[at], -1)
+        return out
+
 
 class Known(dict):
-    """Item of each ending or None, bounded like WordHash."""
+    """Item of the longest known ending of words with the same last three characters, else `other`; bounded like WordHash."""
 
-    def __init__(self, keys: Keys, most: int = 100_000):
+    def __init__(self, keys: Keys, other: int, most: int = 100_000):
         super().__init__()
-        self.of, self.most = keys, most
+        self.of, self.other, self.most = keys, other, most
 
-    def __missing__(self, ending: str) -> int | None:
+    def __missing__(self, tail: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        x = self[ending] = self.of.get(ending.encode())
+        x = self[tail] = next((y for e in _endings(tail) if (y := self.of.get(e.encode())) is not None), self.other)
         return x
 
 
@@ -73,17 +92,35 @@ class Items(dict):
 
     def __init__(self, words: Keys, ends: Keys, other: int, most: int = 300_000):
         super().__init__()
-        self.words, self.ends, self.other, self.most = words, Known(ends), other, most
+        self.words, self.ends, self.most = words, Known(ends, other), most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
         x = self.words.get(word)
         if x is None:
-            x = next((y for e in endings(word) if (y := self.ends[e]) is not None), self.other)
+            x = self.ends[_tail(word)]
         self[word] = x
         return x
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Items of many words; those not held yet are looked up together."""
+        distinct = set(words)
+        new = [w for w in distinct if w not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(distinct)
+        for at in range(0, len(new), self.most):  # more distinct words than it may hold: the last ones stay
+            some = new[at : at + self.most]
+            found = self.words.find(some).tolist()
+            for i, x in enumerate(found):
+                if x < 0:
+                    found[i] = self.ends[_tail(some[i])]
+            if len(self) + len(some) > self.most:
+                self.clear()
+            self.update(zip(some, found))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, word, n): how often each word of the training rows occurs; counted by task first."""
@@ -176,33 +213,47 @@ def vocabulary(counts: DataFrame, least: float = LEAST) -> dict:
     return {"words": words, "ends": ends, "other": other, "end": other + 1, "n": n, "distinct": distinct, "total": total or 0, "vocabulary": words_n}
 
 
-def itemised(docs: DataFrame, vocab: dict) -> DataFrame:
-    """(id, digest, held_out, items, rare): each text as items, the end last, and hashes of the words that are no items."""
+def itemised(docs: DataFrame, vocab: dict, packed: bool = False) -> DataFrame:
+    """(id, digest, held_out, items, rare): each text as items, the end last, and hashes of the words that are no items.
+    Packed items are a binary of 4 bytes each, which Spark hands on whole instead of one by one."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab["words"], vocab["ends"], vocab["other"], vocab["end"]))
 
     def run(batches):
         words, ends, other, end = shared.value
         of, hashes, own = Items(words, ends, other), WordHash(100_000), len(words)
-        schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("held_out", pa.bool_()), ("items", pa.list_(pa.int32())), ("rare", pa.binary())])
-        for rows in blocks(batches, 2_000_000, "text_body"):
-            lists, rare = [], []
-            for x in rows["text_body"]:
-                t = tokens_of(x)
-                lists.append(np.fromiter(map(of.__getitem__, t), np.int32, len(t)))
-                rare.append(hashes.array([t[i] for i in np.flatnonzero(lists[-1] >= own).tolist()]).tobytes())
-            last = np.array([end], np.int32)
-            flat = np.concatenate([y for x in lists for y in (x, last)])
-            ends_at = np.cumsum([0, *(len(x) + 1 for x in lists)])
-            yield batch(schema, rows["id"], rows["digest"], rows["held_out"], pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(flat)), rare)
-
-    return docs.mapInArrow(lean(run), "id long, digest long, held_out boolean, items array<int>, rare binary")
+        schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("held_out", pa.bool_()), ("items", pa.binary() if packed else pa.list_(pa.int32())), ("rare", pa.binary())])
+        for rows in blocks(batches, 1_000_000, "text_body"):
+            lists = [tokens_of(x) for x in rows["text_body"]]
+            words_at = np.cumsum([0, *map(len, lists)])
+            flat = list(chain.from_iterable(lists))
+            del lists
+            found = of.of(flat)
+            at = np.flatnonzero(found >= own)
+            h, cut = hashes.array([flat[i] for i in at.tolist()]), np.searchsorted(at, words_at)
+            rare = [h[a:z].tobytes() for a, z in zip(cut, cut[1:])]
+            del flat
+            # the end follows each text's words
+            items = np.insert(found, words_at[1:], end)
+            ends_at = words_at + np.arange(len(words_at))
+            if packed:
+                lists = pa.array([items[a:z].tobytes() for a, z in zip(ends_at, ends_at[1:])], pa.binary())
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(items))
+            yield batch(schema, rows["id"], rows["digest"], rows["held_out"], lists, rare)
+
+    return docs.mapInArrow(lean(run), f"id long, digest long, held_out boolean, items {'binary' if packed else 'array<int>'}, rare binary")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Items of a batch's texts one after another, and each one's row."""
+    """Items of a batch's texts one after another, and each text's number of them."""
     lists = b.column(b.schema.names.index("items"))
-    many = np.diff(lists.offsets.to_numpy())
-    return lists.flatten().to_numpy(), np.repeat(np.arange(len(many)), many)
+    if pa.types.is_list(lists.type):
+        return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    if not len(lists):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    size = int(offsets[-1] - offsets[0]) // 4
+    return np.frombuffer(lists.buffers()[2], np.int32, size, int(offsets[0])) if size else np.zeros(0, np.int32), np.diff(offsets) // 4
 
 
 def transitions(items: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
@@ -448,8 +499,8 @@ def frequent_scores(items: DataFrame, vocab: dict, fitted: dict) -> DataFrame:
     def run(batches):
         cls, trans, logs, known, norm = shared.value
         for b in batches:
-            flat, row = _flat(b)
-            c = cls[flat]
+            flat, many = _flat(b)
+            row, c = np.repeat(np.arange(len(many)), many), cls[flat]
             step = trans[np.r_[end_class, c[:-1]], c] if len(c) else np.zeros(0)
             rows = b.num_rows
             sums = [np.bincount(row, x, rows) for x in (np.ones(len(row)), logs[flat], known[flat], step, norm[c])]
@@ -482,7 +533,7 @@ def score_texts(df: DataFrame, held_out: str, text: str = "text", key: str = "do
     vocab = vocabulary(saved(word_counts(docs), "words"), least)
     trained = docs.where("not held_out").count()
     vocab["n"][vocab["end"]], vocab["distinct"][vocab["end"]] = trained, int(trained > 0)
-    items = saved(itemised(docs, vocab), "items")
+    items = saved(itemised(docs, vocab, packed=True), "items")
     fitted = model(items, vocab, classes, sweeps)
     total, words = vocab["total"] + trained, vocab["vocabulary"] + int(trained > 0)
 

@@ -458,6 +458,26 @@ def test_exchange_in_chunks_equals_a_plain_one(spark, monkeypatch):
         assert len(got["likelihood"]) > 1 and np.allclose(got["likelihood"], rising) and (np.diff(got["likelihood"]) > 0).all()
 
 
+def test_items_of_many_words_and_packed_ones_equal_plain_ones(spark):
+    """Words are looked up together, in a table that forgets; packed items are the same numbers."""
+    texts = [f"Common words walk{'ing' * (i % 3)} x{i} ça日本語" for i in range(50)] + ["", None, "one\u00a0two \ud7ff", "common " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text_body string").selectExpr("id", "xxhash64(text_body) digest", "false held_out", "text_body")
+    vocab = class_lm.vocabulary(class_lm.word_counts(df), 8)
+    words = [w for t in texts for w in class_lm.tokens_of(t)] + [b"\xff\xfe", b"\xed\xa0\x80"]
+    plain = class_lm.Items(vocab["words"], vocab["ends"], vocab["other"])
+    want = [plain[w] for w in words]
+    assert len(set(want)) > 5 and vocab["other"] in want
+    for most in (1_000, 7):
+        table = class_lm.Items(vocab["words"], vocab["ends"], vocab["other"], most)
+        assert table.of(words).tolist() == want and table.of(words[::-1]).tolist() == want[::-1] and len(table) <= most
+    lists = {r.id: list(r["items"]) for r in class_lm.itemised(df, vocab).collect()}
+    assert lists == {i: [*(plain[w] for w in class_lm.tokens_of(t)), vocab["end"]] for i, t in enumerate(texts)}
+    packed = class_lm.itemised(df, vocab, packed=True)
+    assert {r.id: np.frombuffer(r["items"], np.int32).tolist() for r in packed.collect()} == lists
+    of = np.arange(vocab["end"] + 1) % 5
+    assert (class_lm.transitions(packed, of, 5) == class_lm.transitions(class_lm.itemised(df, vocab), of, 5)).all()
+
+
 def test_class_score_by_hand(spark):
     """Scores from the fitted classes and transitions, token by token."""
     texts = [(i, " ".join(f"{'ab'[j % 2]}{(i * j) % 11}" for j in range(30))) for i in range(60)] + [(60, "a1 unseen b2"), (61, None)]
