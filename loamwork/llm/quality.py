@@ -118,6 +118,12 @@ def _of_edge(edge: str) -> int:
     return feature(edge, SIZE)
 
 
+def _forget() -> None:
+    """Empties the tables of hashed(), so that idle Python workers stay small."""
+    _of_marks.cache_clear()
+    _of_edge.cache_clear()
+
+
 def hashed(word: str) -> tuple[int, int, int, int]:
     """Hashed features of a word: its shape, itself in lower case, its first and last three characters."""
     low = word.lower()
@@ -213,6 +219,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int =
                 amounts.append(v)
             yield batch(schema, [np.array(fired, np.int32).tobytes()], [np.array([len(f) for f in own], np.int32).tobytes()],
                         [pack(np.concatenate(own).tobytes(), asbytes=True)], [pack(np.concatenate(amounts).tobytes(), asbytes=True)])
+        _forget()
 
     counts = np.zeros(2 ** len(LABELLERS))
     for r in docs.select("text_body").mapInArrow(lean(vote), "votes int").groupBy("votes").count().collect():
@@ -240,6 +247,9 @@ def scorer(spark: SparkSession, model: dict):
             out = np.array([bias + worth(*traits(x), by_word) for x in texts])
             yield pd.Series(1 / (1 + np.exp(np.clip(out, -40, 40))))
             trim()
+        by_word.clear()
+        _forget()
+        trim()
 
     return good
 

@@ -96,30 +96,48 @@ def _by_text_bucket(ids, digests, start, buckets: int):
     return [_pack(int(to[a]), None, ids[first], digests[first], doc[a:b], start[a:b]) for a, b in zip(edge, edge[1:])]
 
 
+def _repeats(packed: list[tuple]):
+    """Texts and starts of the windows whose hash also starts earlier, of one bucket's packed (hashes, ids, digests,
+    runs, gaps). Hashes alone are held of all windows; texts and starts are unpacked of those that repeat."""
+    h = np.concatenate([np.frombuffer(x[0], np.uint64) for x in packed])
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    met = np.zeros(len(h), bool)
+    met[order[np.r_[False, same] | np.r_[same, False]]] = True
+    del order, same
+    found, a = [], 0
+    for hashes, *rest in packed:
+        z = a + len(hashes) // 8
+        own = met[a:z]
+        if own.any():
+            found.append((h[a:z][own], *(x[own] for x in _unpack(*rest))))
+        a = z
+    if not found:
+        return None
+    h, ids, digests, start = (np.concatenate(x) for x in zip(*found))
+    at = np.lexsort((start, digests, ids, h))
+    first = np.r_[True, h[at][1:] != h[at][:-1]]
+    lead = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    at = at[(ids[at] != ids[lead]) | (digests[at] != digests[lead]) | (start[at] != start[lead])]
+    return ids[at], digests[at], start[at]
+
+
 def repeated(dealt: DataFrame, buckets: int) -> DataFrame:
     """The windows whose hash also starts earlier, packed by bucket of their text."""
 
     def run(table: pa.Table) -> pa.Table:
-        known, parts = [], []
+        known, packed = [], []
         for r in table.to_batches():
             for h, *rest in zip(*(c.to_pylist() for c in r.columns[1:])):
                 if h is None:
                     known.append(_unpack(*rest))
                 else:
-                    parts.append((np.frombuffer(h, np.uint64), *_unpack(*rest)))
-        if parts:
-            h, ids, digests, start = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(h)
-            same = h[order[1:]] == h[order[:-1]]
-            at = order[np.r_[False, same] | np.r_[same, False]]
-            if len(at):
-                at = at[np.lexsort((start[at], digests[at], ids[at], h[at]))]
-                first = np.r_[True, h[at][1:] != h[at][:-1]]
-                lead = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                at = at[(ids[at] != ids[lead]) | (digests[at] != digests[lead]) | (start[at] != start[lead])]
-                known.append((ids[at], digests[at], start[at]))
+                    packed.append((h, *rest))
+        if packed and (found := _repeats(packed)):
+            known.append(found)
+        packed = None
         out = _by_text_bucket(*(np.concatenate(x) for x in zip(*known)), buckets) if known else []
-        parts = known = None
+        known = None
         trim()
         return pa.Table.from_batches([batch(_DEALT, *(zip(*out) if out else [()] * 6))])
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -183,6 +184,26 @@ def test_substring_dedup_of_odd_documents(spark):
     assert substring_dedup.cut_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_a_bucket_hold_little_of_windows_that_occur_once():
+    """Of 400,000 windows in 40 blocks, of which few repeat, hashes are held, not texts and starts."""
+    draw, packed, want = np.random.default_rng(4), [], []
+    for k in range(40):
+        ids, digests, doc = np.arange(k, k + 2, dtype=np.int64), np.array([7, 9], np.int64), np.repeat([0, 1], 5_000)
+        start = np.r_[np.arange(5_000), np.arange(5_000)]
+        h = draw.integers(0, 2**63, 10_000).astype(np.uint64)
+        h[7] = 5
+        want.append((k, 7, 7))
+        packed.append(substring_dedup._pack(k, h, ids, digests, doc, start)[1:])
+    tracemalloc.start()
+    try:
+        found = substring_dedup._repeats(packed)
+        assert tracemalloc.get_traced_memory()[1] < 40 * 400_000
+    finally:
+        tracemalloc.stop()
+    assert sorted(zip(*(x.tolist() for x in found))) == want[1:]
+    assert substring_dedup._repeats(packed[:1]) is None
+
+
 def test_intervals_merge():
     assert substring_dedup.intervals(np.array([0, 1, 5, 26, 47]), 20).tolist() == [0, 25, 26, 46, 47, 67]
     assert substring_dedup.intervals(np.array([0, 20, 41]), 20).tolist() == [0, 40, 41, 61] and not len(substring_dedup.intervals(np.zeros(0, int), 20))
