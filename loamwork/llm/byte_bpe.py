@@ -225,17 +225,6 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int32)
 
 
-_merges: dict[tuple, Merges] = {}
-
-
-def _own_merges(tag: tuple, ranks: dict[bytes, int]) -> Merges:
-    """A worker's merge table, made once."""
-    if tag not in _merges:
-        _merges.clear()
-        _merges[tag] = Merges(ranks)
-    return _merges[tag]
-
-
 def _cutting(shared, pattern: str, kind: pa.DataType, buckets: int):
     """Rows of blocks (keys, codes), and of their pieces that are no tokens, by hash bucket (first number, pieces)."""
     schema = pa.schema([("block", pa.binary()), ("bucket", pa.int32()), ("first", pa.int32()), ("body", pa.binary()), ("ends", pa.binary()), ("keys", pa.list_(kind))])
@@ -243,18 +232,20 @@ def _cutting(shared, pattern: str, kind: pa.DataType, buckets: int):
     def run(batches):
         find, ranks = regex.compile(pattern), shared.value
         for rows in blocks(batches, BLOCK_CHARS, "text_body"):
-            codes, new = cut(rows["text_body"], find, ranks)
-            block, flat = uuid.uuid4().bytes, np.concatenate(codes)
-            into = [xxhash.xxh3_64_intdigest(w) % buckets for w in new]
-            order = np.array(sorted(range(len(new)), key=lambda i: (into[i], new[i])), np.int64)  # sorted pieces compress better
+            codes, new = cut(rows.pop("text_body"), find, ranks)
+            block, flat, sizes = uuid.uuid4().bytes, np.concatenate(codes), np.array([len(c) for c in codes])
+            del codes
+            into = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in new), np.int64, len(new))
+            order = np.array(sorted(range(len(new)), key=new.__getitem__), np.int64)  # sorted pieces compress better
+            order = order[np.argsort(into[order], kind="stable")]
             number = np.empty(len(new), np.int32)
             number[order] = np.arange(len(new))
             hole = flat >= HOLE
             flat[hole] = HOLE + number[flat[hole] - HOLE]
-            into = np.array(into, np.int64)[order]
+            into = into[order]
             edge = np.flatnonzero(np.r_[True, into[1:] != into[:-1], True]).tolist() if len(new) else [0]
             press = zstandard.ZstdCompressor(3).compress
-            out = [(block, None, None, _pack(flat), _pack(np.array([len(c) for c in codes])), rows["text_key"])]
+            out = [(block, None, None, _pack(flat), _pack(sizes), rows["text_key"])]
             for a, b in zip(edge, edge[1:]):
                 words = [new[i] for i in order[a:b].tolist()]
                 out.append((block, int(into[a]), a, press(b"".join(words)), _pack(np.array([len(w) for w in words])), None))
@@ -263,17 +254,18 @@ def _cutting(shared, pattern: str, kind: pa.DataType, buckets: int):
     return run
 
 
-def _learning(shared, tag: tuple):
-    """Of a bucket's rows of pieces: the ids of each, replayed once for all blocks that hold it."""
+def _learning(shared):
+    """Of a bucket's rows of pieces: the ids of each, replayed once for all blocks that hold it. The merge table is
+    made for the bucket (0.1 s) and dropped: idle workers stay small."""
     schema = pa.schema([("block", pa.binary()), ("first", pa.int32()), ("ids", pa.binary()), ("many", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        merges, number, rows = _own_merges(tag, shared.value), {}, []
+        number, rows = {}, []
         for block, first, body, ends in zip(*(table.column(n).to_pylist() for n in ("block", "first", "body", "ends"))):
             raw, size = zstandard.ZstdDecompressor().decompress(body), _unpack(ends)
             end = np.cumsum(size, dtype=np.int64)
             rows.append((block, first, [number.setdefault(raw[a:b], len(number)) for a, b in zip((end - size).tolist(), end.tolist())]))
-        ids = replayed(list(number), merges)
+        ids = replayed(list(number), Merges(shared.value))
         out = [(block, first, _pack(np.frombuffer(b"".join(own := [ids[i] for i in at]), np.int32)), _pack(np.array([len(x) // 4 for x in own]))) for block, first, at in rows]
         trim()
         return pa.Table.from_batches([batch(schema, *zip(*out))])
@@ -295,6 +287,7 @@ def _joining(shared, name: str, kind: pa.DataType, back: bool):
             columns[1].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
             if back:
                 columns[2].append(pa.array(_bytes_of(flat, ends, shared.value), pa.binary()))
+        _tokens.clear()
         trim()
         kinds = [kind, _IDS, pa.binary()][: 2 + back]
         return pa.table([pa.chunked_array(c, t) for c, t in zip(columns, kinds)], names=[name, "ids", "decoded"][: 2 + back])
@@ -328,13 +321,12 @@ def _decoding(shared, ids: str, name: str):
 
 def _coding(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, key: str, back: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    tag = (len(ranks), hash(frozenset(ranks.items())))
     kind = df.select(key).schema[0].dataType
     docs = df.select(F.col(key).alias("text_key"), F.col(text).alias("text_body"))
     buckets = bucket_count(docs, "text_body")
     wide = T.StructType([T.StructField("block", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("keys", T.ArrayType(kind))])
     both = saved_by(docs.mapInArrow(lean(_cutting(shared, pattern, _arrow_type(kind), buckets)), wide), "pieces", "block", buckets)
-    known = both.where("bucket is not null").groupBy("bucket").applyInArrow(_learning(shared, tag), "block binary, first int, ids binary, many binary")
+    known = both.where("bucket is not null").groupBy("bucket").applyInArrow(_learning(shared), "block binary, first int, ids binary, many binary")
     fields = [T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
     texts = both.where("bucket is null").select("block", "body", "ends", "keys")
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_joining(shared, key, _arrow_type(kind), back), T.StructType(fields[: 2 + back]))
