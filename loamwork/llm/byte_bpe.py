@@ -23,6 +23,8 @@ _IDS = pa.list_(pa.int32())
 HOLE = 1 << 24
 #: Characters of a block of documents, and bytes of pieces that are replayed together, about.
 BLOCK_CHARS, REPLAY_BYTES = 24_000_000, 1_500_000
+#: Codes of a block that are filled together, about.
+FILL_CODES = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -274,19 +276,25 @@ def _learning(shared):
 
 
 def _joining(shared, name: str, kind: pa.DataType, back: bool):
-    """A block's texts as ids; with `back`, and the bytes that these stand for."""
+    """A block's texts as ids; with `back`, and the bytes that these stand for. The texts are filled, and go to Spark
+    as Arrow batches, some FILL_CODES codes (or one text) at a time."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         parts = sorted(zip(*(found.column(n).to_pylist() for n in ("first", "ids", "many"))))
         ids, many = (np.concatenate([_unpack(p[k]) for p in parts]) if parts else np.zeros(0, np.int32) for k in (1, 2))
+        many = many.astype(np.int64)
         columns: list[list] = [[], [], []]
-        for body, ends, keys in zip(*(texts.column(n).to_pylist() for n in ("body", "ends", "keys"))):
-            flat, end = fill(_unpack(body), ids, many.astype(np.int64))
-            ends = np.r_[0, np.r_[0, end][np.cumsum(_unpack(ends), dtype=np.int64)]]
-            columns[0].append(pa.array(keys, kind))
-            columns[1].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
-            if back:
-                columns[2].append(pa.array(_bytes_of(flat, ends, shared.value), pa.binary()))
+        for body, sizes, keys in zip(*(texts.column(n).to_pylist() for n in ("body", "ends", "keys"))):
+            codes, stop = _unpack(body), np.r_[0, np.cumsum(_unpack(sizes), dtype=np.int64)]
+            part = stop[1:] // FILL_CODES
+            edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist()
+            for a, b in zip(edge, edge[1:]):
+                flat, end = fill(codes[stop[a] : stop[b]], ids, many)
+                ends = np.r_[0, end][stop[a : b + 1] - stop[a]]
+                columns[0].append(pa.array(keys[a:b], kind))
+                columns[1].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                if back:
+                    columns[2].append(pa.array(_bytes_of(flat, ends, shared.value), pa.binary()))
         _tokens.clear()
         trim()
         kinds = [kind, _IDS, pa.binary()][: 2 + back]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -169,6 +171,23 @@ def removals(found: DataFrame, size: int) -> DataFrame:
 _CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType())])
 
 
+#: Texts that are cut together.
+CUT_ROWS = 1_000
+
+
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    out = []
+    for t, raw in zip(texts, spans):
+        words = words_of(t)
+        pairs, left, at = np.frombuffer(raw or b"", np.int64).reshape(-1, 2).tolist(), [], 0
+        for a, b in pairs:
+            left += words[at:a]
+            at = b
+        left += words[at:]
+        out.append((len(words), len(words) - len(left), pairs, b" ".join(left).decode("utf-8", "surrogatepass")))
+    return pd.DataFrame(out, columns=_CUT.names)
+
+
 def with_cuts(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id", name: str = "_cut") -> DataFrame:
     """df with a struct column: n_words, n_removed, spans, kept of each row's text; see cut_repeats.
 
@@ -182,19 +201,13 @@ def with_cuts(df: DataFrame, size: int = 20, text: str = "text", key: str = "doc
     marks = removals(repeated(deal(docs, size, buckets), buckets), size).select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("spans").alias(spans))
 
     @F.pandas_udf(_CUT)
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, raw in zip(texts, spans):
-            words = words_of(t)
-            pairs, left, at = np.frombuffer(raw or b"", np.int64).reshape(-1, 2).tolist(), [], 0
-            for a, b in pairs:
-                left += words[at:a]
-                at = b
-            left += words[at:]
-            out.append((len(words), len(words) - len(left), pairs, b" ".join(left).decode("utf-8", "surrogatepass")))
-        trim()
-        return pd.DataFrame(out, columns=_CUT.names)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in batches:
+            for a in range(0, len(texts), CUT_ROWS):
+                yield _cut(texts[a : a + CUT_ROWS], spans[a : a + CUT_ROWS])
+                trim()
 
+    cut = cut.asNondeterministic()  # else a filter on its result runs it again, in a second Python worker
     return own.join(marks, [id_, digest], "left").withColumn(name, cut(F.col(text), F.col(spans))).select(*df.columns, name)
 
 

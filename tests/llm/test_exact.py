@@ -6,10 +6,13 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import regex
 import tiktoken
@@ -255,6 +258,30 @@ def test_bpe_over_many_blocks_and_decoding_beside_a_column_of_that_name(spark, c
     assert again.columns == ["doc_id", "ids", "decoded", "_decoded"] and all(bytes(r[3]).decode() == texts[r[0]][1] and r[2] == "own" for r in again.collect())
 
 
+def test_bpe_fills_a_block_in_parts(coder):
+    """A block of 2 million codes: its batches and what is held beside them stay small."""
+    draw, size = np.random.default_rng(14), [300] * 3_000 + [0, 100_000] + [100] * 10_000
+    codes, known = draw.integers(0, 50_000, sum(size)).astype(np.int32), draw.integers(0, 50_000, 9).astype(np.int32)
+    hole = draw.random(len(codes)) < 0.05
+    codes[hole] = byte_bpe.HOLE + draw.integers(0, 4, hole.sum())
+    texts = pa.table({"body": [byte_bpe._pack(codes)], "ends": [byte_bpe._pack(np.array(size))], "keys": [list(range(len(size)))]})
+    found = pa.table({"first": [0], "ids": [byte_bpe._pack(known)], "many": [byte_bpe._pack(np.array([2, 0, 3, 4]))]})
+    run = byte_bpe._joining(SimpleNamespace(value=coder[0]), "doc_id", pa.int64(), True)
+    tracemalloc.start()
+    try:
+        out = run(texts, found)
+        assert tracemalloc.get_traced_memory()[1] < 75_000_000
+    finally:
+        tracemalloc.stop()
+    assert max(len(pc.list_flatten(b.column(1))) for b in out.to_batches()) < 700_000
+    token, pieces, at = {r: t for t, r in coder[0].items()}, np.split(known.tolist(), [2, 2, 5]), 0
+    assert out.column("doc_id").to_pylist() == list(range(len(size)))
+    for n, ids, raw in zip(size, out.column("ids"), out.column("decoded")):
+        want = [y for x in codes[at : at + n].tolist() for y in (pieces[x - byte_bpe.HOLE].tolist() if x >= byte_bpe.HOLE else [x])]
+        assert ids.as_py() == want and raw.as_py() == b"".join(map(token.__getitem__, want))
+        at += n
+
+
 def rowset(df):
     return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
 

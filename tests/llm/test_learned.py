@@ -179,3 +179,10 @@ def test_pipeline_stages_take_odd_documents(spark):
     assert Counter(r.doc_id for r in stages["byte-level BPE"](spark, df, "").collect()) == Counter(i for i, _ in texts)
     for stage in stages.values():
         assert stage(spark, df.where("false"), "").count() == 0
+
+
+def test_pipeline_cuts_texts_once(spark):
+    """The filter on what is left of a text doesn't cut it again, which took a second Python worker for each core."""
+    df = spark.createDataFrame([(1, "a b c", "s", 5)], "doc_id long, text string, source string, n_chars long")
+    plan = dict(corpus_pipeline.STAGES)["substring dedup"](spark, df, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
