@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loamwork.llm.ann import op6_cross_polytope
+from loamwork.llm.backtrack_bpe import op12_backtracking_bpe
 from loamwork.llm.byte_bpe import op5_byte_bpe
 from loamwork.llm.class_lm import op9_class_lm
 from loamwork.llm.merkle import OP11_SQL, op11_merkle_manifest
@@ -14,7 +15,7 @@ from loamwork.llm.quality import op4_quality
 from loamwork.llm.toxicity import op7_toxicity
 from loamwork.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 
-ALL = (op1_ngram_jaccard, op2_order_minhash, op3_substring_dedup, op4_quality, op5_byte_bpe, op6_cross_polytope, op7_toxicity, op8_extendible_shards, op9_class_lm, op10_weighted_fair_mix, op11_merkle_manifest)
+ALL = (op1_ngram_jaccard, op2_order_minhash, op3_substring_dedup, op4_quality, op5_byte_bpe, op6_cross_polytope, op7_toxicity, op8_extendible_shards, op9_class_lm, op10_weighted_fair_mix, op11_merkle_manifest, op12_backtracking_bpe)
 
 
 def queries() -> dict:
