@@ -14,8 +14,9 @@ from loamwork.llm.sharding import OP8_SQL, op8_extendible_shards
 from loamwork.llm.quality import op4_quality
 from loamwork.llm.toxicity import op7_toxicity
 from loamwork.llm.substring_dedup import OP3_SQL, op3_substring_dedup
+from loamwork.llm.vector_codes import OP13_SQL, op13_vector_codes
 
-ALL = (op1_ngram_jaccard, op2_order_minhash, op3_substring_dedup, op4_quality, op5_byte_bpe, op6_cross_polytope, op7_toxicity, op8_extendible_shards, op9_class_lm, op10_weighted_fair_mix, op11_merkle_manifest, op12_backtracking_bpe)
+ALL = (op1_ngram_jaccard, op2_order_minhash, op3_substring_dedup, op4_quality, op5_byte_bpe, op6_cross_polytope, op7_toxicity, op8_extendible_shards, op9_class_lm, op10_weighted_fair_mix, op11_merkle_manifest, op12_backtracking_bpe, op13_vector_codes)
 
 
 def queries() -> dict:
@@ -23,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op8_extendible_shards": OP8_SQL, "op10_weighted_fair_mix": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op8_extendible_shards": OP8_SQL, "op10_weighted_fair_mix": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": OP13_SQL}
