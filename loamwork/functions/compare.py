@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.functions.text import clean_text, parse_money
+from loamwork.functions.text import clean_text, parse_money, strip, to_float
 
 EPSILON = 1e-9
 
@@ -56,7 +56,5 @@ def columns_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType,
 
 def values_agree(got: Column, want: Column) -> Column:
     """Two texts agree if both are equal numbers, or are equal without outer white space."""
-    from loamwork.functions.text import to_float
-
     g, w = to_float(got), to_float(want)
-    return F.when(g.isNotNull() & w.isNotNull(), g == w).otherwise(F.trim(got) == F.trim(want))
+    return F.when(g.isNotNull() & w.isNotNull(), g == w).otherwise(strip(got) == strip(want))

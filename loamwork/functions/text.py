@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 MONEY = r"[-+]?\d[\d,]*\.?\d*"
 DATA_SCRIPT = r"(?is)<script\b[^>]*(?:application/(?:ld\+)?json|__NEXT_DATA__)[^>]*>(.*?)</script>"
 BLANK = r"(?U)\s+"
+# What a page loses before it is read.
+UNREAD = (r"(?is)<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>", r"(?is)<script\b[^>]*>.*?</script>", r"(?s)<!--.*?-->")
 
 
 def parse_money(raw: Column) -> Column:
@@ -24,13 +26,18 @@ def clean_text(raw: Column) -> Column:
     return F.trim(F.regexp_replace(raw, BLANK, " "))
 
 
+def strip(raw: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(raw, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def is_blank(value: Column) -> Column:
     return value.isNull() | (clean_text(value) == "")
 
 
 def to_float(value: Column) -> Column:
     """Number of a text, commas and outer space dropped; null if it isn't one."""
-    return F.trim(F.replace(value, F.lit(","), F.lit(""))).try_cast("double")
+    return strip(F.replace(value, F.lit(","), F.lit(""))).try_cast("double")
 
 
 def host(url: Column) -> Column:
@@ -115,7 +122,7 @@ def trim_html(html: Column, max_chars: int = 8000, json_max_chars: int | None =
     """Page text for reading: data islands first, then the page without style, svg, scripts and comments,
     white space collapsed, cut at max_chars code points; islands may have a limit of their own."""
     body = html
-    for what in (r"(?is)<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>", r"(?is)<script\b[^>]*>.*?</script>", r"(?s)<!--.*?-->"):
+    for what in UNREAD:
         body = F.regexp_replace(body, what, "")
     body = clean_text(body)
     islands = data_islands(html)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions.compare import values_agree
-from loamwork.functions.text import to_float
-from loamwork.operators.jsonpaths import path_text, read_path
+from loamwork.functions.text import strip, to_float
+from loamwork.operators.jsonpaths import read_path
 
 REPRODUCTION_BAR = 0.60
 SCALARS = ("none", "x10000", "int", "float")
@@ -34,7 +34,7 @@ def parse_fieldmap(raw: str) -> dict:
 
 
 def _text(value: Column, steps: list) -> Column:
-    return F.try_variant_get(value, path_text(steps), "string")
+    return read_path(value, steps, "string")
 
 
 def compile_field(value: Column, spec: dict) -> Column:
@@ -49,15 +49,15 @@ def compile_field(value: Column, spec: dict) -> Column:
                 out = out.when(F.contains(text, F.lit(k)), F.lit(code))
             return out.otherwise(nothing)
         if "concat" in transform:
-            parts = F.filter(F.array(*[F.trim(_text(value, p)) for p in transform["concat"]]), lambda x: x.isNotNull() & (x != ""))
+            parts = F.filter(F.array(*[strip(_text(value, p)) for p in transform["concat"]]), lambda x: x.isNotNull() & (x != ""))
             return F.when(F.size(parts) > 0, F.array_join(parts, transform.get("sep", "")))
         if "list" in transform and transform["list"]:
-            items = F.try_variant_get(value, path_text(transform["list"][0]), "array<variant>")
+            items = read_path(value, transform["list"][0], "array<variant>")
             field = transform.get("field")
             if field is not None:
                 # an element without the key drops out; one whose value is null stays
-                own = F.filter(items, lambda x: F.try_variant_get(x, path_text([field]), "variant").isNotNull())
-                items = F.transform(own, lambda x: F.try_variant_get(x, path_text([field]), "variant"))
+                own = F.filter(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>")[field].isNotNull())
+                items = F.transform(own, lambda x: F.try_variant_get(x, "$", "map<string,variant>")[field])
             return F.to_json(items)
         return nothing
     if transform not in SCALARS:

@@ -3,27 +3,54 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loamwork.functions.text import to_float
+from loamwork.functions.text import strip, to_float
 
 SCALE = 10_000
 
 
+_STEP = re.compile(r"\['((?:[^'\\]|\\['\\])*)'\]|\[(0|[1-9]\d*)\]", re.DOTALL)
+
+
 def path_text(steps: list) -> str:
-    """A path as text: $['key'][0]."""
-    return "$" + "".join(f"[{s}]" if isinstance(s, int) and not isinstance(s, bool) else "['" + str(s).replace("'", "\\'") + "']" for s in steps)
+    """A path as text, $['key'][0]: in keys, quotes and backslashes have a backslash before them."""
+    return "$" + "".join(f"[{s}]" if isinstance(s, int) else "['" + re.sub(r"(['\\])", r"\\\1", s) + "']" for s in steps)
+
+
+def path_steps(text: str) -> list:
+    """The steps of which path_text made a text; ValueError for a text that it makes of none."""
+    steps, at = [], 1
+    while text[:1] == "$" and at < len(text) and (m := _STEP.match(text, at)):
+        steps.append(int(m[2]) if m[2] else re.sub(r"\\(.)", r"\1", m[1], flags=re.DOTALL))
+        at = m.end()
+    if text[:1] != "$" or at < len(text):
+        raise ValueError(f"not a path: {text!r}")
+    return steps
+
+
+def _spark_segment(step) -> str | None:
+    """A step in Spark's own path language, which has no escapes: keys with both kinds of quotes have none."""
+    if isinstance(step, int):
+        return f"[{step}]"
+    return f"['{step}']" if "'" not in step else f'["{step}"]' if '"' not in step else None
 
 
 def read_path(value: Column, steps: list, kind: str = "variant") -> Column:
     """What a variant has at a path, null for any miss; negative places and flags as steps miss."""
-    if any(isinstance(s, bool) or (isinstance(s, int) and s < 0) for s in steps):
+    if any(isinstance(s, bool) or not isinstance(s, (int, str)) or (isinstance(s, int) and s < 0) for s in steps):
         return F.lit(None).cast(kind)
-    got = F.try_variant_get(value, path_text(steps), kind)
+    at = "$"
+    for k, s in enumerate(steps):
+        segment = _spark_segment(s)
+        if segment is None:
+            return read_path(F.try_variant_get(value, at, "map<string,variant>")[s], steps[k + 1 :], kind)
+        at += segment
+    got = F.try_variant_get(value, at, kind)
     return F.when(F.is_variant_null(got), None).otherwise(got) if kind == "variant" else got
 
 
@@ -81,21 +108,52 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
 
 
-def discover(leaves: DataFrame, oracle: DataFrame, sample: str, numeric: list[str], skip: list[str] = ()) -> DataFrame:
-    """(field, path, scale): for each field, the smallest path whose leaf matches the known value in every sample.
+#: Width of a bin of magnitudes; wider than the tolerance of close().
+BIN = 1e-6
 
-    leaves as json_leaves gives them; oracle is (sample, field, value text), null values too. Numbers match
-    as they are or times 10 000 (scale null for others, which match as trimmed text). A field null or
-    missing in some sample has no path. One equi-join on sample and a count per (field, path, scale).
+
+def _bin(amount: Column) -> Column:
+    """The bin of an amount: linear up to 1, logarithmic beyond, so that amounts that are close() lie in one bin or in
+    neighbouring ones, whatever their size."""
+    size = F.abs(amount)
+    return F.floor(F.signum(amount) * F.when(size <= 1, size).otherwise(1 + F.ln(size)) / BIN).cast("long")
+
+
+def value_hits(leaves: DataFrame, known: DataFrame, sample: str, number: Column) -> DataFrame:
+    """The rows of `leaves` that hold a value of `known` (sample, ..., want) of their sample, with known's columns and the
+    scale: numbers as they are or times 10 000, within a relative 1e-9; others as stripped text, scale 1.
+
+    A band join: a known amount lies in its bin and both neighbours, a leaf in its own, so that what meets is compared
+    exactly once. Texts meet by equality. Infinite amounts match nothing.
+    """
+    amount = to_float(F.col("want"))
+    finite = amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) < float("inf"))
+    near = known.where(number & finite).withColumn("scale", F.explode(F.array(F.lit(1), F.lit(SCALE))))
+    near = near.withColumn("_key", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _bin(amount / F.col("scale")) + d)))
+    leaf = F.when(F.col("kind").isin("num", "str"), to_float(F.col("value")))
+    amounts = leaves.where(leaf.isNotNull() & (F.abs(leaf) < float("inf"))).withColumn("_key", _bin(leaf))
+    numbers = amounts.join(near, [sample, "_key"]).where(close(leaf * F.col("scale"), amount)).drop("_key")
+    texts = leaves.withColumn("_key", strip(F.col("value"))).join(known.where(~number & F.col("want").isNotNull()).withColumn("_key", strip(F.col("want"))).withColumn("scale", F.lit(1)), [sample, "_key"]).drop("_key")
+    return numbers.unionByName(texts)
+
+
+def discover(leaves: DataFrame, oracle: DataFrame, sample: str, numeric: list[str], skip: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """(by, field, path, scale): for each field, the smallest path whose leaf matches the known value in every sample.
+
+    leaves as json_leaves gives them; oracle is (by, sample, field, value text), null values too: with `by` (a family, say),
+    each group is discovered on its own samples. Numbers match as they are or times 10 000 (scale null for others, which
+    match as text without outer white space). A field null or missing in some sample has no path.
     """
-    n = oracle.agg(F.count_distinct(sample)).first()[0]
+    by = list(by)
     known = oracle.where(~F.col("field").isin(list(skip)) if skip else F.lit(True))
-    whole = known.groupBy("field").agg(F.count_if(F.col("value").isNotNull()).alias("n")).where(F.col("n") == n).select("field")
+    whole = known.groupBy(*by, "field").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col(sample))).alias("_n"))
+    if by:
+        whole = whole.join(oracle.groupBy(*by).agg(F.count_distinct(sample).alias("_all")), by)
+    else:
+        whole = whole.withColumn("_all", F.lit(oracle.agg(F.count_distinct(sample)).first()[0]))
+    whole = whole.where("_n = _all").select(*by, "field", "_all")
     number = F.col("field").isin(list(numeric)) if numeric else F.lit(False)
-    leaf, want = F.when(F.col("kind").isin("num", "str"), to_float(F.col("value"))), to_float(F.col("want"))
-    scales = F.when(number, F.filter(F.array(F.when(close(leaf, want), F.lit(1)), F.when(close(leaf * SCALE, want), F.lit(SCALE))), lambda s: s.isNotNull())).otherwise(
-        F.when(F.trim("value") == F.trim("want"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    hits = leaves.join(known.join(whole, "field").select(sample, "field", F.col("value").alias("want")), sample).select(sample, "field", "path", "depth", "steps", number.alias("number"), F.explode(scales).alias("scale"))
-    held = hits.groupBy("field", "path", "depth", "steps", "number", "scale").agg(F.count_distinct(sample).alias("n")).where(F.col("n") == n)
-    first = held.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy("depth", "steps", "scale"))).where("r = 1")
-    return first.select("field", "path", F.when(F.col("number"), F.col("scale")).alias("scale"))
+    hits = value_hits(leaves.select(sample, "path", "depth", "steps", "kind", "value"), known.join(whole, [*by, "field"]).select(*by, sample, "field", "_all", F.col("value").alias("want")), sample, number)
+    held = hits.groupBy(*by, "field", "_all", "path", "depth", "steps", "scale").agg(F.count_distinct(sample).alias("_n")).where("_n = _all")
+    first = held.groupBy(*by, "field").agg(F.min(F.struct("depth", "steps", "scale", "path")).alias("_f"))
+    return first.select(*by, "field", F.col("_f.path").alias("path"), F.when(number, F.col("_f.scale")).alias("scale"))

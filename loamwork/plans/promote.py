@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamwork.operators import registry
 from loamwork.operators.fieldmap import REPRODUCTION_BAR, reproduction_ratio
-from loamwork.operators.jsonpaths import SCALE, discover, json_leaves
+from loamwork.operators.jsonpaths import SCALE, discover, json_leaves, path_steps
 from loamwork.sources.schemas import Schema
 
 
@@ -50,17 +49,9 @@ def stronger_model(model: str, ladder: dict[str, str]) -> str | None:
     return ladder.get(model)
 
 
-_STEP = re.compile(r"\['((?:[^'\\]|\\.)*)'\]|\[(\d+)\]|\.([A-Za-z_]\w*)")
-
-
-def steps_of(path: str) -> list:
-    """The steps of a path's text: names and positions."""
-    return [int(n) if n else name or bare for name, n, bare in _STEP.findall(path)]
-
-
 def field_map_of(found: DataFrame) -> dict:
     """A field map from discover()'s rows: at most one for each field of a schema."""
-    return {r["field"]: {"path": steps_of(r["path"]), "transform": "x10000" if r["scale"] == SCALE else "none"} for r in found.orderBy("field").collect()}
+    return {r["field"]: {"path": path_steps(r["path"]), "transform": "x10000" if r["scale"] == SCALE else "none"} for r in found.orderBy("field").collect()}
 
 
 def value_path_candidate(samples: DataFrame, oracle: DataFrame, schema: Schema) -> dict | None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.functions.text import derive_family, derive_pattern
+from loamwork.functions.text import derive_family, derive_pattern, is_blank
 from loamwork.operators.failure import action, classify
 from loamwork.operators.fieldmap import compile_field
 from loamwork.operators.residual import merge_records
@@ -80,7 +80,6 @@ def serve_requests(pages: DataFrame, families: list[tuple[str, list[str]]], ladd
         else:
             served = served.join(rows.select("page_id", F.struct(*[text(rows, n) for n in names]).alias(name)), "page_id", "left")
     done = decide(served.withColumn("oracle_ok", valid(F.col("_trusted"))))
-    blank = lambda c: c.isNull() | (F.trim(c) == "")
-    filled = F.struct(*[(F.when(blank(F.col("_own")[n]), F.coalesce(F.col("_tail")[n], F.col("_own")[n])).otherwise(F.col("_own")[n]) if n in residual else F.col("_own")[n]).alias(n) for n in names])
+    filled = F.struct(*[(F.when(is_blank(F.col("_own")[n]), F.coalesce(F.col("_tail")[n], F.col("_own")[n])).otherwise(F.col("_own")[n]) if n in residual else F.col("_own")[n]).alias(n) for n in names])
     record = F.when(F.col("source") == "crawler", filled).when(F.col("source") == "oracle", F.col("_trusted"))
     return done.select("page_id", "url", "family", "used_version", record.alias("record"), "failure", "source", "action")
