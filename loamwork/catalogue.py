@@ -618,6 +618,54 @@ def discover_paths(spark, sf):
     return jsonpaths.discover(leaves, rows, "p_partkey", ["salary"])
 
 
+# ---- Schemas
+
+OFFER = {
+    "title": "Offer", "type": "object", "additionalProperties": False, "required": ["title", "price", "count"],
+    "$defs": {"Level": {"enum": ["low", "high"], "type": "string"}, "Place": {"type": "object", "required": ["city"], "properties": {"city": {"type": "string", "minLength": 1}, "zip": {"type": "integer"}}}},
+    "properties": {
+        "title": {"type": "string", "minLength": 1}, "price": {"anyOf": [{"type": "number", "exclusiveMinimum": 0}, {"type": "string"}]}, "count": {"type": "integer"}, "level": {"anyOf": [{"$ref": "#/$defs/Level"}, {"type": "null"}]},
+        "flag": {"type": "boolean"}, "tags": {"type": "array", "items": {"type": "string"}}, "places": {"type": "array", "items": {"$ref": "#/$defs/Place"}}, "url": {"type": "string", "format": "uri"},
+    },
+}
+#: Of each field the values that an order's key picks from, as JSON, and what is wrong with each; a null value leaves the key out.
+OFFERED = [
+    ("title", 5, ['"a"', '""', "7", "null", None], [None, "title: string_too_short", "title: string_type", "title: string_type", "title: missing"]),
+    ("price", 7, ["1.5", '"2"', '" 3.25 "', "0", '"x"', "true", "-1e2"], [None, None, None, "price: greater_than", "price: decimal_parsing", "price: decimal_type", "price: greater_than"]),
+    ("count", 8, ["3", "3.0", '"4"', "true", "3.5", '"4.5"', "null", "{}"], [None, None, None, None, "count: int_from_float", "count: int_parsing", "count: int_type", "count: int_type"]),
+    ("level", 4, ['"low"', "null", '"mid"', "1"], [None, None, "level: enum", "level: enum"]),
+    ("flag", 6, ["true", '"Yes"', "0", "2", '"maybe"', "[]"], [None, None, None, "flag: bool_parsing", "flag: bool_parsing", "flag: bool_type"]),
+    ("tags", 3, ['["x"]', '"x"', '["x",1,null]'], [None, "tags: list_type", "tags[1]: string_type|tags[2]: string_type"]),
+    ("places", 9, ["[]", '[{"city":"c","zip":"12"}]', '[{"zip":1}]', '[{"city":"c"},{"city":"","zip":"x"}]', "[3]", None, '[{"city":"c","more":1}]', "null", '[{"city":null}]'],
+     [None, None, "places[0].city: missing", "places[1].city: string_too_short|places[1].zip: int_parsing", "places[0]: dict_type", None, None, "places: list_type", "places[0].city: string_type"]),
+    ("url", 10, ['"https://a/b"', '"ftp://a"', "5", None, '"HTTP://A"', '"a"', '"https://"', "null", '"http://x?y"', '"https://x#z"'], [None, "url: url_parsing", "url: url_type", None, None, "url: url_parsing", "url: url_parsing", "url: url_type", None, None]),
+]
+
+
+def _picked(at: int, name: str, n: int, wrong: list) -> str:
+    key = f"o_orderkey // {7 ** at}" if at < 5 else f"o_custkey // {3 ** (at - 5)}"
+    return f"SELECT o_orderkey, {at} AS k, [{', '.join('NULL' if x is None else repr(x) for x in wrong)}][({key} % {n} + 1)::INT] AS f FROM orders"
+
+
+WRONG = " UNION ALL ".join([*(_picked(at, name, n, wrong) for at, (name, n, _, wrong) in enumerate(OFFERED)), "SELECT o_orderkey, 9, CASE WHEN o_custkey % 4 = 0 THEN 'more: extra_forbidden' END FROM orders"])
+
+
+@query(f"SELECT o_orderkey, coalesce(string_agg(f, '|' ORDER BY k), '') AS failures FROM ({WRONG}) GROUP BY 1")
+def schema_failures(spark, sf):
+    """What is wrong with an item of each order, its values of every JSON type."""
+    from loamwork.operators.validate import item_failures
+    from loamwork.sources.schemas import schema_of
+
+    parts = []
+    for at, (name, n, values, _) in enumerate(OFFERED):
+        key = F.expr(f"o_orderkey div {7 ** at}") if at < 5 else F.expr(f"o_custkey div {3 ** (at - 5)}")
+        value = F.get(F.array(*[F.lit(v) for v in values]), (key % n).cast("int"))
+        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value)))
+    parts.append(F.when(F.col("o_custkey") % 4 == 0, '"more":1'))
+    items = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("item"))
+    return item_failures(items, schema_of(OFFER)).select("o_orderkey", F.array_join("failures", "|").alias("failures"))
+
+
 # ---- Fetches and failures
 
 FETCH = """SELECT event_id, user_id, [200, 301, 401, 403, 404, 410, 429, 500][(event_id % 8 + 1)::INT] AS status, CASE WHEN event_id % 3 = 0 THEN 'Attention Required! | CF' ELSE 'plain' END AS body, user_id % 7 <> 0 AS listed, event_id % 16 = 0 AS valid FROM events"""

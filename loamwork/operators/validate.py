@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.sources.schemas import Schema
@@ -43,3 +43,27 @@ def validate(items: DataFrame, schema: Schema, by: str = "page_id", pages: DataF
     reason = reason.when(F.col("item_count") < min_count_ratio * F.col("baseline"), F.concat(F.lit("item_count: "), F.col("item_count"), F.lit(f" < {min_count_ratio}*"), F.col("baseline"))).otherwise("")
     rates = F.map_from_arrays(F.array(*map(F.lit, schema.names)), F.array(*[F.col(f"_fill_{n}") for n in schema.names]))
     return per.select(by, (reason == "").alias("ok"), reason.alias("reason"), "item_count", "n_invalid", rates.alias("fill_rates"))
+
+
+def item_failures(items: DataFrame, schema: Schema, item: str = "item") -> DataFrame:
+    """items (variants, or JSON text) with `failures`: what is wrong with each, as "place: code", fields in the schema's order,
+    then keys that it doesn't have. Text that is no JSON gives item: json_invalid."""
+    text = items.schema[item].dataType.typeName() == "string"
+    v = F.try_parse_json(item) if text else F.col(item)
+    return items.withColumn("failures", F.when(v.isNull(), F.array(F.lit("item: json_invalid"))).otherwise(schema.node.failures(v, F.lit(""))))
+
+
+def list_report(items: Column, schema: Schema, min_fill: float = 0.8) -> Column:
+    """Of an array of variants, within its row: a struct of ok, reason (as validate's), item_count, n_invalid, failures (an
+    array per item) and fill_rates."""
+    has = lambda v, n: schema.node.get(v, n).isNotNull() & ~F.is_variant_null(schema.node.get(v, n))
+    count = F.size(items)
+    rate = lambda n: F.try_divide(F.size(F.filter(items, lambda v: has(v, n))), count)
+    failures = F.transform(items, lambda v: schema.node.failures(v, F.lit("")))
+    bad = F.size(F.filter(failures, lambda f: F.size(f) > 0))
+    reason = F.when(count == 0, "empty")
+    for n in schema.required:
+        reason = reason.when(rate(n) < min_fill, f"fill_rate:{n}")
+    reason = reason.when(bad > 0, F.concat(F.lit("schema: "), bad, F.lit("/"), count, F.lit(" items invalid"))).otherwise("")
+    rates = F.map_from_arrays(F.array(*map(F.lit, schema.names)), F.array(*[rate(n) for n in schema.names]))
+    return F.struct((reason == "").alias("ok"), reason.alias("reason"), count.alias("item_count"), bad.alias("n_invalid"), failures.alias("failures"), rates.alias("fill_rates"))
