@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamwork.operators.numbering import dense_ids
 from loamwork.operators.safety import ast_violations
 
 
@@ -90,7 +91,7 @@ class IntegrityError(ValueError):
 def active_specs(versions: DataFrame) -> DataFrame:
     """(family, n, spec) of the active versions; one whose spec no longer has its hash raises IntegrityError."""
     active = versions.where("status = 'active'")
-    changed = active.where(~verify_source(versions)).select("family", "n").limit(10).collect()
+    changed = active.where(~verify_source(active)).select("family", "n").limit(10).collect()
     if changed:
         raise IntegrityError(f"changed since registration: {[tuple(r) for r in changed]}")
     return active.select("family", "n", "spec")
@@ -113,16 +114,19 @@ def now_iso(now: Column | str | None = None) -> Column:
 
 def audit_rows(events: DataFrame, after: int = 0, now: Column | str | None = None) -> DataFrame:
     """(id, ts, family, event, data) to append to an audit log whose largest id is `after`; events have family, event
-    and data (a struct or map, written as JSON). Ids rise in the order of the rows and are unique, not dense."""
-    return events.select((F.lit(after + 1) + F.monotonically_increasing_id()).alias("id"), now_iso(now).alias("ts"), "family", "event", F.to_json("data").alias("data"))
+    and data (a struct or map, written as JSON). Ids are after + 1, after + 2, ... in order of `ord`, where events have it (a
+    number), then of family, event and data; rows that are equal in all of these follow each other."""
+    rows = events.select(*(["ord"] if "ord" in events.columns else []), "family", "event", F.to_json("data").alias("data"))
+    return dense_ids(rows, [F.col(c) for c in rows.columns] + [F.rand(5)], "id", after).select("id", now_iso(now).alias("ts"), "family", "event", "data")
 
 
 def history_rows(records: DataFrame, fields: list[str], after: int = 0, now: Column | str | None = None) -> DataFrame:
     """(id, family, url, version, extracted_json, ts) to append to the run history: one row for each served page, its
-    records (item_ix, fields) as a JSON array in order. Ids as in audit_rows."""
+    records (item_ix, fields) as a JSON array in order. Ids are after + 1, after + 2, ... in order of family, url, version."""
     pages = records.groupBy("family", "url", "version").agg(F.sort_array(F.collect_list(F.struct("item_ix", *fields))).alias("items"))
     items = F.to_json(F.transform("items", lambda x: F.struct(*[x[f].alias(f) for f in fields])), {"ignoreNullFields": "false"})
-    return pages.select((F.lit(after + 1) + F.monotonically_increasing_id()).alias("id"), "family", "url", "version", items.alias("extracted_json"), now_iso(now).alias("ts"))
+    pages = dense_ids(pages.select("family", "url", "version", items.alias("extracted_json")), [F.col("family"), F.col("url"), F.col("version")], "id", after)
+    return pages.select("id", "family", "url", "version", "extracted_json", now_iso(now).alias("ts"))
 
 
 def read_audit(audit: DataFrame, family: str | None = None) -> DataFrame:
@@ -186,7 +190,7 @@ def active_residual(versions: DataFrame, audit: DataFrame) -> DataFrame:
 
 def verify_source(versions: DataFrame, spec: str = "spec", sha: str = "source_sha") -> Column:
     """Whether a version's spec is what was registered."""
-    return F.sha2(spec, 256) == F.col(sha)
+    return F.sha2(spec, 256).eqNullSafe(F.col(sha)) & F.col(spec).isNotNull()
 
 
 def snapshot_due(versions: DataFrame, every: int = 20) -> DataFrame:

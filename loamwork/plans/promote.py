@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from loamwork.operators import registry
 from loamwork.operators.fieldmap import REPRODUCTION_BAR, reproduction_ratio
 from loamwork.operators.jsonpaths import SCALE, discover, json_leaves, path_steps
+from loamwork.operators.numbering import dense_ids
 from loamwork.sources.schemas import Schema
+from loamwork.sources.store import Change, Snapshot, Store
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,34 @@ def promote(spark: SparkSession, versions: DataFrame, family: str, fieldmap: dic
     return Promotion(n, active, registry.audit_rows(events.select("family", "event", F.struct("to_version", "schema_ref", "scores", "history_warnings", "residual_fields").alias("data")), after, now))
 
 
+def promote_in(store: Store, family: str, fieldmap: dict, schema_ref: str, fixtures: DataFrame | None = None, scores: dict | None = None, warnings: list[str] = (), residual: list[str] = (), now: str | None = None, base: Snapshot | None = None) -> Snapshot:
+    """A promotion as one commit: the family (made if it isn't there), its next version, that being active, its fixtures
+    (page_id, json, expected; the earlier ones go) and the audit row are there together or not at all.
+
+    Promotions of other families at the same time don't hinder it. With `base`, the snapshot that the decision was made on,
+    another change of this family since then raises Conflict."""
+    spark = store.spark
+
+    def make(now_there: Snapshot) -> Change:
+        known = now_there.table("families")
+        if known.where(F.col("family") == family).isEmpty():
+            new = spark.createDataFrame([(family, schema_ref)], "family string, schema_ref string").select("family", F.array().cast("array<string>").alias("url_patterns"), "schema_ref", F.lit("healthy").alias("status"), registry.now_iso(now).alias("created_at"))
+            known = known.unionByName(new)
+        last = now_there.table("audit").agg(F.max("id")).first()[0] or 0
+        done = promote(spark, now_there.table("versions"), family, fieldmap, schema_ref, last, scores, warnings, residual, now)
+        replace = {"families": known, "versions": done.versions}
+        if fixtures is not None:
+            numbered = dense_ids(fixtures.select("page_id", "json", "expected"), [F.col("page_id")], "sample", -1).select(F.lit(family).alias("family"), "sample", "page_id", "json", "expected")
+            replace["fixtures"] = now_there.table("fixtures").where(F.col("family") != family).unionByName(numbered.withColumn("sample", F.col("sample").cast("int")))
+        return Change(replace, {"audit": done.audit}, frozenset({family}))
+
+    if base is not None:
+        done = store.commit(base, make(base))
+        if done is not None:
+            return done
+    return store.update(make)
+
+
 def escalate(spark: SparkSession, families: DataFrame, family: str, schema_ref: str, reason: str, after: int = 0, now: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(families, audit rows) after regeneration of a family was given up: its status is escalated; a family that
     has no row yet gets one."""
