@@ -759,18 +759,70 @@ def ast_violations(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", safety.ast_violations(src).alias("violations"))
 
 
-@query()
+#: Families of the loop are brands, by their last two digits: 0 and 1 mod 5 are discovered or learn the labels with the first model,
+#: 2 with the stronger one, 3 never, 4 have no trusted records.
+BRAND = "substr(p_brand, 7)::INT"
+
+
+@query(f"""WITH f AS (SELECT p_brand AS family, {BRAND} % 5 AS m, min(p_partkey) AS first FROM part GROUP BY ALL),
+done AS (SELECT *, CASE m WHEN 3 THEN 'max rounds exhausted' WHEN 4 THEN 'insufficient oracles: got 0, need 3' ELSE 'promoted' END AS reason, CASE WHEN m < 3 THEN 'promoted' ELSE 'escalated' END AS phase, CASE WHEN m < 2 THEN 'small' ELSE 'large' END AS model FROM f),
+events AS (SELECT family, 1 AS step, 'escalated' AS event, CASE m WHEN 4 THEN reason ELSE 'max rounds exhausted' END AS detail FROM done WHERE m >= 2
+  UNION ALL SELECT family, 2, 'escalated', reason FROM done WHERE m >= 3
+  UNION ALL SELECT family, CASE WHEN m < 2 THEN 1 ELSE 2 END, 'promote', CASE WHEN m = 0 THEN 'v2' ELSE 'v1' END || CASE WHEN m = 0 THEN ' jumped' ELSE '' END FROM done WHERE m < 3)
+SELECT 'state' AS part, family, CASE WHEN m = 0 THEN 2 WHEN m < 3 THEN 1 END AS n, phase || ' ' || model AS status, reason AS detail FROM done
+UNION ALL SELECT 'family', family, NULL, CASE WHEN m < 3 THEN 'healthy' ELSE 'escalated' END, 'JobPosting@1' FROM done
+UNION ALL SELECT 'version', family, 1, CASE WHEN m = 0 THEN 'fallback' ELSE 'active' END, CASE m WHEN 0 THEN 'old' ELSE 'generated' END FROM done WHERE m < 3
+UNION ALL SELECT 'version', family, 2, 'active', 'discovery' FROM done WHERE m = 0
+UNION ALL SELECT 'audit', family, row_number() OVER (ORDER BY step, family, event), event, detail FROM events
+UNION ALL SELECT 'fixtures', p_brand, count(*), NULL, min(p_partkey)::VARCHAR FROM part WHERE {BRAND} % 5 < 3 GROUP BY 2""")
 def loop_promote(spark, sf):
-    """The regeneration loop over three pages, with proposals of which the second round's passes."""
-    from loamwork.plans.loop import run_loop
-
-    k = F.col("p_partkey")
-    samples = _islands(spark, sf).where("p_partkey <= 3").withColumnRenamed("p_partkey", "page_id")
-    truth = table(spark, sf, "part").where("p_partkey <= 3").select(k.alias("page_id"), F.lit(0).alias("item_ix"), F.col("p_type").alias("title"), F.col("p_brand").alias("company"), ((k % 97 + 1) * 10000).alias("salary"))
-    good = {"title": {"path": ["props", "detail", "city"], "transform": "none"}, "company": FIELDMAP["company"], "salary": FIELDMAP["salary"]}
-    bad = good | {"salary": {"path": ["props", "detail", "salaryK"], "transform": "int"}}
-    done = run_loop(samples, truth, lambda n, report: [bad] if n == 1 else [bad, good], get_schema("JobPosting"))
-    return spark.createDataFrame([(done.ok, done.rounds, done.reason)], "ok boolean, rounds int, reason string")
+    """The regeneration loop over all families at once, every page of part a sample of its brand's: discovery, generated
+    maps, the stronger model and escalation, to the registry's final rows."""
+    import json
+    import uuid
+
+    from loamwork.plans.regenerate import Regeneration
+    from loamwork.sources.shared import shared_dir
+    from loamwork.sources.store import Change, Store
+
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    m = F.substring("p_brand", 7, 2).cast("int") % 5
+    samples = _islands(spark, sf).join(p.select("p_partkey", F.col("p_brand").alias("family")), "p_partkey").select("family", k.alias("page_id"), F.concat(F.lit("http://h/"), k.cast("string")).alias("url"), "json")
+    label = F.when(F.col("p_size") % 3 == 0, "full_time").when(F.col("p_size") % 3 == 1, "part_time")
+    truth = p.where(m < 4).select(F.col("p_brand").alias("family"), k.alias("page_id"), F.lit(0).alias("item_ix"), F.col("p_type").alias("title"), F.col("p_brand").alias("company"), ((k % 97 + 1) * 10000).alias("salary"), F.when(m > 0, label).alias("employment_type"))
+    plain = {"title": {"path": ["props", "detail", "city"], "transform": "none"}, "company": FIELDMAP["company"], "salary": FIELDMAP["salary"]}
+    whole = plain | {"employment_type": FIELDMAP["kind"]}
+
+    def generate(open_):
+        own = F.substring("family", 7, 2).cast("int") % 5
+        knows = (own == 1) | ((own == 2) & (F.col("model") == "large"))
+        both = open_.select("family", F.lit(0).alias("ord"), F.lit(json.dumps(plain)).alias("spec")).unionByName(open_.where(knows).select("family", F.lit(1).alias("ord"), F.lit(json.dumps(whole)).alias("spec")))
+        return both
+
+    store = Store(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}")
+    first = samples.where(F.substring("family", 7, 2).cast("int") % 5 == 0).groupBy("family").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("f"))
+    old = first.join(p.select(k.alias("page_id"), "p_type", ((k % 97 + 1) * 50000).cast("string").alias("salary")), F.col("f.page_id") == F.col("page_id")).select(
+        F.col("page_id").alias("id"), "family", "f.url", F.lit(1).alias("version"), F.to_json(F.array(F.struct(F.col("p_type").alias("title"), "salary"))).alias("extracted_json"), F.lit("t").alias("ts"))
+    versions = first.select("family", F.lit(1).alias("n"), F.lit("active").alias("status"), F.lit("{}").alias("spec"), F.sha2(F.lit("{}"), 256).alias("source_sha"), F.lit("t").alias("promoted_at"), F.lit(9).alias("runs"), F.lit(9).alias("successes"))
+    store.update(lambda s: Change({"versions": versions}, {"run_history": old}))
+    loop = Regeneration(store, get_schema("JobPosting"), samples, lambda model: truth, generate, stronger={"small": "large"}, max_rounds=1, now="2024-01-01")
+    loop.begin(samples.select("family"), "small")
+    done = loop.run()
+    t, none = done.table, F.lit(None).cast("string")
+    origin = t("candidates").where("passed").select("family", "spec", "origin")
+    data = lambda x: F.get_json_object("data", f"$.{x}")
+    jumped = F.when(data("history_warnings[0]").contains("salary jumped"), " jumped").otherwise("")
+    parts = [
+        t("loop_state").select(F.lit("state").alias("part"), "family", F.col("version").cast("long").alias("n"), F.concat_ws(" ", "phase", "model").alias("status"), F.col("reason").alias("detail")),
+        t("families").select(F.lit("family"), "family", F.lit(None).cast("long"), "status", "schema_ref"),
+        t("versions").alias("v").join(origin.alias("o"), ["family", "spec"], "left").select(F.lit("version"), "family", F.col("n").cast("long"), "status", F.coalesce("origin", F.lit("old"))),
+        t("audit").select(F.lit("audit"), "family", "id", "event", F.coalesce(data("reason"), F.concat(F.lit("v"), data("to_version"), jumped))),
+        t("fixtures").groupBy("family").agg(F.count("*").alias("n"), F.min("page_id").cast("string").alias("least")).select(F.lit("fixtures"), "family", "n", none, "least"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 # ---- registry writes, promotion, serving

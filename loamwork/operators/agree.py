@@ -64,26 +64,26 @@ def latest_history(history: DataFrame, by: list[str]) -> DataFrame:
     return history.groupBy(*by).agg(F.max_by(F.struct(*rest), "id").alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def history_jumps(pairs: DataFrame, fields: list[str], volatile, label: str, ratio: float = 0.5) -> DataFrame:
-    """pairs' rows that moved: field, old and new amount, for volatile fields whose relative change is over ratio."""
+def history_jumps(pairs: DataFrame, fields: list[str], volatile, label: str, ratio: float = 0.5, by: list[str] = ()) -> DataFrame:
+    """pairs' rows that moved: `by`, label, field, old and new amount, for volatile fields whose relative change is over ratio."""
     types = {f.name: f.dataType for f in pairs.schema["a"].dataType.fields}
     rows = [F.struct(F.lit(n).alias("field"), money_of(F.lit(kind_of(types[n])), F.col(f"a.{n}").cast("string")).alias("new"), money_of(F.lit(kind_of(types[n])), F.col(f"b.{n}").cast("string")).alias("old")) for n in fields if n in volatile]
     if not rows:
-        return pairs.limit(0).select(F.lit("").alias("label"), F.lit("").alias("field"), F.lit(0.0).alias("old"), F.lit(0.0).alias("new"))
-    flat = pairs.select(F.col(f"a.{label}").alias("label"), F.inline(F.array(*rows)))
+        return pairs.limit(0).select(*by, F.lit("").alias("label"), F.lit("").alias("field"), F.lit(0.0).alias("old"), F.lit(0.0).alias("new"))
+    flat = pairs.select(*by, F.col(f"a.{label}").alias("label"), F.inline(F.array(*rows)))
     moved = F.abs(F.col("new").cast("double") - F.col("old").cast("double")) / F.greatest(F.abs(F.col("old").cast("double")), F.lit(EPSILON)) > ratio
-    return flat.where(F.col("new").isNotNull() & F.col("old").isNotNull() & moved).select("label", "field", F.col("old").cast("double").alias("old"), F.col("new").cast("double").alias("new"))
+    return flat.where(F.col("new").isNotNull() & F.col("old").isNotNull() & moved).select(*by, "label", "field", F.col("old").cast("double").alias("old"), F.col("new").cast("double").alias("new"))
 
 
-def score_candidates(runs: DataFrame, bar: float = AGREEMENT_BAR) -> DataFrame:
-    """One row per candidate from its runs (candidate, ord, kind sample or fixture, error, schema_ok, mean, min_item, count_match).
+def score_candidates(runs: DataFrame, bar: float = AGREEMENT_BAR, by: list[str] = ()) -> DataFrame:
+    """One row per candidate (of each `by`) from its runs (candidate, ord, kind sample or fixture, error, schema_ok, mean, min_item, count_match).
 
     Agreement is the mean over samples and fixtures; a run with an error counts 0 and matches nothing. To
     pass: every sample valid, all counts equal, no item below the bar, fixtures reproduced, no error.
     """
     bad = F.coalesce(F.col("error"), F.lit(False))
     sample = F.col("kind") == "sample"
-    per = runs.groupBy("candidate", "ord").agg(
+    per = runs.groupBy(*by, "candidate", "ord").agg(
         F.coalesce(F.bool_and(F.when(sample, F.coalesce(F.col("schema_ok"), F.lit(False)) & ~bad)), F.lit(False)).alias("schema_valid"),
         F.coalesce(F.avg(F.when(bad, 0.0).otherwise(F.col("mean"))), F.lit(1.0)).alias("agreement"),
         F.coalesce(F.avg(F.when(~sample, F.when(bad, 0.0).otherwise(F.col("mean")))), F.lit(1.0)).alias("fixture_pass"),
@@ -99,8 +99,8 @@ def best_candidate(scores: DataFrame) -> DataFrame:
     return scores.where("passed").orderBy(F.desc("agreement"), "ord").limit(1)
 
 
-def failure_report(scores: DataFrame) -> DataFrame:
-    """(report): lines of the failing candidates, in order; candidates of a round are few."""
+def failure_report(scores: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, report): lines of the failing candidates, in order; candidates of a round are few."""
     line = F.format_string("candidate %s: schema_valid=%s agreement=%.3f fixtures=%.3f min_item=%.3f errors=%s", "candidate", "schema_valid", "agreement", "fixture_pass", "min_item", "exec_errors")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])
-    return scores.where("not passed").agg(F.array_join(lines, "\n").alias("report"))
+    return scores.where("not passed").groupBy(*by).agg(F.array_join(lines, "\n").alias("report"))

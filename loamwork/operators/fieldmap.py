@@ -81,6 +81,61 @@ def apply_fieldmap(df: DataFrame, fieldmap: dict, body: str = "json") -> DataFra
     return parsed.select(*df.columns, *[compile_field(F.col("_v"), spec).alias(name) for name, spec in fieldmap.items()])
 
 
+def _path_of(steps: Column) -> Column:
+    """The path text of a variant array of steps; null if a step is none, or a key has quotes of both kinds."""
+    kind = lambda x: F.regexp_extract(F.schema_of_variant(x), r"^\w+", 0)
+    text = lambda x: F.try_variant_get(x, "$", "string")
+    quote = lambda t: F.when(~F.contains(t, F.lit("'")), F.concat(F.lit("['"), t, F.lit("']"))).when(~F.contains(t, F.lit('"')), F.concat(F.lit('["'), t, F.lit('"]')))
+    parts = F.transform(F.try_variant_get(steps, "$", "array<variant>"), lambda x: F.when(kind(x) == "STRING", quote(text(x))).when((kind(x) == "BIGINT") & ~text(x).startswith("-"), F.concat(F.lit("["), text(x), F.lit("]"))))
+    return F.when(F.forall(parts, lambda x: x.isNotNull()), F.concat(F.lit("$"), F.array_join(parts, "")))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), the value being worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _own_field(value: Column, spec: Column) -> Column:
+    """compile_field for a spec that is a row's own: JSON text."""
+    own = F.from_json(spec, "path string, transform string")
+    asked = F.struct(own["transform"].alias("name"), F.from_json(own["transform"], "map<string,string>").alias("rule"), _path_of(F.try_parse_json(F.coalesce(own["path"], F.lit("[]")))).alias("path"))
+
+    def read(q: Column) -> Column:
+        got = F.try_variant_get(value, q["path"], "variant")
+        found = F.struct(F.when(~F.is_variant_null(got), got).alias("got"), F.try_variant_get(value, q["path"], "string").alias("text"), F.schema_of_variant(F.when(~F.is_variant_null(got), got)).alias("kind"))
+        return _let(found, lambda g: made(q["name"], q["rule"], g["got"], g["text"], g["kind"]))
+
+    def made(name: Column, rule: Column, got: Column, text: Column, kind: Column) -> Column:
+        number = F.when(kind != "BOOLEAN", to_float(text))
+        scalar = (
+            F.when(name == "none", F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(got)).when(got.isNotNull(), text))
+            .when(name == "x10000", F.bround(number * 10000).try_cast("bigint").cast("string"))
+            .when(name == "int", number.try_cast("bigint").cast("string"))
+            .when(name == "float", number.cast("string")))
+        labels = F.from_json(rule["map"], "map<string,string>")
+        label = F.get(F.filter(F.map_keys(labels), lambda k: F.contains(text, k)), F.lit(0))
+        paths = F.try_variant_get(F.try_parse_json(rule["concat"]), "$", "array<variant>")
+        parts = F.filter(F.transform(paths, lambda p: strip(F.try_variant_get(value, _path_of(p), "string"))), lambda x: x.isNotNull() & (x != ""))
+        first = F.get(F.try_variant_get(F.try_parse_json(rule["list"]), "$", "array<variant>"), F.lit(0))
+        items = F.try_variant_get(value, _path_of(first), "array<variant>")
+        inner = F.filter(F.transform(items, lambda x: F.element_at(F.try_variant_get(x, "$", "map<string,variant>"), rule["field"])), lambda x: x.isNotNull())
+        return (
+            F.when(rule["map"].isNotNull(), F.when(kind == "STRING", F.element_at(labels, label)))
+            .when(rule["concat"].isNotNull(), _let(parts, lambda p: F.when(F.size(p) > 0, F.call_function("array_join", p, F.coalesce(rule["sep"], F.lit(""))))))
+            .when(rule["list"].isNotNull(), F.to_json(F.when(rule["field"].isNull(), items).otherwise(inner)))
+            .otherwise(scalar))
+
+    return _let(asked, read)
+
+
+def apply_specs(df: DataFrame, fields: list[str], spec: str = "spec", body: str = "json") -> DataFrame:
+    """df with one column per field, each row read by the field map of its own (JSON text in `spec`): any number of maps in
+    one projection. As apply_fieldmap, but that keys with quotes of both kinds read as missing."""
+    own = df.withColumn("_v", F.try_parse_json(body)).withColumn("_s", F.map_entries(F.from_json(spec, "map<string,string>")))
+    read = F.map_from_entries(F.transform("_s", lambda e: F.struct(e["key"], _own_field(F.col("_v"), e["value"]))))
+    return own.withColumn("_r", read).select(*df.columns, *[F.col("_r")[n].alias(n) for n in fields])
+
+
 def reproduction_ratio(df: DataFrame, fieldmap: dict, oracle: DataFrame, key: str, body: str = "json") -> DataFrame:
     """(key, ratio): share of the known record's filled fields that the map reproduces; 1 if none is filled."""
     fields = [c for c in oracle.columns if c != key]

@@ -57,11 +57,7 @@ def promote_in(store: Store, family: str, fieldmap: dict, schema_ref: str, fixtu
             replace["fixtures"] = now_there.table("fixtures").where(F.col("family") != family).unionByName(numbered.withColumn("sample", F.col("sample").cast("int")))
         return Change(replace, {"audit": done.audit}, frozenset({family}))
 
-    if base is not None:
-        done = store.commit(base, make(base))
-        if done is not None:
-            return done
-    return store.update(make)
+    return store.update(make, base=base)
 
 
 def escalate(spark: SparkSession, families: DataFrame, family: str, schema_ref: str, reason: str, after: int = 0, now: str | None = None) -> tuple[DataFrame, DataFrame]:
