@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions import compare, text
-from loamwork.operators import agree, failure, fieldmap, jsonpaths, registry, residual, route, safety
+from loamwork.operators import agree, failure, fieldmap, jsonpaths, registry, residual, route
 from loamwork.operators.validate import fill_rates, validate
 from loamwork.plans.serve import bootstrap, decide
 from loamwork.sources.config import on_list
@@ -161,26 +161,61 @@ def bfs_frontier(spark, sf):
 
 
 @query("""WITH RECURSIVE e AS (SELECT url, lead(url) OVER (PARTITION BY page_id // 7 ORDER BY page_id) AS next_url FROM pages),
-w AS (SELECT url AS start, 1 AS depth, url FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0
+w AS (SELECT url AS start, 1 AS depth, url FROM pages
       UNION ALL SELECT w.start, w.depth + 1, e.next_url FROM w JOIN e ON e.url = w.url WHERE e.next_url IS NOT NULL AND w.depth < 10)
 SELECT start, depth, url FROM w""")
-def pagination_walk(spark, sf):
+def pagination_walk_all(spark, sf):
     p = pages(spark, sf)
     from pyspark.sql.window import Window
 
-    edges = p.select("url", F.lead("url").over(Window.partitionBy(F.floor(F.col("page_id") / 7)).orderBy("page_id")).alias("next_url"))
-    return route.follow(p.where("page_id % 7 = 0 or page_id % 5 = 0"), edges, 10)
+    return route.follow(p, p.select("url", F.lead("url").over(Window.partitionBy(F.floor(F.col("page_id") / 7)).orderBy("page_id")).alias("next_url")), 10)
 
 
-@query("""WITH RECURSIVE e AS (SELECT url, lead(url) OVER (PARTITION BY page_id // 7 ORDER BY page_id) AS next_url FROM pages),
-w AS (SELECT url AS start, 1 AS depth, url FROM pages
-      UNION ALL SELECT w.start, w.depth + 1, e.next_url FROM w JOIN e ON e.url = w.url WHERE e.next_url IS NOT NULL AND w.depth < 10)
-SELECT start, depth, url FROM w""")
-def pagination_walk_all(spark, sf):
-    p = pages(spark, sf)
+# A site of five hosts, a page for each of `pages`: it links to others of its host, among them some that are not stored.
+SITE = """SELECT page_id AS id, 'http://h' || (page_id % 5) || '.example.com/' || CASE WHEN page_id % 4 = 3 THEN 'gone/' ELSE '' END || page_id AS url,
+ ['http://h' || (page_id % 5) || '.example.com/' || (page_id + 10), 'http://h' || (page_id % 5) || '.example.com/x' || page_id, 'http://h' || (page_id % 5) || '.example.com/' || (page_id + 15), 'http://h' || (page_id % 5) || '.example.com/' || (page_id - 5)] AS links FROM pages"""
+
+
+def _site(spark, sf):
+    k = F.col("page_id")
+    host = F.concat(F.lit("http://h"), (k % 5).cast("string"), F.lit(".example.com/"))
+    link = lambda x: F.concat(F.lit('<a href="/'), x.cast("string"), F.lit('">x</a>'))
+    html = F.concat(link(k + 10), F.lit('<a href="/x'), k.cast("string"), F.lit('">'), link(k + 15), F.lit('<a href="http://elsewhere.org/">'), link(k - 5))
+    return pages(spark, sf).select("page_id", F.concat(host, F.when(k % 4 == 3, "gone/").otherwise(""), k.cast("string")).alias("url"), html.alias("html"))
+
+
+@query(f"""WITH RECURSIVE site AS ({SITE}),
+seeds AS (SELECT 'f' || (id % 35) AS family, list('http://h' || (id % 5) || '.example.com/' || id ORDER BY id)[:4] AS queue FROM site GROUP BY 1),
+walk AS (
+  SELECT family, queue, []::VARCHAR[] AS tried, []::STRUCT(sample BIGINT, attempt BIGINT, page_id BIGINT, url VARCHAR)[] AS got FROM seeds
+  UNION ALL
+  SELECT w.family, w.queue[2:] || list_distinct_in_order, w.tried || [w.queue[1]], w.got || CASE WHEN s.id IS NULL THEN [] ELSE [{{'sample': len(w.got), 'attempt': len(w.tried) + 1, 'page_id': s.id, 'url': s.url}}] END
+  FROM walk w LEFT JOIN site s ON s.url = w.queue[1],
+  LATERAL (SELECT list_filter(coalesce(s.links, []), lambda x: NOT list_contains(w.tried, x) AND NOT list_contains(w.queue, x)) AS list_distinct_in_order)
+  WHERE len(w.queue) > 0 AND len(w.tried) < 8 AND len(w.got) < 5)
+SELECT family, g.sample::INT AS sample, g.attempt AS attempt, g.page_id AS page_id, g.url AS url FROM (SELECT family, unnest(arg_max(got, len(tried))) AS g FROM walk GROUP BY family)""")
+def sample_all_families(spark, sf):
+    """Breadth-first samples of every family at once."""
     from pyspark.sql.window import Window
 
-    return route.follow(p, p.select("url", F.lead("url").over(Window.partitionBy(F.floor(F.col("page_id") / 7)).orderBy("page_id")).alias("next_url")), 10)
+    site, k = _site(spark, sf), F.col("page_id")
+    seeds = site.select(F.concat(F.lit("f"), (k % 35).cast("string")).alias("family"), F.concat(F.lit("http://h"), (k % 5).cast("string"), F.lit(".example.com/"), k.cast("string")).alias("url"), k.alias("ord"))
+    seeds = seeds.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy("ord"))).where("r <= 4").drop("r")
+    return route.sample_families(site, seeds, 5, 8)
+
+
+@query("""WITH RECURSIVE e AS (SELECT page_id, url, html, lead(page_id) OVER (PARTITION BY page_id // 7 ORDER BY page_id) AS next FROM pages),
+w AS (SELECT page_id AS start, 1 AS depth, page_id, url, html, next FROM e UNION ALL SELECT w.start, w.depth + 1, e.page_id, e.url, e.html, e.next FROM w JOIN e ON e.page_id = w.next WHERE w.depth < 10)
+SELECT a.start, a.page_id, string_agg(b.page_id || ':' || sha256(b.html), ' ' ORDER BY b.depth) AS seen FROM w a JOIN w b ON a.start = b.start AND b.depth <= a.depth GROUP BY a.start, a.page_id""")
+def record_provenance(spark, sf):
+    """A record of each page of each pagination chain, with the pages seen up to it."""
+    from pyspark.sql.window import Window
+
+    p = pages(spark, sf)
+    walked = route.follow(p, p.select("url", F.lead("url").over(Window.partitionBy(F.floor(F.col("page_id") / 7)).orderBy("page_id")).alias("next_url")), 10)
+    records = walked.join(p.select("url", "page_id"), "url").select("start", "page_id")
+    known = route.with_provenance(records, route.recorded(walked, p)).join(p.select(F.col("url").alias("start"), F.col("page_id").alias("of")), "start")
+    return known.select(F.col("of").alias("start"), "page_id", F.array_join(F.transform("seen", lambda x: F.concat(x["page_id"].cast("string"), F.lit(":"), x["sha"])), " ").alias("seen"))
 
 
 @query(f"SELECT page_id, ((row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) / 2.0)::DOUBLE AS slot_s FROM pages")
@@ -408,7 +443,7 @@ def recent_history_top20(spark, sf):
 
 @query(f"SELECT id, family, url FROM ({LOG}) WHERE family = 'error' ORDER BY id DESC LIMIT 50")
 def audit_recent(spark, sf):
-    return _log(spark, sf).where("family = 'error'").orderBy(F.desc("id")).limit(50).select("id", "family", "url")
+    return registry.read_audit(_log(spark, sf), "error").limit(50).select("id", "family", "url")
 
 
 JUMP = """SELECT url, value AS new, lag(value) OVER (PARTITION BY url ORDER BY id) AS old, row_number() OVER (PARTITION BY url ORDER BY id DESC) AS r
@@ -591,14 +626,6 @@ def fieldmap_apply(spark, sf):
     return fieldmap.apply_fieldmap(_islands(spark, sf), FIELDMAP).drop("json")
 
 
-@query("SELECT p_partkey, (3 - (p_partkey % 5 = 0)::INT - (p_size % 3 = 2)::INT * 0) / 3.0 AS ratio FROM (SELECT * FROM part WHERE p_size % 3 <> 2)")
-def reproduction_ratio(spark, sf):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    p = table(spark, sf, "part").where("p_size % 3 <> 2")
-    oracle = p.select("p_partkey", F.when(k % 5 == 0, "wrong").otherwise(F.concat(F.col("p_brand"), F.lit(" "))).alias("company"), F.concat(((k % 97 + 1) * 10000).cast("string"), F.lit(".0")).alias("salary"), F.when(s % 3 == 0, "full_time").otherwise("part_time").alias("kind"), F.lit(None).cast("string").alias("gone"))
-    return fieldmap.reproduction_ratio(_islands(spark, sf), FIELDMAP, oracle, "p_partkey")
-
-
 @query("SELECT p_partkey, (3 - (p_partkey % 5 = 0)::INT - (p_size % 3 = 2)::INT) / 3.0 AS ratio FROM part")
 def reproduction_ratio_whole(spark, sf):
     """All of part: of labels that the map has no entry for, the kind is not reproduced."""
@@ -753,28 +780,22 @@ def redirect_walk(spark, sf):
     return route.redirects(hops, hops, [f"h{i}.example.com" for i in range(9)])
 
 
-@query()
-def ast_violations(spark, sf):
-    src = F.when(F.col("n_nationkey") % 3 == 0, "import os\neval('1')").when(F.col("n_nationkey") % 3 == 1, "import re\nx = re.sub('a', 'b', 'c')").otherwise("x = ().__class__")
-    return table(spark, sf, "nation").select("n_nationkey", safety.ast_violations(src).alias("violations"))
-
-
 #: Families of the loop are brands, by their last two digits: 0 and 1 mod 5 are discovered or learn the labels with the first model,
 #: 2 with the stronger one, 3 never, 4 have no trusted records.
 BRAND = "substr(p_brand, 7)::INT"
 
 
-@query(f"""WITH f AS (SELECT p_brand AS family, {BRAND} % 5 AS m, min(p_partkey) AS first FROM part GROUP BY ALL),
-done AS (SELECT *, CASE m WHEN 3 THEN 'max rounds exhausted' WHEN 4 THEN 'insufficient oracles: got 0, need 3' ELSE 'promoted' END AS reason, CASE WHEN m < 3 THEN 'promoted' ELSE 'escalated' END AS phase, CASE WHEN m < 2 THEN 'small' ELSE 'large' END AS model FROM f),
+@query(f"""WITH f AS (SELECT p_brand AS family, CASE WHEN count(*) < 3 THEN 4 ELSE {BRAND} % 5 END AS m, {BRAND} % 5 AS own, CASE WHEN {BRAND} % 5 = 4 THEN 0 ELSE count(*) END AS got FROM part GROUP BY p_brand),
+done AS (SELECT *, CASE m WHEN 3 THEN 'max rounds exhausted' WHEN 4 THEN 'insufficient oracles: got ' || got || ', need 3' ELSE 'promoted' END AS reason, CASE WHEN m < 3 THEN 'promoted' ELSE 'escalated' END AS phase, CASE WHEN m < 2 THEN 'small' ELSE 'large' END AS model FROM f),
 events AS (SELECT family, 1 AS step, 'escalated' AS event, CASE m WHEN 4 THEN reason ELSE 'max rounds exhausted' END AS detail FROM done WHERE m >= 2
   UNION ALL SELECT family, 2, 'escalated', reason FROM done WHERE m >= 3
   UNION ALL SELECT family, CASE WHEN m < 2 THEN 1 ELSE 2 END, 'promote', CASE WHEN m = 0 THEN 'v2' ELSE 'v1' END || CASE WHEN m = 0 THEN ' jumped' ELSE '' END FROM done WHERE m < 3)
 SELECT 'state' AS part, family, CASE WHEN m = 0 THEN 2 WHEN m < 3 THEN 1 END AS n, phase || ' ' || model AS status, reason AS detail FROM done
 UNION ALL SELECT 'family', family, NULL, CASE WHEN m < 3 THEN 'healthy' ELSE 'escalated' END, 'JobPosting@1' FROM done
-UNION ALL SELECT 'version', family, 1, CASE WHEN m = 0 THEN 'fallback' ELSE 'active' END, CASE m WHEN 0 THEN 'old' ELSE 'generated' END FROM done WHERE m < 3
+UNION ALL SELECT 'version', family, 1, CASE WHEN m = 0 THEN 'fallback' ELSE 'active' END, CASE own WHEN 0 THEN 'old' ELSE 'generated' END FROM done WHERE m < 3 OR own = 0
 UNION ALL SELECT 'version', family, 2, 'active', 'discovery' FROM done WHERE m = 0
 UNION ALL SELECT 'audit', family, row_number() OVER (ORDER BY step, family, event), event, detail FROM events
-UNION ALL SELECT 'fixtures', p_brand, count(*), NULL, min(p_partkey)::VARCHAR FROM part WHERE {BRAND} % 5 < 3 GROUP BY 2""")
+UNION ALL SELECT 'fixtures', p_brand, count(*), NULL, min(p_partkey)::VARCHAR FROM part WHERE p_brand IN (SELECT family FROM done WHERE m < 3) GROUP BY 2""")
 def loop_promote(spark, sf):
     """The regeneration loop over all families at once, every page of part a sample of its brand's: discovery, generated
     maps, the stronger model and escalation, to the registry's final rows."""
@@ -829,11 +850,11 @@ def loop_promote(spark, sf):
 
 @query(f"""SELECT family, n::INT AS n, status, spec, CASE WHEN spec IS NULL THEN NULL ELSE sha256(spec) END AS source_sha FROM (
   SELECT family, n, status, NULL AS spec FROM ({LADDER})
-  UNION ALL SELECT f, coalesce(m, 0) + row_number() OVER (PARTITION BY f ORDER BY o), 'fallback', '{{"v": ' || o || '}}' FROM (SELECT (c_custkey % 30)::INT AS f, c_custkey AS o FROM customer WHERE c_custkey <= 90) s
+  UNION ALL SELECT f, coalesce(m, 0) + row_number() OVER (PARTITION BY f ORDER BY o), 'fallback', '{{"v": ' || o || '}}' FROM (SELECT (c_custkey % 30)::INT AS f, c_custkey AS o FROM customer) s
   LEFT JOIN (SELECT family, max(n) AS m FROM ({LADDER}) GROUP BY 1) x ON x.family = f)""")
 def add_versions_state(spark, sf):
     v = _versions(spark, sf).select(F.col("family").cast("int"), F.col("n").cast("int"), "status")
-    new = table(spark, sf, "customer").where("c_custkey <= 90").select((F.col("c_custkey") % 30).cast("int").alias("family"), F.concat(F.lit('{"v": '), "c_custkey", F.lit("}")).alias("spec"), F.col("c_custkey").alias("ord"))
+    new = table(spark, sf, "customer").select((F.col("c_custkey") % 30).cast("int").alias("family"), F.concat(F.lit('{"v": '), "c_custkey", F.lit("}")).alias("spec"), F.col("c_custkey").alias("ord"))
     return registry.add_versions(v, new, "2024-01-01T00:00:00+00:00").select("family", "n", "status", "spec", "source_sha")
 
 

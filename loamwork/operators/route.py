@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamwork.functions.text import absolutize, absolutize_rooted, host
+from loamwork.operators.numbering import numbered
+from loamwork.sources.shared import kept
 
 
 def _java(pattern: str) -> str:
@@ -127,6 +129,62 @@ def collect_samples(pages: DataFrame, seeds: list[str], wanted: int = 3, attempt
     return got[:wanted]
 
 
+def sample_families(pages: DataFrame, seeds: DataFrame, wanted: int = 3, attempts: int = 12) -> DataFrame:
+    """(family, sample, attempt, page_id, url): of each family up to `wanted` stored pages, found breadth first over same-host
+    links from its seeds (family, url, ord), all families at once.
+
+    A family tries its queue in order, each URL once, until it has `wanted` pages or has made `attempts` attempts; a URL that
+    isn't stored is an attempt. A level of all queues is one job, written down: numbered within the families, cut where a family has
+    what it wants, then the links of what was found, first ones first, without what was tried. There are `attempts` levels at
+    most, and a family has no more rows in one than it has attempts left. Of pages stored twice the least page_id counts.
+    """
+    stored = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    level = seeds.groupBy("family", "url").agg(F.min(F.struct(F.col("ord").cast("long").alias("a"), F.lit(0).alias("b"))).alias("ord"))
+    tried = None
+    for _ in range(attempts):
+        if tried is not None:
+            level = level.join(tried.select("family", "url"), ["family", "url"], "left_anti")
+            counts = tried.groupBy("family").agg(F.count("*").alias("_n"), F.count("page_id").alias("_got"))
+            level = level.join(counts, "family", "left")
+        else:
+            level = level.withColumns({"_n": F.lit(0).cast("long"), "_got": F.lit(0).cast("long")})
+        rank = F.row_number().over(Window.partitionBy("family").orderBy("ord", "url"))
+        level = level.na.fill(0, ["_n", "_got"]).withColumn("_r", rank).where(F.col("_r") <= attempts).withColumn("attempt", F.col("_n") + F.col("_r")).where(F.col("attempt") <= attempts)
+        found = level.join(stored, "url", "left")
+        before = F.col("_got") + F.coalesce(F.count("page_id").over(Window.partitionBy("family").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        made = kept(found.withColumn("_before", before).where(F.col("_before") < wanted).select("family", "url", "attempt", "page_id", F.col("_before").cast("int").alias("sample")), "tried")
+        if made.isEmpty():
+            break
+        tried = made if tried is None else tried.unionByName(made)
+        hits = made.where("page_id is not null").select("family", "page_id", "attempt")
+        links = harvest_links(pages.join(hits.select("page_id").distinct(), "page_id", "left_semi")).select("page_id", "link_ix", "link")
+        level = hits.join(links, "page_id").groupBy("family", F.col("link").alias("url")).agg(F.min(F.struct(F.col("attempt").alias("a"), F.col("link_ix").cast("int").alias("b"))).alias("ord"))
+    return tried.where("page_id is not null").select("family", "sample", "attempt", "page_id", "url")
+
+
+def recorded(walked: DataFrame, pages: DataFrame) -> DataFrame:
+    """(start, pages): what each walk (start, depth, url) saw, in order: an array of structs depth, page_id, url and the
+    SHA-256 of the page. A walk has no more pages than follow's cap. URLs that are not stored were seen by nobody."""
+    own = pages.groupBy("url").agg(F.min_by(F.struct("page_id", F.sha2(F.col("html"), 256).alias("sha")), "page_id").alias("p"))
+    seen = walked.join(own, "url").select("start", F.struct("depth", "p.page_id", "url", "p.sha").alias("s"))
+    return seen.groupBy("start").agg(F.array_sort(F.collect_list("s")).alias("pages"))
+
+
+def with_provenance(records: DataFrame, walks: DataFrame) -> DataFrame:
+    """records (start, page_id, ...) with `seen`: the pages of their walk up to and with their own, in order. Records keep
+    it through ladder and merge, which leave other columns alone."""
+    own = F.filter("pages", lambda p: p["page_id"] == F.col("page_id"))
+    last = F.array_max(F.transform(own, lambda p: p["depth"]))
+    return records.join(walks, "start").withColumn("seen", F.filter("pages", lambda p: p["depth"] <= last)).drop("pages")
+
+
+def snapshots_of(served: DataFrame, due: DataFrame, pages: DataFrame) -> DataFrame:
+    """(family, url, html): the pages that served records were made from (family, seen), of families whose snapshot is
+    due (family, due); each page once."""
+    own = served.join(due.where("due").select("family"), "family", "left_semi").select("family", F.explode("seen").alias("s")).select("family", "s.page_id").distinct()
+    return own.join(pages.select("page_id", "url", "html"), "page_id").select("family", "url", "html")
+
+
 def distinct_seeds(history: DataFrame, current: str, most: int = 20) -> DataFrame:
     """(url, ord): URLs of the newest `most` runs, newest first, and the current one, each once."""
     recent = history.orderBy(F.desc("id")).limit(most).select("url", (-F.col("id")).alias("ord"))
@@ -134,10 +192,17 @@ def distinct_seeds(history: DataFrame, current: str, most: int = 20) -> DataFram
     return recent.union(now).groupBy("url").agg(F.min("ord").alias("ord"))
 
 
-def rate_slots(requests: DataFrame, max_rps: Column | float = 1.0) -> DataFrame:
-    """requests (host, ord) with the earliest second at which each may go, hosts apart."""
+def rate_slots(requests: DataFrame, max_rps: Column | float = 1.0, taken: DataFrame | None = None) -> DataFrame:
+    """requests (host, ord) with the earliest second at which each may go, hosts apart.
+
+    A host's requests are numbered by range partitions, so that one host is as many tasks as it needs. `taken` (host, n): requests that
+    hosts have made before; theirs come after."""
     rps = max_rps if isinstance(max_rps, Column) else F.lit(float(max_rps))
-    return requests.withColumn("slot_s", (F.row_number().over(Window.partitionBy("host").orderBy("ord")) - 1) / rps)
+    order = [F.col(c) for c in ("ord", *sorted(c for c in requests.columns if c not in ("host", "ord") and requests.schema[c].dataType.typeName() in ("long", "integer", "string")))]
+    slots = numbered(requests, order, ["host"]).withColumn("_n", F.col("place"))
+    if taken is not None:
+        slots = slots.join(taken.select("host", F.col("n").alias("_taken")), "host", "left").withColumn("_n", F.col("place") + F.coalesce("_taken", F.lit(0)))
+    return slots.select(*requests.columns, (F.col("_n") / rps).alias("slot_s"))
 
 
 def redirects(starts: DataFrame, hops: DataFrame, allowed: list[str], most: int = 5) -> DataFrame:

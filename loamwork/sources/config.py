@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions.text import host
+from loamwork.operators.failure import checked_kinds
 
 
 class UnauthorizedDomain(PermissionError):
@@ -38,6 +39,7 @@ def parse_domain(raw: dict) -> Domain:
     if listed is not None and not isinstance(listed, list):
         raise ValueError("access_strategies must be a list")
     known = tuple(_strategy(x) for x in listed) if listed else (("backoff", {}),)
+    checked_kinds([kind for kind, _ in known])
     return Domain(norm_host(str(raw["domain"])), float(raw.get("max_rps", 1.0)), bool(raw.get("render_js", False)), str(raw.get("note") or ""), known)
 
 

