@@ -39,7 +39,6 @@ def parse_domain(raw: dict) -> Domain:
     if listed is not None and not isinstance(listed, list):
         raise ValueError("access_strategies must be a list")
     known = tuple(_strategy(x) for x in listed) if listed else (("backoff", {}),)
-    checked_kinds([kind for kind, _ in known])
     return Domain(norm_host(str(raw["domain"])), float(raw.get("max_rps", 1.0)), bool(raw.get("render_js", False)), str(raw.get("note") or ""), known)
 
 
@@ -50,7 +49,10 @@ def load_config(path: str) -> list[Domain]:
         raise RuntimeError("reading configuration needs PyYAML") from e
     with open(path) as f:
         raw = yaml.safe_load(f) or {}
-    return [parse_domain(x) for x in raw.get("domains") or []]
+    found = [parse_domain(x) for x in raw.get("domains") or []]
+    for d in found:  # an unknown kind is an error before anything is fetched
+        checked_kinds([kind for kind, _ in d.access_strategies])
+    return found
 
 
 def norm_host(name: str) -> str:
