@@ -155,7 +155,7 @@ class Regeneration:
         """(records, runs) of each family's candidates on its pages."""
         by, names = ["family", "ord", "page_id"], self.schema.names
         got = apply_specs(pages.select("family", "page_id", "json").join(candidates.select("family", "ord", "spec"), "family"), names)
-        got = got.select(*by, F.lit(0).alias("item_ix"), *names)
+        got = kept(got.select(*by, F.lit(0).alias("item_ix"), *names), "records")
         want = known.select("family", "page_id", "item_ix", *names).join(candidates.select("family", "ord"), "family")
         detail = agreement_detail(got, want, by, self.schema.align_key, "item_ix", names, self.schema.volatile)
         sound = check_items(got, self.schema).select(*by, (~F.col("invalid")).alias("schema_ok"))
@@ -213,7 +213,8 @@ class Regeneration:
 
         records, runs = self._runs(candidates, pages, known, "sample")
         golden, expected = self._fixtures(base, ready)
-        runs = runs.unionByName(self._runs(candidates, golden, expected, "fixture")[1])
+        if not golden.isEmpty():
+            runs = runs.unionByName(self._runs(candidates, golden, expected, "fixture")[1])
         scores = kept(score_summary(score_candidates(runs, self.bar, ["family"])), "scores")
         best = scores.where("passed").groupBy("family").agg(F.max_by(F.struct("ord", "summary"), F.struct("agreement", -F.col("ord"))).alias("b")).select("family", "b.*")
         won = kept(best.join(candidates.select("family", "ord", "spec"), ["family", "ord"]), "won")
