@@ -39,7 +39,12 @@ def text_of(v: Column) -> Column:
 
 def _at(at: Column, code: Column) -> Column:
     """One failure, or none if the code is null."""
-    return F.when(code.isNull(), _none()).otherwise(F.array(F.concat(at, F.lit(": "), code)))
+    return F.array_compact(F.array(F.concat(at, F.lit(": "), code)))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value being worked out once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 class Node:
@@ -65,7 +70,7 @@ def _bounds(schema: dict, n: Column) -> Column:
 
 
 def _scalar(code: Callable[[Column, Column], Column], dump: Callable[[Column], Column]) -> Node:
-    return Node(lambda v, at: _at(at, code(v, kind_of(v))), dump)
+    return Node(lambda v, at: _let(kind_of(v), lambda kind: _at(at, code(v, kind))), dump)
 
 
 def _number_text(v: Column) -> Column:
@@ -157,7 +162,7 @@ def _codes(values: list, name: str) -> Node:
             ok = ok | (kind.isin(*of) & same)
         return F.when(~F.coalesce(ok, F.lit(False)), name)
 
-    return Node(lambda v, at: _at(at, code(v, kind_of(v))), text_of, None in values)
+    return Node(lambda v, at: _let(kind_of(v), lambda kind: _at(at, code(v, kind))), text_of, None in values)
 
 
 def _array(schema: dict, compiled: Callable[[dict], Node]) -> Node:
@@ -191,22 +196,27 @@ class ObjectNode(Node):
         return F.try_variant_get(v, "$", "map<string,variant>")[name]
 
     def _failures(self, v: Column, at: Column) -> Column:
-        own = F.try_variant_get(v, "$", "map<string,variant>")
         below = F.when(at == "", F.lit("")).otherwise(F.concat(at, F.lit(".")))
+        wrong = F.array(F.concat(F.when(at == "", F.lit("item")).otherwise(at), F.lit(": dict_type")))
+        return F.when(kind_of(v) == "OBJECT", _let(F.try_variant_get(v, "$", "map<string,variant>"), lambda own: self._inner(own, below))).otherwise(wrong)
+
+    def _field(self, n: str, below: Column) -> Callable[[Column], Column]:
+        """Of a field's variant, null if the key is missing."""
+        missing = F.array(F.concat(below, F.lit(f"{n}: missing"))) if n in self.required else _none()
+        found = self.fields[n].failures if n in self.fields else lambda x, at: _none()
+        return lambda x: F.when(x.isNull(), missing).otherwise(found(x, F.concat(below, F.lit(n))))
+
+    def _inner(self, own: Column, below: Column) -> Column:
+        """Of an object's values by key."""
         parts = []
-        for n, node in self.fields.items():
-            missing = F.array(F.concat(below, F.lit(f"{n}: missing"))) if n in self.required else _none()
-            parts.append(F.when(own[n].isNull(), missing).otherwise(node.failures(own[n], F.concat(below, F.lit(n)))))
-        for n in self.required:
-            if n not in self.fields:
-                parts.append(F.when(own[n].isNull(), F.array(F.concat(below, F.lit(f"{n}: missing")))).otherwise(_none()))
+        for n in [*self.fields, *(n for n in self.required if n not in self.fields)]:
+            parts.append(_let(own[n], self._field(n, below)))
         others = F.array_sort(F.filter(F.map_keys(own), lambda k: ~k.isin(*self.fields) if self.fields else F.lit(True)))
         if self.closed:
             parts.append(F.transform(others, lambda k: F.concat(below, k, F.lit(": extra_forbidden"))))
         elif self.more is not None:
             parts.append(F.flatten(F.transform(others, lambda k: self.more.failures(own[k], F.concat(below, k)))))
-        inner = F.concat(*parts) if parts else _none()
-        return F.when(kind_of(v) == "OBJECT", inner).otherwise(F.array(F.concat(F.when(at == "", F.lit("item")).otherwise(at), F.lit(": dict_type"))))
+        return F.concat(*parts) if parts else _none()
 
 
 def _any(nodes: list[Node]) -> Node:
