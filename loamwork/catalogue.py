@@ -800,10 +800,9 @@ def loop_promote(spark, sf):
     """The regeneration loop over all families at once, every page of part a sample of its brand's: discovery, generated
     maps, the stronger model and escalation, to the registry's final rows."""
     import json
-    import uuid
 
     from loamwork.plans.regenerate import Regeneration
-    from loamwork.sources.shared import shared_dir
+    from loamwork.sources.shared import temporary
     from loamwork.sources.store import Change, Store
 
     p, k = table(spark, sf, "part"), F.col("p_partkey")
@@ -820,7 +819,7 @@ def loop_promote(spark, sf):
         both = open_.select("family", F.lit(0).alias("ord"), F.lit(json.dumps(plain)).alias("spec")).unionByName(open_.where(knows).select("family", F.lit(1).alias("ord"), F.lit(json.dumps(whole)).alias("spec")))
         return both
 
-    store = Store(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}")
+    store = Store(spark, temporary(spark, "registry"))
     first = samples.where(F.substring("family", 7, 2).cast("int") % 5 == 0).groupBy("family").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("f"))
     old = first.join(p.select(k.alias("page_id"), "p_type", ((k % 97 + 1) * 50000).cast("string").alias("salary")), F.col("f.page_id") == F.col("page_id")).select(
         F.col("page_id").alias("id"), "family", "f.url", F.lit(1).alias("version"), F.to_json(F.array(F.struct(F.col("p_type").alias("title"), "salary"))).alias("extracted_json"), F.lit("t").alias("ts"))
