@@ -17,7 +17,7 @@ PLACE = 24
 LOW = (1 << PLACE) - 1
 #: The six white-space characters as SQL escapes.
 BLANKS = r" \t\n\u000B\u000C\r"
-#: A text with more than so many characters to a word is read by characters: CHARS of them are a k-mer.
+#: A word of more than so many characters is read by characters: each begins a k-mer of CHARS of them.
 LONG_WORD, CHARS = 24, 8
 #: Characters of text that one range of keys is meant to hold.
 RANGE_CHARS = 64_000_000
@@ -46,19 +46,23 @@ def with_range(df: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
 
 
 def kmers(body: str, k: int) -> list[tuple[str, str]]:
-    """(name, SQL) of the columns that lead from a text to its occurrence-numbered k-mers, one long each."""
+    """(name, SQL) of the columns that lead from a text to its occurrence-numbered k-mers, one long each.
+
+    A text is a list of items: its words, and the characters of its long words, with a blank before each, which no
+    word has. A k-mer is k items from a word on, CHARS items from such a character on, whatever the rest of the text is."""
     words = ", ".join(f"get(w, i + {j})" for j in range(k))
     chars = ", ".join(f"get(w, i + {j})" for j in range(CHARS))
     blanks = SPACES.replace(chr(92), chr(92) * 2)
+    at = f"sequence(0, greatest(size(w) - {k}, 0))"
     return [
         ("trimmed", f"btrim({body}, '{BLANKS}')"),
         ("w", f"if(trimmed = '', array(), split(trimmed, '{blanks}'))"),
-        ("by_char", f"size(w) > 0 and char_length(trimmed) > {LONG_WORD} * size(w)"),
-        ("w", "if(by_char, split(trimmed, ''), w)"),
+        ("long_words", f"exists(w, x -> char_length(x) > {LONG_WORD})"),
+        ("w", f"if(long_words, flatten(transform(w, x -> if(char_length(x) > {LONG_WORD}, transform(split(x, ''), c -> concat(' ', c)), array(x)))), w)"),
         ("scale", f"greatest(0, cast(ceil(log2(size(w) + 1)) as int) - {PLACE})"),
-        ("s", f"""if(size(w) = 0, array(), sort_array(if(by_char,
-            transform(sequence(0, greatest(size(w) - {CHARS}, 0)), i -> (xxhash64({chars}) & ~{LOW}L) | shiftright(cast(i as bigint), scale)),
-            transform(sequence(0, greatest(size(w) - {k}, 0)), i -> (xxhash64({words}) & ~{LOW}L) | shiftright(cast(i as bigint), scale)))))"""),
+        ("s", f"""if(size(w) = 0, array(), sort_array(if(long_words,
+            transform({at}, i -> (if(startswith(get(w, i), ' '), xxhash64({chars}), xxhash64({words})) & ~{LOW}L) | shiftright(cast(i as bigint), scale)),
+            transform({at}, i -> (xxhash64({words}) & ~{LOW}L) | shiftright(cast(i as bigint), scale)))))"""),
         # how many equal ones stand before the i-th of a sorted list, by binary search in its run
         ("y", f"""transform(s, (v, i) -> if(i > 0 and (get(s, i - 1) & ~{LOW}L) = (v & ~{LOW}L),
             (xxhash64(v & ~{LOW}L, aggregate(sequence(cast(log2(size(s)) as int), 0, -1), 0, (r, b) ->
@@ -107,10 +111,10 @@ def fingerprints(df: DataFrame, tuples: int = 32, k: int = 2, text: str = "text"
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
     The edited text is the text with its last third replaced by the start of the next document's, in
-    descending key, after the last the first. K-mers are runs of k words (fewer words make one k-mer; in a text
-    with more than LONG_WORD characters to a word, as without blanks, runs of CHARS characters), numbered by
-    occurrence, so a fingerprint tells order and repetition: its likeness to another, the share of equal
-    tuples, falls with the edit distance.
+    descending key, after the last the first. K-mers are runs of k words (fewer words make one k-mer; within a word
+    of more than LONG_WORD characters, as in texts without blanks, runs of CHARS characters from each of its characters
+    on), numbered by occurrence, so a fingerprint tells order and repetition: its likeness to another, the share of
+    equal tuples, falls with the edit distance. An edit changes the k-mers that it touches, and no others.
 
     Rows are dealt once into ranges of (key, hash of the text) of like size; the first row of each range also
     goes to the end of the range before it, so that the next document is always in the same partition. All that

@@ -380,14 +380,14 @@ def test_fingerprints_know_order_and_repetition(spark):
 def order_minhash_plainly(text, tuples=32, k=2):
     """The tuples of a text as (first k-mer, its occurrence number, second, its number), by a sort of all k-mers; hashes
     and permutations are the operator's, by Spark's own xxhash64 over a table of the k-mers."""
-    words = WORD.findall(text)
-    grams = [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    items = [x for w in WORD.findall(text) for x in ([" " + c for c in w] if len(w) > 24 else [w])]
+    grams = [tuple(items[i : i + (8 if items[i][0] == " " else k)]) for i in range(max(1, len(items) - k + 1))] if items else []
     seen = Counter()
     return [(g, seen.update([g]) or seen[g] - 1, i) for i, g in enumerate(grams)]
 
 
 def test_order_minhash_equals_a_plain_one(spark):
-    texts = ["a b c d a b c a b", "x", "", "one two", " ".join(f"w{i % 37}" for i in range(400)), "d c b a", "b c d a b c a b a"]
+    texts = ["a b c d a b c a b", "x", "", "one two", " ".join(f"w{i % 37}" for i in range(400)), "d c b a", "b c d a b c a b a", "y" * 24 + " " + "y" * 25 + " a b", "".join(chr(0x4E00 + i * i % 50) for i in range(90)), "z" * 31]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
     got = {r.id: r.sig for r in order_minhash.signatures(df, ["id"], "body", 32, 2).collect()}
     grams = sorted({g for t in texts for g, _, _ in order_minhash_plainly(t)})
@@ -417,6 +417,20 @@ def test_fingerprints_of_shared_keys_and_texts_without_blanks(spark):
     assert sum(prints[300][j : j + 8] == prints[201][j : j + 8] for j in range(0, 256, 8)) > 3
 
 
+def test_likeness_has_no_edge_at_long_words(spark):
+    """Likeness falls with what is added, whatever the length of words is on average before and after."""
+    words = [f"{i:022d}" for i in range(200)]
+    added = ["".join(chr(97 + i * i * 7 % 26) for i in range(n)) for n in (0, 30, 100, 300, 600)]
+    texts = [" ".join(words + [x]) for x in added] + [" ".join(words[:100] + [words[100] + "abc"] + words[101:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    sig = {r.id: r.sig for r in order_minhash.signatures(df, ["id"], "body", 256, 2).collect()}
+    near = [np.mean([x == y for x, y in zip(sig[0], sig[i])]) for i in range(len(texts))]
+    assert near[0] == 1.0 and min(near[1], near[5]) > 0.6
+    assert all(a > b > 0.01 for a, b in zip(near, near[1:5]))
+    rows = [(2, " ".join(words)), (1, " ".join(words + [added[3]]))]
+    assert order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 256).where("doc_id = 2").first().near_next > 0.05
+
+
 def test_language_model_counts(spark, sf, corpus):
     got = {r.doc_id: r for r in catalogue.queries()["op9_class_lm"](spark, sf).collect()}
     tokens = {i: (t or "").encode().lower().split() + ["END"] for i, t, _ in corpus}
