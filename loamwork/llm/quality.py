@@ -18,7 +18,7 @@ from loamwork.llm.common import batch, blocks, documents, lean, trim
 from loamwork.llm.weak import LabelModel, feature, fit_linear
 
 SIZE = 1 << 16
-#: The scorer is fitted on about this many rows at most, those with the least hash.
+#: The scorer is fitted on about this many rows at most, those with the least hash; equal rows of one key are one.
 FIT_ROWS = 12_000
 TRAITS = ("repeats", "distinct", "bigrams", "upper", "symbols", "lines", "letters", "ends", "marked", "length")
 
@@ -192,8 +192,8 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int =
 
     Labellers vote on every row; votes are counted by pattern in Spark (at most 2 ** 12 patterns) and EM
     estimates labeller accuracies from these counts over the whole table. The linear scorer is fitted to
-    the posteriors of a bounded sample, the rows of least hash, about fit_rows of them; they come to the
-    driver packed, a row for each block of texts.
+    the posteriors of a bounded sample, the rows of least hash, about fit_rows of them, of which equal rows of one key
+    come once however often they occur; they come to the driver packed, a row for each block of texts.
     """
     docs = df.select(F.col(text).alias("text_body"), F.xxhash64(key, text).alias("h"))
     total = docs.count()
@@ -226,7 +226,9 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int =
         counts[r["votes"]] = r["count"]
     labels = LabelModel([p for p, _ in LABELLERS], silence=False).fit(counts)
     posterior = labels.posterior()
-    packed = docs.where(F.pmod("h", F.lit(2**40)) < edge).select("text_body").mapInArrow(lean(sample), "votes binary, sizes binary, features binary, amounts binary").collect()
+    parts = max(1, min(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = docs.where(F.pmod("h", F.lit(2**40)) < edge).groupBy("h").agg(F.first("text_body").alias("text_body")).select("text_body").repartition(parts)
+    packed = some.mapInArrow(lean(sample), "votes binary, sizes binary, features binary, amounts binary").collect()
     fired, rows = unpacked(packed)
     del packed
     weights, bias = fit_linear(rows, posterior[fired], SIZE, l1=1e-5)
