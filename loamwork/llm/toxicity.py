@@ -113,33 +113,36 @@ def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: s
     """The classifier's weights, bias and label model.
 
     Only labels of rows for which SQL `learn` holds are read. A bounded sample, three quarters labelled rows and one quarter
-    rows without a label, both by least hash, is what the classifier is fitted to; its labelled rows give the induced
-    lexicons. All voters vote once on all rows for which `learn` holds, labelled or not; counts by pattern and label,
+    rows without a label, both by least hash, is what the classifier is fitted to, a text an id, of least hash; its
+    labelled rows give the induced lexicons. All voters vote once on all rows for which `learn` holds, labelled or not; counts by pattern and label,
     at most 3 * 2 ** 12, go to EM. The target of every sampled row is its posterior by its votes, to which a label
     adds its own evidence.
     """
     spark = df.sparkSession
-    docs = df.where(learn).select(F.col(key).alias("id"), F.col(text).alias("text_body"))
+    docs = df.where(learn).select(F.col(key).alias("id"), F.col(text).alias("text_body"), F.xxhash64(text).alias("h"))
     named = labels.select(F.col("doc_id").alias(key), "toxic")
     known = named.where(learn).where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("toxic").alias("toxic"))
     # at most fit_rows ids and labels
     ids = docs.select("id").where("id is not null").distinct().join(known, "id", "left")
     some = int(fit_rows * LABELLED)
     chosen = saved(ids.where("toxic is not null").orderBy(F.xxhash64("id"), "id").limit(some).union(ids.where("toxic is null").orderBy(F.xxhash64("id"), "id").limit(fit_rows - some)), "chosen")
-    schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("text_votes", pa.binary()), ("features", pa.binary()), ("amounts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary()), ("amounts", pa.binary())])
 
     def sample(batches):
         table = _Words(word_features)
         for rows in blocks(batches, 2_000_000, "text_body"):
             out = []
-            for i, y, x in zip(rows["id"], rows["toxic"], rows["text_body"]):
+            for i, h, y, x in zip(rows["id"], rows["h"], rows["toxic"], rows["text_body"]):
                 f, v = features(distinct(x), table)
-                out.append((i, y, None, f.tobytes(), v.tobytes()))
+                out.append((i, h, y, f.tobytes(), v.tobytes()))
             yield batch(schema, *zip(*out))
 
-    # at most fit_rows ids and labels are broadcast
-    got = docs.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), F.col("toxic").cast("int"), "text_body").mapInArrow(lean(sample), "id long, toxic int, text_votes binary, features binary, amounts binary").collect()
-    got = sorted(got, key=lambda r: (r["id"], bytes(r["features"])))
+    # at most fit_rows ids and labels are broadcast; a row of each id comes back, however many it has
+    parts = max(1, min(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    one = docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("toxic").cast("int").alias("toxic"), F.min(F.struct("h", "text_body")).alias("x"))
+    one = one.select(F.col("id").cast("long"), F.col("x.h").alias("h"), "toxic", F.col("x.text_body").alias("text_body")).repartition(parts)
+    got = one.mapInArrow(lean(sample), "id long, h long, toxic int, features binary, amounts binary").collect()
+    got.sort(key=lambda r: r["id"])
     rows = [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["amounts"], np.uint8)) for r in got]
     label = np.array([-1 if r["toxic"] is None else r["toxic"] > 0 for r in got], int)
     induced = induce(rows, label)
@@ -147,21 +150,21 @@ def fit(df: DataFrame, labels: DataFrame, learn: str, text: str = "text", key: s
 
     def vote(batches):
         table = _Words(marks(shared.value))
-        out = pa.schema([("id", pa.int64()), ("votes", pa.int32())])
+        out = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("votes", pa.int32())])
         for r in blocks(batches, 2_000_000, "text_body"):
-            yield batch(out, r["id"], [votes(x, distinct(x), table) for x in r["text_body"]])
+            yield batch(out, r["id"], r["h"], [votes(x, distinct(x), table) for x in r["text_body"]])
 
     counts = np.zeros((3, 2 ** len(POLARITY)))
-    polled = saved(docs.select(F.col("id").cast("long"), "text_body").mapInArrow(lean(vote), "id long, votes int"), "votes")
+    polled = saved(docs.select(F.col("id").cast("long"), "h", "text_body").mapInArrow(lean(vote), "id long, h long, votes int"), "votes")
     for r in polled.join(known, "id", "left").groupBy("votes", "toxic").count().collect():
         counts[0 if r["toxic"] is None else 1 + (r["toxic"] > 0), r["votes"]] += r["count"]
     model = LabelModel(POLARITY, prior=0.12, trust=0.999).fit(*counts)
 
     trust = np.log(model.trust / (1 - model.trust))
     believed = {y: model.posterior(e) for y, e in ((-1, 0.0), (0, -trust), (1, trust))}
-    own = {}
-    for r in polled.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("votes").alias("votes")).collect():
-        own[r["id"]] = r["votes"]
+    # the votes of each sampled id's own text: ids and hashes, at most fit_rows, are broadcast
+    read = spark.createDataFrame([(r["id"], r["h"]) for r in got], "id long, h long")
+    own = {r["id"]: r["votes"] for r in polled.join(F.broadcast(read), ["id", "h"]).groupBy("id").agg(F.min("votes").alias("votes")).collect()}
     target = np.array([believed[int(y)][own[r["id"]]] for r, y in zip(got, label)])
     # a strong penalty picks the features, a weak one fits their weights
     picked = fit_linear(rows, target, SIZE, l1=2e-3)[0] != 0
@@ -197,8 +200,8 @@ def classify(df: DataFrame, labels: DataFrame, held_out: str, text: str = "text"
 
     A score depends on the text alone; held_out is SQL of the rows that nothing is learned from. Null,
     empty and blank texts have no words and get the score of the bias; texts of any length are read
-    whole; equal texts get equal scores; null keys are kept, and learned from like others. Without
-    labels the score is that of a model without features. Repeated labels of one id count once, the
+    whole; equal texts get equal scores; null keys are kept, and their votes counted, but the sample has none of them;
+    of several rows of one key the sample has one. Without labels the score is that of a model without features. Repeated labels of one id count once, the
     greater. An empty table gives no rows. Other columns are left out.
     """
     toxic = scorer(df.sparkSession, fit(df, labels, f"not coalesce({held_out}, false)", text, key, fit_rows))

@@ -109,6 +109,27 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.classify(empty(spark), labels, "false").count() == 0
 
 
+def test_samples_are_bounded_though_rows_repeat(spark, monkeypatch):
+    """Many equal rows, or many rows of one key, don't fill the samples that come to the driver."""
+    sizes, own = [], (quality.fit_linear, toxicity.fit_linear)
+    monkeypatch.setattr(quality, "fit_linear", lambda rows, *a, **k: sizes.append(len(rows)) or own[0](rows, *a, **k))
+    monkeypatch.setattr(toxicity, "fit_linear", lambda rows, *a, **k: sizes.append(len(rows)) or own[1](rows, *a, **k))
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").where("doc_id < 200").select("doc_id", "text")
+    equal = spark.range(20_000).selectExpr("7L as doc_id", "'one text that is in the table very often' as text")
+    model = quality.fit(docs.union(equal))
+    assert sizes.pop() <= 201 and model["labels"].prior > 0
+    # without a share, each row is sampled: the many equal ones once
+    model = quality.fit(docs.union(equal), fit_rows=30_000)
+    assert sizes.pop() == 201
+    many = spark.range(20_000).selectExpr("7L as doc_id", "concat('you are an idiot ', id) as text")
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(100)], "doc_id long, toxic int")
+    for rows in (docs.union(many), docs.union(many).repartition(5)):
+        model = toxicity.fit(rows, labels, "true")
+        assert sizes[-2:] == [200, 200]
+        sizes.append(model["bias"])
+    assert sizes[2] == sizes[5]
+
+
 def test_pipeline_stages_keep_their_rules(spark, sf, tmp_path):
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
