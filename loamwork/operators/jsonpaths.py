@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,12 @@ def _rendered(v) -> tuple[str, str]:
     return ("num" if isinstance(v, (int, float)) else "str"), str(v)
 
 
+@lru_cache(1 << 16)
+def _written(path: tuple) -> tuple[str, int, list[str]]:
+    """Text, depth and steps of a path; documents of a kind share their paths."""
+    return path_text(list(path)), len(path), [str(s) for s in path]
+
+
 def json_leaves(df: DataFrame, key: str, body: str = "json") -> DataFrame:
     """(key, path, depth, steps, kind, value): every scalar, nulls too; empty containers and bad JSON give none.
 
@@ -85,20 +92,26 @@ def json_leaves(df: DataFrame, key: str, body: str = "json") -> DataFrame:
     key_type = df.schema[key].dataType
     schema = pa.schema([("k", to_arrow_type(key_type)), ("path", pa.string()), ("depth", pa.int32()), ("steps", pa.list_(pa.string())), ("kind", pa.string()), ("value", pa.string())])
 
+    def batch(keys, rows):
+        paths = [_written(p) for p, _ in rows]
+        seen = [_rendered(v) for _, v in rows]
+        columns = [keys, *([p[i] for p in paths] for i in range(3)), *([v[i] for v in seen] for i in range(2))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
     def run(batches):
         for b in batches:
-            out = []
+            keys, rows = [], []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     obj = json.loads(text) if text else {}
                 except (ValueError, RecursionError):
                     continue
-                for path, v in _leaves(obj):
-                    out.append((k, path_text(list(path)), len(path), [str(s) for s in path], *_rendered(v)))
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
-                    out = []
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+                rows.extend(_leaves(obj))
+                keys.extend([k] * (len(rows) - len(keys)))
+                if len(rows) >= 20_000:
+                    yield batch(keys, rows)
+                    keys, rows = [], []
+            yield batch(keys, rows)
 
     fields = [T.StructField("k", key_type), *[T.StructField(n, t) for n, t in (("path", T.StringType()), ("depth", T.IntegerType()), ("steps", T.ArrayType(T.StringType())), ("kind", T.StringType()), ("value", T.StringType()))]]
     return df.select(key, body).mapInArrow(run, T.StructType(fields)).withColumnRenamed("k", key)
@@ -124,17 +137,24 @@ def value_hits(leaves: DataFrame, known: DataFrame, sample: str, number: Column)
     scale: numbers as they are or times 10 000, within a relative 1e-9; others as stripped text, scale 1.
 
     A band join: a known amount lies in its bin and both neighbours, a leaf in its own, so that what meets is compared
-    exactly once. Texts meet by equality. Infinite amounts match nothing.
+    exactly once. Texts meet by equality, under keys of their own, so that the leaves are read once. Infinite amounts match nothing. Both sides are as many rows as the documents hold
+    values, which the estimate of an exploded table doesn't show: they meet sorted, and neither is sent to the driver.
     """
     amount = to_float(F.col("want"))
-    finite = amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) < float("inf"))
-    near = known.where(number & finite).withColumn("scale", F.explode(F.array(F.lit(1), F.lit(SCALE))))
-    near = near.withColumn("_key", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _bin(amount / F.col("scale")) + d)))
+    key = lambda scale, bin_: F.struct(F.lit(scale).alias("scale"), F.concat(F.lit("n"), bin_.cast("string")).alias("_key"))
+    near = F.when(_finite(F.col("_amount")), F.array(*[key(s, _bin(F.col("_amount") / s) + d) for s in (1, SCALE) for d in (-1, 0, 1)]))
+    text = F.when(F.col("want").isNotNull(), F.array(F.struct(F.lit(1).alias("scale"), F.concat(F.lit("t"), strip(F.col("want"))).alias("_key"))))
+    asked = known.withColumn("_amount", F.when(number, amount)).withColumn("_number", number)
+    asked = asked.select("*", F.inline(F.when(F.col("_number"), near).otherwise(text)))
     leaf = F.when(F.col("kind").isin("num", "str"), to_float(F.col("value")))
-    amounts = leaves.where(leaf.isNotNull() & (F.abs(leaf) < float("inf"))).withColumn("_key", _bin(leaf))
-    numbers = amounts.join(near, [sample, "_key"]).where(close(leaf * F.col("scale"), amount)).drop("_key")
-    texts = leaves.withColumn("_key", strip(F.col("value"))).join(known.where(~number & F.col("want").isNotNull()).withColumn("_key", strip(F.col("want"))).withColumn("scale", F.lit(1)), [sample, "_key"]).drop("_key")
-    return numbers.unionByName(texts)
+    held = leaves.withColumn("_leaf", leaf)
+    held = held.withColumn("_key", F.explode(F.array_compact(F.array(F.when(_finite(F.col("_leaf")), F.concat(F.lit("n"), _bin(F.col("_leaf")).cast("string"))), F.concat(F.lit("t"), strip(F.col("value")))))))
+    both = held.join(asked.hint("merge"), [sample, "_key"])
+    return both.where(~F.col("_number") | close(F.col("_leaf") * F.col("scale"), F.col("_amount"))).drop("_key", "_leaf", "_amount", "_number")
+
+
+def _finite(amount: Column) -> Column:
+    return amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) < float("inf"))
 
 
 def discover(leaves: DataFrame, oracle: DataFrame, sample: str, numeric: list[str], skip: list[str] = (), by: list[str] = ()) -> DataFrame:
@@ -148,12 +168,13 @@ def discover(leaves: DataFrame, oracle: DataFrame, sample: str, numeric: list[st
     known = oracle.where(~F.col("field").isin(list(skip)) if skip else F.lit(True))
     whole = known.groupBy(*by, "field").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col(sample))).alias("_n"))
     if by:
-        whole = whole.join(oracle.groupBy(*by).agg(F.count_distinct(sample).alias("_all")), by)
+        whole = whole.join(oracle.groupBy(*by).agg(F.count_distinct(sample).alias("_all")).hint("merge"), by)
     else:
         whole = whole.withColumn("_all", F.lit(oracle.agg(F.count_distinct(sample)).first()[0]))
-    whole = whole.where("_n = _all").select(*by, "field", "_all")
+    whole = whole.where("_n = _all").select(*by, "field", F.col("_n").alias("_whole"))
     number = F.col("field").isin(list(numeric)) if numeric else F.lit(False)
-    hits = value_hits(leaves.select(sample, "path", "depth", "steps", "kind", "value"), known.join(whole, [*by, "field"]).select(*by, sample, "field", "_all", F.col("value").alias("want")), sample, number)
-    held = hits.groupBy(*by, "field", "_all", "path", "depth", "steps", "scale").agg(F.count_distinct(sample).alias("_n")).where("_n = _all")
+    hits = value_hits(leaves.select(sample, "path", "depth", "steps", "kind", "value"), known.select(*by, sample, "field", F.col("value").alias("want")), sample, number)
+    # paths are counted first and meet the samples' number then: the known values themselves meet the leaves alone
+    held = hits.groupBy(*by, "field", "path", "depth", "steps", "scale").agg(F.count_distinct(sample).alias("_n")).join(whole.hint("merge"), [*by, "field"]).where("_n = _whole")
     first = held.groupBy(*by, "field").agg(F.min(F.struct("depth", "steps", "scale", "path")).alias("_f"))
     return first.select(*by, "field", F.col("_f.path").alias("path"), F.when(number, F.col("_f.scale")).alias("scale"))

@@ -62,3 +62,12 @@ def test_each_family_is_discovered_on_its_own_samples(spark):
     known = spark.createDataFrame([("a", 1, "n", "50000"), ("a", 2, "n", "60,000"), ("b", 3, "n", "7"), ("b", 4, "n", "80000"), ("a", 1, "t", "one"), ("a", 2, "t", "two"), ("b", 3, "t", "three"), ("b", 4, "t", None)], "family string, page_id long, field string, value string")
     got = {(r.family, r.field, r.path, r.scale) for r in jsonpaths.discover(jsonpaths.json_leaves(samples, "page_id"), known, "page_id", ["n"], by=["family"]).collect()}
     assert got == {("a", "n", "$['x']", 10_000), ("a", "t", "$['t']", None), ("b", "n", "$['y']['x']", 10_000)}
+
+
+def test_discovery_sends_no_values_to_the_driver(spark, sf):
+    """However small an exploded table is thought to be, known values and leaves meet in an exchange."""
+    from loamwork import catalogue
+
+    plan = catalogue.queries()["discover_paths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.count("MapInArrow") == 1  # the leaves are read once
