@@ -71,3 +71,13 @@ def test_discovery_sends_no_values_to_the_driver(spark, sf):
     plan = catalogue.queries()["discover_paths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert plan.count("MapInArrow") == 1  # the leaves are read once
+
+
+def test_field_map_from_discovery_sends_no_values_to_the_driver(spark, sf, monkeypatch):
+    from loamwork import catalogue
+    from loamwork.plans import promote
+
+    plans, made = [], promote.field_map_of
+    monkeypatch.setattr(promote, "field_map_of", lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or made(found))
+    assert catalogue.queries()["field_map_from_discovery"](spark, sf).count() == 3
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
