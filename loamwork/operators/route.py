@@ -93,17 +93,17 @@ def frontier(links: DataFrame, seen: DataFrame) -> DataFrame:
     return links.groupBy(F.col("link").alias("url")).agg(F.min(F.struct("page_id", "link_ix")).alias("ord")).join(seen.select("url").distinct(), "url", "left_anti")
 
 
-def follow(starts: DataFrame, edges: DataFrame, max_pages: int = 10) -> DataFrame:
+def follow(starts: DataFrame, edges: DataFrame, max_pages: int = 10, on: str = "url") -> DataFrame:
     """(start, depth, url): pages reached by next links from each start, until there is none or max_pages.
 
-    Cycles go round until the cap, and repeat. edges: (url, next_url), one row per url. max_pages bounds
-    the joins of the plan.
+    Cycles go round until the cap, and repeat. edges: (url, next_url), one row per url. Where pages share URLs, `on` names a
+    column that tells them apart, in place of url: edges are (on, next_<on>) then. max_pages bounds the joins of the plan.
     """
-    step = starts.select(F.col("url").alias("start"), F.lit(1).alias("depth"), "url")
+    step = starts.select(F.col(on).alias("start"), F.lit(1).alias("depth"), on)
     walked = step
-    links = edges.select("url", "next_url").where("next_url is not null")
+    links = edges.select(on, f"next_{on}").where(F.col(f"next_{on}").isNotNull())
     for depth in range(2, max_pages + 1):
-        step = step.join(links, "url").select("start", F.lit(depth).alias("depth"), F.col("next_url").alias("url"))
+        step = step.join(links, on).select("start", F.lit(depth).alias("depth"), F.col(f"next_{on}").alias(on))
         walked = walked.unionByName(step)
     return walked
 
@@ -162,11 +162,11 @@ def sample_families(pages: DataFrame, seeds: DataFrame, wanted: int = 3, attempt
     return tried.where("page_id is not null").select("family", "sample", "attempt", "page_id", "url")
 
 
-def recorded(walked: DataFrame, pages: DataFrame) -> DataFrame:
-    """(start, pages): what each walk (start, depth, url) saw, in order: an array of structs depth, page_id, url and the
+def recorded(walked: DataFrame, pages: DataFrame, on: str = "url") -> DataFrame:
+    """(start, pages): what each walk (start, depth, url; or follow's `on` in place of url) saw, in order: an array of structs depth, page_id, url and the
     SHA-256 of the page. A walk has no more pages than follow's cap. URLs that are not stored were seen by nobody."""
-    own = pages.groupBy("url").agg(F.min_by(F.struct("page_id", F.sha2(F.col("html"), 256).alias("sha")), "page_id").alias("p"))
-    seen = walked.join(own, "url").select("start", F.struct("depth", "p.page_id", "url", "p.sha").alias("s"))
+    own = pages.groupBy(F.col(on).alias("_on")).agg(F.min_by(F.struct("page_id", "url", F.sha2(F.col("html"), 256).alias("sha")), "page_id").alias("p"))
+    seen = walked.join(own, F.col(on) == F.col("_on")).select("start", F.struct("depth", "p.page_id", "p.url", "p.sha").alias("s"))
     return seen.groupBy("start").agg(F.array_sort(F.collect_list("s")).alias("pages"))
 
 

@@ -74,3 +74,15 @@ def test_titles_keep_the_references_that_their_sql_keeps(spark, tmp_path):
     got = sorted((r.page_id, r.title) for r in catalogue.queries()["select_title"](spark, str(tmp_path)).collect())
     assert got == sorted(duckdb.sql(f"with pages as (from '{tmp_path}/pages.parquet/*.parquet') {catalogue.oracle_sql()['select_title']}").fetchall())
     assert dict(got)[0] == "a&amp" and dict(got)[1] == "x = &quot;1&quot; &copy;"
+
+
+def test_provenance_tells_pages_of_one_url_apart(spark, tmp_path):
+    import duckdb
+
+    from loamwork import catalogue
+
+    rows = [(i, f"http://h/{i % 5}", f"<p>{i}</p>") for i in range(16)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.start, r.page_id, r.seen) for r in catalogue.queries()["record_provenance"](spark, str(tmp_path)).select("start", "page_id", "seen").collect())
+    sql = catalogue.oracle_sql()["record_provenance"].replace("WITH RECURSIVE ", f"WITH RECURSIVE pages AS (FROM '{tmp_path}/pages.parquet/*.parquet'), ", 1)
+    assert got == sorted(duckdb.sql(sql).fetchall())
