@@ -33,6 +33,12 @@ def _text(df: DataFrame, name: str) -> Column:
     return (F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")).alias(name)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """df, a row or more a page, for a join with another such table. Columns of few values and computed ones make it look small
+    enough for a broadcast, which would take it through the driver: they meet sorted. Tables by family are left to Spark."""
+    return df.hint("merge")
+
+
 def discovered_maps(samples: DataFrame, known: DataFrame, schema: Schema) -> DataFrame:
     """(family, spec): for each family the field map of the paths at which the known values lie in all its samples.
 
@@ -58,7 +64,7 @@ def reproducing(maps: DataFrame, samples: DataFrame, known: DataFrame, schema: S
     first = samples.groupBy("family").agg(F.min_by(F.struct("page_id", "json"), "page_id").alias("f")).select("family", "f.*")
     got = apply_specs(first.join(maps.select("family", "spec"), "family"), schema.names)
     want = known.where("item_ix = 0").select("family", "page_id", F.struct(*schema.names).alias("want"))
-    both = got.join(want, ["family", "page_id"])
+    both = got.join(_large(want), ["family", "page_id"])
     filled = sum((F.col("want")[n].isNotNull().cast("int") for n in schema.names), F.lit(0))
     hit = sum((F.coalesce(values_agree(F.col(n), F.col("want")[n]), F.lit(False)).cast("int") for n in schema.names), F.lit(0))
     return both.where((filled == 0) | (hit >= bar * filled)).select("family", "spec")
@@ -149,7 +155,7 @@ class Regeneration:
             rows = self.oracle(model)
             own = rows.select("family", "page_id", "item_ix", *[_text(rows, n) for n in self.schema.names]).join(open_.where(F.col("model") == model).select("family"), "family", "left_semi")
             out = own if out is None else out.unionByName(own)
-        return out.join(self.samples.select("family", "page_id"), ["family", "page_id"], "left_semi")
+        return out.join(_large(self.samples.select("family", "page_id")), ["family", "page_id"], "left_semi")
 
     def _runs(self, candidates: DataFrame, pages: DataFrame, known: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         """(records, runs) of each family's candidates on its pages."""
@@ -159,7 +165,7 @@ class Regeneration:
         want = known.select("family", "page_id", "item_ix", *names).join(candidates.select("family", "ord"), "family")
         detail = agreement_detail(got, want, by, self.schema.align_key, "item_ix", names, self.schema.volatile)
         sound = check_items(got, self.schema).select(*by, (~F.col("invalid")).alias("schema_ok"))
-        runs = detail.join(sound, by, "left").select("family", F.col("ord").cast("string").alias("candidate"), "ord", F.lit(kind).alias("kind"), F.lit(False).alias("error"), "schema_ok", "mean", "min_item", "count_match")
+        runs = detail.join(_large(sound), by, "left").select("family", F.col("ord").cast("string").alias("candidate"), "ord", F.lit(kind).alias("kind"), F.lit(False).alias("error"), "schema_ok", "mean", "min_item", "count_match")
         return got, runs
 
     def _candidates(self, ready: DataFrame, pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ class Regeneration:
         made = discovered_maps(pages.join(new, "family", "left_semi"), known.join(new, "family", "left_semi"), self.schema).select("family", F.lit(0).alias("ord"), F.lit("discovery").alias("origin"), "spec")
         if self.propose is not None:
             first = pages.join(new, "family", "left_semi").groupBy("family").agg(F.min_by(F.struct("page_id", "json"), "page_id").alias("f")).select("family", "f.*")
-            shown = first.join(known.where("item_ix = 0").select("family", "page_id", F.to_json(F.struct(*self.schema.names)).alias("known")), ["family", "page_id"])
+            shown = first.join(_large(known.where("item_ix = 0").select("family", "page_id", F.to_json(F.struct(*self.schema.names)).alias("known"))), ["family", "page_id"])
             maps = kept(self.propose(shown).select("family", "spec"), "proposed")
             made = made.unionByName(reproducing(maps, pages, known, self.schema).select("family", F.lit(1).alias("ord"), F.lit("map").alias("origin"), "spec"))
         generated = self.generate(ready.select("family", "round", "model", "report"))
@@ -187,8 +193,8 @@ class Regeneration:
         """(family, warnings): volatile amounts of the winner's first page that moved far from the URL's last run."""
         names, key = self.schema.names, self.schema.align_key
         first = pages.groupBy("family").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("f")).select("family", "f.page_id", "f.url")
-        new = records.join(won.select("family", "ord"), ["family", "ord"], "left_semi").join(first.select("family", "page_id"), ["family", "page_id"]).select("family", "item_ix", *names)
-        last = latest_history(s.table("run_history"), ["family", "url"]).join(first.select("family", "url"), ["family", "url"])
+        new = records.join(won.select("family", "ord"), ["family", "ord"], "left_semi").join(first.select("family", "page_id"), ["family", "page_id"], "left_semi").select("family", "item_ix", *names)
+        last = latest_history(s.table("run_history"), ["family", "url"]).join(first.select("family", "url"), ["family", "url"], "left_semi")
         kind = "array<struct<" + ",".join(f"`{n}`:string" for n in names) + ">>"
         old = last.select("family", F.posexplode(F.from_json("extracted_json", kind)).alias("item_ix", "x")).select("family", "item_ix", "x.*")
         moved = history_jumps(aligned_pairs(new, old, ["family"], key, "item_ix", names), names, self.schema.volatile, key or names[0], by=["family"])
@@ -208,7 +214,7 @@ class Regeneration:
         seen = self.samples.join(open_.select("family"), "family", "left_semi").groupBy("family").agg(F.count_distinct("page_id").alias("seen"))
         counted = kept(open_.join(usable, "family", "left").join(seen, "family", "left").na.fill(0, ["usable", "seen"]), "counted")
         ready = counted.where(F.col("usable") >= self.min_oracles)
-        pages = kept(self.samples.join(ready.select("family"), "family", "left_semi").join(known.select("family", "page_id").distinct(), ["family", "page_id"], "left_semi"), "samples")
+        pages = kept(self.samples.join(ready.select("family"), "family", "left_semi").join(_large(known.select("family", "page_id").distinct()), ["family", "page_id"], "left_semi"), "samples")
         candidates = self._candidates(ready, pages, known)
 
         records, runs = self._runs(candidates, pages, known, "sample")
@@ -255,7 +261,7 @@ class Regeneration:
 
         own = known.select("family", "page_id", F.struct("item_ix", *self.schema.names).alias("r")).groupBy("family", "page_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
         expected = own.select("family", "page_id", F.to_json(F.transform("r", lambda x: F.struct(*[x[n].alias(n) for n in self.schema.names])), {"ignoreNullFields": "false"}).alias("expected"))
-        golden = pages.join(promoted.select("family"), "family", "left_semi").select("family", "page_id", "json").join(expected, ["family", "page_id"])
+        golden = pages.join(promoted.select("family"), "family", "left_semi").select("family", "page_id", "json").join(_large(expected), ["family", "page_id"])
         golden = numbered(golden, [F.col("page_id")], ["family"]).select("family", F.col("place").cast("int").alias("sample"), "page_id", "json", "expected")
         fixtures = s.table("fixtures").join(promoted.select("family"), "family", "left_anti").unionByName(golden)
 

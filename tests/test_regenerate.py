@@ -1,6 +1,7 @@
 """Regeneration of families as rows: rounds, models, resumption, fixtures, audit."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,24 @@ def test_a_round_is_refused_if_the_family_changed_meanwhile(spark, tmp_path, mon
     with pytest.raises(Conflict):
         one.step()
     assert [(r.n, r.status) for r in one.store.read().table("versions").collect()] == [(9, "active")]
+
+
+def test_tables_by_page_are_not_sent_to_the_driver(spark, sf, monkeypatch):
+    """However small the loop's tables look, those with a row a page meet in exchanges."""
+    from loamwork import catalogue
+    from loamwork.operators import numbering
+    from loamwork.plans import regenerate
+
+    plans, kept = {}, regenerate.kept
+
+    def seen(df, tag):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag)
+
+    monkeypatch.setattr(regenerate, "kept", seen)
+    monkeypatch.setattr(numbering, "kept", seen)
+    assert catalogue.queries()["loop_promote"](spark, sf).count()
+    assert {"known", "samples", "candidates", "scores", "promoted", "numbered"} <= plans.keys()
+    found = {tag: [x for p in own for x in re.findall(r"BroadcastHashJoin \[[^\]]*(?:page_id|sample)#.*", p)] for tag, own in plans.items()}
+    # a winner's warnings read one page a family, which is a table by family
+    assert not {tag: x for tag, own in found.items() if (x := [j for j in own if tag != "promoted" or "LeftSemi" not in j])}
