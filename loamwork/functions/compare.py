@@ -24,16 +24,17 @@ def money_of(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("num", "str"), parse_money(text))
 
 
-def field_equal(kind_a: Column, a: Column, kind_b: Column, b: Column, volatile: bool | Column = False, strict: bool = False) -> Column:
+def field_equal(kind_a: Column, a: Column, kind_b: Column, b: Column, volatile: bool | Column = False, strict: bool = False, money: tuple[Column, Column] | None = None) -> Column:
     """Whether two tagged values (kind and text) are equal.
 
     Nulls equal nulls only. A flag equals a flag, or the number it stands for. Where both read as
     money, amounts decide: exactly, or for volatile fields within a relative 1e-9 of the left one.
     Two strings that hold numbers thus compare by their first number; strict=True compares strings
-    as text unless both are wholly numbers. Other strings compare with white space collapsed.
+    as text unless both are wholly numbers. Other strings compare with white space collapsed. `money`: both amounts, where they
+    are columns already.
     """
     flag = lambda k, v: F.when(k == "bool", F.when(v == "true", F.lit(1.0)).otherwise(F.lit(0.0))).when(k == "num", v.try_cast("double"))
-    ma, mb = money_of(kind_a, a), money_of(kind_b, b)
+    ma, mb = money or (money_of(kind_a, a), money_of(kind_b, b))
     if strict:
         whole = r"^\s*[^\w\s]?\s*[-+]?\d[\d,]*\.?\d*\s*$"
         ma = F.when((kind_a == "num") | a.rlike(whole), ma)
@@ -49,9 +50,9 @@ def field_equal(kind_a: Column, a: Column, kind_b: Column, b: Column, volatile:
     )
 
 
-def columns_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, volatile: bool = False, strict: bool = False) -> Column:
+def columns_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, volatile: bool = False, strict: bool = False, money: tuple[Column, Column] | None = None) -> Column:
     """field_equal of two typed columns."""
-    return field_equal(F.lit(kind_of(a_type)), a.cast("string"), F.lit(kind_of(b_type)), b.cast("string"), volatile, strict)
+    return field_equal(F.lit(kind_of(a_type)), a.cast("string"), F.lit(kind_of(b_type)), b.cast("string"), volatile, strict, money)
 
 
 def values_agree(got: Column, want: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,19 +18,27 @@ def aligned_pairs(left: DataFrame, right: DataFrame, by: list[str], key: str | N
     """by, pair, and structs a and b (null where a side is shorter): rows of equal rank, each side sorted by
     the key's text, then by position. A missing key sorts as the empty text: where a side has a boolean column
     <key>_given, a null whose key was given sorts as the text None."""
-    def ranked(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame, name: str, other: DataFrame, empty: str) -> DataFrame:
         none = F.when(F.col(f"{key}_given"), "None").otherwise("") if f"{key}_given" in df.columns else F.lit("")
-        order = [F.coalesce(F.col(key).cast("string"), none), F.col(ix)] if key else [F.col(ix)]
-        return df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("pair"), F.struct(*fields).alias(name))
+        text = F.coalesce(F.col(key).cast("string"), none) if key else F.lit("")
+        own, none_of = F.struct(*fields), F.lit(None).cast(other.select(F.struct(*fields)).schema[0].dataType)
+        return df.select(*by, F.lit(name).alias("_side"), text.alias("_text"), F.col(ix).alias(f"_{name}"), F.lit(None).cast(other.schema[ix].dataType).alias(f"_{empty}"), own.alias(name), none_of.alias(empty))
 
-    return ranked(left, "a").join(ranked(right, "b"), [*by, "pair"], "full_outer")
+    # both sides in one exchange by `by`: ranks, pairs and what is made of them need no other
+    both = side(left, "a", right, "b").unionByName(side(right, "b", left, "a"))
+    ranked = both.withColumn("pair", F.row_number().over(Window.partitionBy(*by, "_side").orderBy("_text", "_a", "_b")))
+    # as in a join, rows without a key have no partner
+    apart = F.when(reduce(or_, [F.col(c).isNull() for c in by]), F.col("_side"))
+    return ranked.groupBy(*by, "pair", apart.alias("_apart")).agg(F.first("a", True).alias("a"), F.first("b", True).alias("b")).drop("_apart")
 
 
 def pair_agreement(pairs: DataFrame, fields: list[str], volatile: frozenset[str] | set[str] = frozenset()) -> DataFrame:
     """pairs with `agree` (equal fields) and `total`; a field null on both sides agrees."""
     a, b = (dict((f.name, f.dataType) for f in pairs.schema[s].dataType.fields) for s in ("a", "b"))
-    agree = sum((columns_equal(F.col(f"a.{n}"), a[n], F.col(f"b.{n}"), b[n], n in volatile).cast("int") for n in fields), F.lit(0))
-    return pairs.withColumn("agree", agree).withColumn("total", F.lit(len(fields)))
+    # amounts are read once, in a projection of their own
+    amounts = {f"_{s}{i}": money_of(F.lit(kind_of(t[n])), F.col(f"{s}.{n}").cast("string")) for i, n in enumerate(fields) for s, t in (("a", a), ("b", b))}
+    agree = sum((columns_equal(F.col(f"a.{n}"), a[n], F.col(f"b.{n}"), b[n], n in volatile, money=(F.col(f"_a{i}"), F.col(f"_b{i}"))).cast("int") for i, n in enumerate(fields)), F.lit(0))
+    return pairs.withColumns(amounts).withColumn("agree", agree).withColumn("total", F.lit(len(fields))).drop(*amounts)
 
 
 def agreement_detail(left: DataFrame, right: DataFrame, by: list[str], key: str | None, ix: str, fields: list[str], volatile=frozenset()) -> DataFrame:
