@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.sources.jsonschema import staged
 from loamwork.sources.schemas import Schema
 
 
@@ -50,7 +51,12 @@ def item_failures(items: DataFrame, schema: Schema, item: str = "item") -> DataF
     then keys that it doesn't have. Text that is no JSON gives item: json_invalid."""
     text = items.schema[item].dataType.typeName() == "string"
     v = F.try_parse_json(item) if text else F.col(item)
-    return items.withColumn("failures", F.when(v.isNull(), F.array(F.lit("item: json_invalid"))).otherwise(schema.node.failures(v, F.lit(""))))
+    read = items.withColumn("_v", v)
+    with staged([]) as stages:
+        failures = schema.node.failures(F.col("_v"), F.lit(""))
+    for name, value in stages:
+        read = read.withColumn(name, value)
+    return read.select(*items.columns, F.when(F.col("_v").isNull(), F.array(F.lit("item: json_invalid"))).otherwise(failures).alias("failures"))
 
 
 def list_report(items: Column, schema: Schema, min_fill: float = 0.8) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,8 +44,31 @@ def _at(at: Column, code: Column) -> Column:
     return F.array_compact(F.array(F.concat(at, F.lit(": "), code)))
 
 
+#: While a predicate over a table's rows is made: the columns it needs first, in order; None within lambdas and elsewhere.
+_stages: ContextVar[list[tuple[str, Column]] | None] = ContextVar("stages", default=None)
+
+
+@contextmanager
+def staged(stages: list | None):
+    """Within it, what predicates read more than once goes to `stages` as columns, which stay in generated code; None: no more."""
+    token = _stages.set(stages)
+    try:
+        yield stages
+    finally:
+        _stages.reset(token)
+
+
+def _unstaged(make: Callable[[], Column]) -> Column:
+    """make(), for lambdas, whose variables no column can hold."""
+    with staged(None):
+        return make()
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), the value being worked out once, however often `then` names it."""
+    if (stages := _stages.get()) is not None:
+        stages.append((f"_s{len(stages)}", value))
+        return then(F.col(stages[-1][0]))
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
@@ -175,7 +200,7 @@ def _array(schema: dict, compiled: Callable[[dict], Node]) -> Node:
         for key, name, broken in (("minItems", "too_short", lambda x: size < x), ("maxItems", "too_long", lambda x: size > x)):
             if key in schema:
                 code = code.when(broken(schema[key]), name)
-        inner = F.flatten(F.transform(items, lambda x, i: item.failures(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+        inner = _unstaged(lambda: F.flatten(F.transform(items, lambda x, i: item.failures(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))))
         return F.concat(_at(at, code), F.when(kind_of(v) == "ARRAY", F.coalesce(inner, _none())).otherwise(_none()))
 
     return Node(failures, lambda v: F.to_json(v))
@@ -211,11 +236,11 @@ class ObjectNode(Node):
         parts = []
         for n in [*self.fields, *(n for n in self.required if n not in self.fields)]:
             parts.append(_let(own[n], self._field(n, below)))
-        others = F.array_sort(F.filter(F.map_keys(own), lambda k: ~k.isin(*self.fields) if self.fields else F.lit(True)))
+        others = F.sort_array(F.array_except(F.map_keys(own), F.array(*map(F.lit, self.fields)).cast("array<string>")))
         if self.closed:
             parts.append(F.transform(others, lambda k: F.concat(below, k, F.lit(": extra_forbidden"))))
         elif self.more is not None:
-            parts.append(F.flatten(F.transform(others, lambda k: self.more.failures(own[k], F.concat(below, k)))))
+            parts.append(_unstaged(lambda: F.flatten(F.transform(others, lambda k: self.more.failures(own[k], F.concat(below, k))))))
         return F.concat(*parts) if parts else _none()
 
 

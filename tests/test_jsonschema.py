@@ -148,3 +148,14 @@ def test_answers_and_tails_are_judged_by_the_schema(spark):
 
     got = {r.page_id: r for r in trusted.fill_residual(pages, tail, ["employment_type", "remote", "salary", "location", "none"], schemas.get_schema("JobPosting")).collect()}
     assert [(got[i].employment_type, got[i].remote, got[i].salary, got[i].location) for i in range(3)] == [("full_time", None, None, None), (None, "true", None, None), (None, None, None, None)]
+
+
+def test_scalar_fields_of_rows_are_judged_without_lambdas(spark):
+    """Of a table's rows, what a predicate reads twice is a column, not a lambda's variable."""
+    from loamwork.operators.validate import item_failures
+    from loamwork.sources.schemas import schema_of
+
+    schema = schema_of({"title": "T", "type": "object", "required": ["a"], "properties": {"a": {"type": "string"}, "n": {"type": "integer"}}})
+    df = item_failures(spark.createDataFrame([('{"a":1,"n":"x"}',), ("{}",), ("[]",), ("{",), ('{"a":"","n":2}',)], "item string"), schema)
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.failures for r in df.collect()] == [["a: string_type", "n: int_parsing"], ["a: missing"], ["item: dict_type"], ["item: json_invalid"], []]
