@@ -41,7 +41,7 @@ def text_of(v: Column) -> Column:
 
 def _at(at: Column, code: Column) -> Column:
     """One failure, or none if the code is null."""
-    return F.array_compact(F.array(F.concat(at, F.lit(": "), code)))
+    return F.array_except(F.array(F.concat(at, F.lit(": "), code)), F.array(F.lit(None).cast("string")))
 
 
 #: While a predicate over a table's rows is made: the columns it needs first, in order; None within lambdas and elsewhere.
