@@ -81,3 +81,20 @@ def test_field_map_from_discovery_sends_no_values_to_the_driver(spark, sf, monke
     monkeypatch.setattr(promote, "field_map_of", lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or made(found))
     assert catalogue.queries()["field_map_from_discovery"](spark, sf).count() == 3
     assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_no_job_of_field_map_from_discovery_sends_a_table_to_the_driver(spark, sf):
+    """All plans of the query as they ran, re-planned ones too, not the discovery's first plan alone."""
+    from loamwork import catalogue
+
+    def ran():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        done = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {done.apply(i).executionId(): done.apply(i).physicalPlanDescription() for i in range(done.size())}
+
+    before = ran()
+    catalogue.queries()["field_map_from_discovery"](spark, sf)
+    plans = [p for k, p in ran().items() if k not in before]
+    found = [p for p in plans if "MapInArrow" in p]
+    assert len(found) == 1 and "Final Plan" in found[0] and "SortMergeJoin" in found[0]
+    assert not any("Broadcast" in p for p in plans)
